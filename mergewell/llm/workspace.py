@@ -1,0 +1,67 @@
+"""Shared-folder checkpoints and distributed ranks.
+
+Intermediate results that are read more than once are written to the folder that the cluster names
+in ``spark.checkpoint.dir``, which the driver and all executors see, so that a lost executor costs
+no more than the tasks it was running.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a fresh temporary one only where none is configured."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: cuts the lineage."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_rank(df: DataFrame, order: list[Column], name: str, label: str = "rank") -> DataFrame:
+    """Add ``name``: the row's 0-based position in the global order of ``order``.
+
+    Rows are range partitioned (a hot key value is split as long as later order columns differ),
+    numbered inside their partition, and written to the shared folder once; the offset of each
+    partition comes from one count per partition, which is all that is ever brought together.
+    Rows that tie on every order column are numbered in an arbitrary but fixed way.
+    """
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spot = F.monotonically_increasing_id()
+    placed = materialize(
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_spot", spot), label
+    )
+    part = F.shiftright("_spot", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()  # one row a partition
+    offsets, total = {}, 0
+    for row in sorted(counts):
+        offsets[row["_part"]] = total
+        total += row["_n"]
+    table = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "_part long, _offset long")
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(table), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_spot").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_part", "_offset", "_spot")
+    )
