@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,12 +53,9 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str = "rank"
         df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_spot", spot), label
     )
     part = F.shiftright("_spot", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()  # one row a partition
-    offsets, total = {}, 0
-    for row in sorted(counts):
-        offsets[row["_part"]] = total
-        total += row["_n"]
-    table = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "_part long, _offset long")
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    table = counts.select("_part", before.alias("_offset"))
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(table), "_part")
