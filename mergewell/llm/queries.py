@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.language_id import identify_documents
-from mergewell.llm import mixing, secret_scan
+from mergewell.llm import fingerprints, mixing, secret_scan, warc
 from mergewell.llm.quality import score_quality
 from mergewell.llm.token_counts import count_tokens
 
@@ -28,6 +28,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -40,11 +48,14 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_warc": op7_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op9_secret_scan": secret_scan.oracle(),
 }
