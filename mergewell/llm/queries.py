@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.language_id import identify_documents
-from mergewell.llm import fingerprints, mixing, secret_scan, warc
+from mergewell.llm import decontaminate, fingerprints, mixing, secret_scan, warc
 from mergewell.llm.quality import score_quality
 from mergewell.llm.token_counts import count_tokens
 
@@ -36,6 +36,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_fingerprints": op5_fingerprints,
     "op7_warc": op7_warc,
+    "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
@@ -57,5 +62,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
     "op9_secret_scan": secret_scan.oracle(),
 }
