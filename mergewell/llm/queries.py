@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.language_id import identify_documents
-from mergewell.llm import decontaminate, fingerprints, mixing, secret_scan, warc
+from mergewell.llm import decontaminate, fingerprints, mixing, near_dup, secret_scan, warc
 from mergewell.llm.quality import score_quality
 from mergewell.llm.token_counts import count_tokens
 
@@ -32,6 +32,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op5_fingerprints": op5_fingerprints,
+    "op6_near_dup": op6_near_dup,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
@@ -61,6 +66,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op6_near_dup": near_dup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_secret_scan": secret_scan.oracle(),
