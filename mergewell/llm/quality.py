@@ -213,3 +213,22 @@ def score_quality(
     fold = labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out(modulus, remainder))
     shared = docs.sparkSession.sparkContext.broadcast(train(texts, fold, most_labelled))
     return texts.withColumn("held_out", held_out(modulus, remainder)).mapInArrow(_score(shared, threshold), SCHEMA)
+
+
+def _passing(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            scores = [np.zeros(0)]
+            for _, _, data, offsets in blocks(batch.column("text")):
+                scores.append(model.score(*passages(data, offsets)))
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labelled: int = 4000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
+    fold = labels.select("doc_id", F.col("quality").alias("label"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, fold, most_labelled))
+    return docs.mapInArrow(_passing(shared, threshold), docs.schema)

@@ -158,6 +158,13 @@ def digest(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span of ``text`` masked and ``n_chars``, if there, counted again."""
+    suspect = F.lit(False)
+    for kind in KINDS:
+        suspect = suspect | F.coalesce(F.col("text").rlike(kind.pattern), F.lit(False))
+    return docs.filter(~suspect).unionByName(_redacted(docs.filter(suspect), scope, mask))
+
+
+def _redacted(docs: DataFrame, scope: int, mask: str) -> DataFrame:
     scanned = scan(docs, docs.columns, scope)
     start = F.struct(F.lit(0).cast("bigint").alias("to"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("gaps"))
     # spans may overlap: what stays lies between the furthest end so far and the next start
