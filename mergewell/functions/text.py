@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The longest kept field, the reasons of flags, the task prefix of embedded texts.
 MAX_POINTS = 256
@@ -29,7 +30,7 @@ UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-
 
 
 def _normalizer(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize(form, s))
@@ -63,7 +64,7 @@ def repair_utf8(raw: bytes) -> tuple[str, bool]:
         return "".join(out), True
 
 
-@F.pandas_udf("struct<text:string,repaired:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("repaired", T.BooleanType())]))
 def repair(raw: pd.Series) -> pd.DataFrame:
     """Binary input as valid text, with whether it was repaired; NULL stays NULL."""
     fixed = [(None, False) if b is None else repair_utf8(bytes(b)) for b in raw]

@@ -2,5 +2,735 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mergewell.functions import text, vectors
+from mergewell.operators import constraints, similarity, updates, validate
+from mergewell.operators import links as link_ops
+from mergewell.operators.embed import HashEmbedder, LetterEmbedder, NgramEmbedder, cache_rows, embed_distinct
+from mergewell.plans import calibrate as cal
+from mergewell.plans import profile as prof
+from mergewell.plans import report
+from mergewell.plans.ingest import Ingested, ingest, summary
+from mergewell.schemas import FIELDS, RAW
+from mergewell.sources import driver_tables as tables
+from mergewell.sources import payloads
+from mergewell.sources.driver_tables import ENTRIES_SQL, PRODUCT_SQL
+from mergewell.workspace import fresh_path, materialize
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+THRESHOLD = 0.42  # what the test vectors' similarities allow
+MATCH = 0.975
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+# --- SQL that several oracles share ---------------------------------------------------------------
+
+_SPACES = text.SPACES.replace("\\t-\\r ", "\\t\\n\\v\\f\\r ")
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _full(c: str) -> str:
+    spaced = f"regexp_replace({c}, {_q(_SPACES)}, ' ', 'g')"
+    return f"trim(regexp_replace(nfc_normalize(regexp_replace({spaced}, {_q(text.REMOVED)}, '', 'g')), ' +', ' ', 'g'))"
+
+
+def _cap(c: str) -> str:
+    return f"CASE WHEN length({c}) > 256 THEN rtrim(substr({c}, 1, 256)) ELSE {c} END"
+
+
+def _flags(field: str, raw: str, full: str, clean: str) -> str:
+    spaced = f"regexp_replace({raw}, {_q(_SPACES)}, ' ', 'g')"
+    tests = (
+        (f"regexp_matches({spaced}, {_q(text.REMOVED)})", text.CONTROLS),
+        (f"length({full}) > 256", text.TRUNCATED),
+        (f"regexp_matches({clean}, {_q(text.SQL_PATTERN)})", text.SQL_LIKE),
+        (f"regexp_matches({clean}, {_q(text.MARKUP_PATTERN)})", text.MARKUP),
+    )
+    return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{field}: {r}' END" for t, r in tests) + "], lambda x: x IS NOT NULL)"
+
+
+def _identity(name: str, brand: str, category: str) -> str:
+    return (
+        f"concat_ws(' | ', nullif({name}, ''), CASE WHEN coalesce({brand}, '') <> '' THEN 'brand: ' || {brand} END, "
+        f"CASE WHEN coalesce({category}, '') <> '' THEN 'category: ' || {category} END)"
+    )
+
+
+def _key(c: str) -> str:
+    return f"lower(regexp_replace(strip_accents({c}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g'))"
+
+
+_F = [(f, RAW[f]) for f in FIELDS]
+RECORDS_SQL = f"""{ENTRIES_SQL},
+cleaned AS (SELECT *, {', '.join(f"{_full(f"coalesce({r}, '')")} AS full_{f}" for f, r in _F)} FROM entries),
+capped AS (SELECT *, {', '.join(f'{_cap(f"full_{f}")} AS c_{f}' for f, _ in _F)} FROM cleaned),
+judged AS (SELECT *, CASE WHEN raw_id IS NULL THEN 'Id: null' WHEN c_Id = '' THEN 'Id: blank' WHEN NOT regexp_matches(c_Id, {_q(text.UUID_PATTERN)}) THEN 'Id: not a UUID'
+    WHEN raw_seller IS NULL THEN 'SellerName: null' WHEN c_SellerName = '' THEN 'SellerName: blank' WHEN raw_name IS NULL THEN 'Name: null' WHEN c_Name = '' THEN 'Name: blank' END AS reason,
+    list_concat({', '.join(_flags(f, f"coalesce({r}, '')", f'full_{f}', f'c_{f}') for f, r in _F)}) AS flags FROM capped),
+records AS (SELECT record_index, c_SellerName AS seller_name, CASE WHEN regexp_matches(c_Id, {_q(text.UUID_PATTERN)}) THEN lower(c_Id) ELSE c_Id END AS seller_product_id,
+    c_Name AS name, c_Brand AS brand, c_Category AS category, CASE WHEN reason IS NULL THEN {_identity('c_Name', 'c_Brand', 'c_Category')} END AS identity,
+    reason, flags, true_product FROM judged)"""
+FIRST_SQL = "firsts AS (SELECT seller_name, seller_product_id, min(record_index) AS first_index FROM records WHERE reason IS NULL GROUP BY ALL)"
+SEED_SQL = f"""{FIRST_SQL},
+links AS (SELECT f.first_index AS id, f.seller_name, r.true_product AS product_id, f.seller_product_id FROM firsts f JOIN records r ON r.record_index = f.first_index WHERE f.first_index % 10 = 0)"""
+BASE = f"WITH {PRODUCT_SQL}, {RECORDS_SQL}, {SEED_SQL} "
+RESULTS_SQL = f"""WITH {PRODUCT_SQL}, {RECORDS_SQL}, {FIRST_SQL},
+named AS (SELECT id, {_identity('name', 'brand', 'category')} AS identity FROM product),
+oldest AS (SELECT identity, min(id) AS id FROM named GROUP BY identity),
+asked AS (SELECT r.record_index, r.identity, o.id FROM records r JOIN firsts f ON f.first_index = r.record_index LEFT JOIN oldest o ON o.identity = r.identity),
+born AS (SELECT identity, min(record_index) AS born FROM asked WHERE id IS NULL GROUP BY identity),
+numbered AS (SELECT identity, born, (SELECT max(id) FROM product) + row_number() OVER (ORDER BY born) AS id FROM born),
+decided AS (SELECT a.record_index, coalesce(a.id, n.id) AS product_id, CASE WHEN n.born = a.record_index THEN 'inserted' ELSE 'linked' END AS outcome
+            FROM asked a LEFT JOIN numbered n ON n.identity = a.identity AND a.id IS NULL),
+results AS (SELECT r.*, CASE WHEN r.reason IS NOT NULL THEN 'rejected' WHEN d.record_index IS NOT NULL THEN d.outcome ELSE 'existing' END AS outcome,
+                   coalesce(d.product_id, e.product_id)::BIGINT AS product_id
+            FROM records r LEFT JOIN decided d ON d.record_index = r.record_index
+            LEFT JOIN firsts f ON r.reason IS NULL AND f.seller_name = r.seller_name AND f.seller_product_id = r.seller_product_id
+            LEFT JOIN decided e ON e.record_index = f.first_index)
+"""
+
+
+# --- tables --------------------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.records(tables.entries(spark, sf_dir), ("record_index", "true_product"))
+
+
+def _seed_links(records: DataFrame) -> DataFrame:
+    firsts = link_ops.first_per_key(records).filter("first_index % 10 = 0").select(F.col("first_index").alias("record_index"))
+    return records.join(firsts, "record_index").select(
+        F.col("record_index").alias("id"), "seller_name", F.col("true_product").alias("product_id"), "seller_product_id"
+    )
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = materialize(_records(spark, sf_dir), "records")
+    return records, _seed_links(records)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = _vectors(spark, sf_dir)
+    return v.filter("id % 5 = 0"), v.filter("id % 5 <> 0")
+
+
+SIDES_SQL = "WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS vector FROM embeddings), q AS (SELECT * FROM v WHERE id % 5 = 0), c AS (SELECT * FROM v WHERE id % 5 <> 0) "
+
+
+def _flag_text(c: str = "flags") -> F.Column:
+    return F.array_join(F.transform(c, lambda f: F.concat_ws(": ", f["field"], f["reason"])), "; ")
+
+
+# --- sources, projections, filters ----------------------------------------------------------------
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT * FROM product")
+def list_products(spark, sf_dir):
+    return tables.products(spark, sf_dir)
+
+
+@query(BASE + "SELECT * FROM links")
+def seller_links(spark, sf_dir):
+    return _both(spark, sf_dir)[1]
+
+
+@query(
+    BASE + "SELECT record_index, seller_name, seller_product_id, name, brand, category, identity, reason, array_to_string(flags, '; ') AS flags FROM records"
+)
+def decoded_lines(spark, sf_dir):
+    """Entries as JSON lines, decoded and cleaned again."""
+    fields = F.struct(*[F.col(RAW[f]).alias(f) for f in FIELDS])
+    lines = tables.entries(spark, sf_dir).select("record_index", F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
+    found = validate.records(payloads.parse_lines(lines, ("record_index",)))
+    return found.withColumn("flags", _flag_text())
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT raw_seller AS seller, record_index // 1000 AS block, count(*) AS elements, 0::BIGINT AS errors FROM entries GROUP BY ALL")
+def payload_elements(spark, sf_dir):
+    """Array payloads of at most a thousand entries, written as files and decoded."""
+    fields = F.to_json(F.struct(*[F.col(RAW[f]).alias(f) for f in FIELDS]), {"ignoreNullFields": "false"})
+    each = tables.entries(spark, sf_dir).withColumn("block", F.floor(F.col("record_index") / 1000))
+    body = F.concat(F.lit("["), F.array_join(F.collect_list(fields), ","), F.lit("]"))
+    path = fresh_path(spark, "payloads")
+    arrays = each.groupBy(F.col("raw_seller").alias("seller"), "block").agg(body.alias("value"))
+    arrays.write.parquet(path)
+    stored = spark.read.parquet(path).select(F.concat_ws("/", "seller", "block").alias("path"), F.encode("value", "utf-8").alias("content"))
+    decoded = stored.mapInPandas(payloads._decode(payloads.MAX_BYTES), payloads.SCHEMA)
+    parts = F.split("payload_id", "/")
+    return decoded.groupBy(parts[0].alias("seller"), parts[1].cast("long").alias("block")).agg(
+        F.count("record_index").alias("elements"), F.count("payload_error").alias("errors")
+    )
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, text, {_full('text')} AS f FROM documents) SELECT doc_id, {_cap('f')} AS value, length(f) > 256 AS truncated, "
+    f"regexp_matches(regexp_replace(text, {_q(_SPACES)}, ' ', 'g'), {_q(text.REMOVED)}) AS controls FROM s"
+)
+def sanitize_texts(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", text.uncapped(F.col("text")).alias("f"))
+    return docs.select("doc_id", text.capped(F.col("f")).alias("value"), (F.char_length("f") > text.MAX_POINTS).alias("truncated"), text.had_controls(F.col("text")).alias("controls"))
+
+
+@query(
+    # combining marks and a control character are put in, as the tables have none
+    f"WITH d AS (SELECT doc_id, 'Ca' || chr(770) || chr(8203) || '  ' || substr(text, 1, 300) AS t FROM documents), s AS (SELECT doc_id, t, {_full('t')} AS f FROM d), "
+    f"c AS (SELECT doc_id, t, f, {_cap('f')} AS v FROM s) SELECT doc_id, v AS value, array_to_string({_flags('Name', 't', 'f', 'v')}, '; ') AS flags FROM c"
+)
+def sanitize_dirty_texts(spark, sf_dir):
+    t = F.concat(F.lit("Câ​  "), F.substring("text", 1, 300))
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("f", text.uncapped(F.col("t"))).withColumn("v", text.capped(F.col("f")))
+    return docs.select("doc_id", F.col("v").alias("value"), text.flags("Name", F.col("t"), F.col("f"), F.col("v")).alias("flags")).withColumn("flags", _flag_text())
+
+
+@query(f"SELECT page_id, regexp_matches(html, {_q(text.MARKUP_PATTERN)}) AS markup, regexp_matches(url, {_q(text.MARKUP_PATTERN)}) AS url_markup, regexp_matches(url, {_q(text.SQL_PATTERN)}) AS url_sql FROM pages")
+def markup_flags(spark, sf_dir):
+    return tables.table(spark, sf_dir, "pages").select(
+        "page_id", text.markup_like(F.col("html")).alias("markup"), text.markup_like(F.col("url")).alias("url_markup"), text.sql_like(F.col("url")).alias("url_sql")
+    )
+
+
+@query(BASE + "SELECT record_index, reason, array_to_string(flags, '; ') AS flags FROM records")
+def field_flags_and_reasons(spark, sf_dir):
+    return _records(spark, sf_dir).select("record_index", "reason", _flag_text().alias("flags"))
+
+
+@query(BASE + "SELECT record_index, identity, 'clustering: ' || identity AS embedded FROM records WHERE reason IS NULL")
+def identity_strings(spark, sf_dir):
+    return validate.accepted(_records(spark, sf_dir)).select("record_index", "identity", text.prefixed(F.col("identity")).alias("embedded"))
+
+
+@query(BASE + "SELECT record_index, seller_product_id, reason FROM records WHERE reason IS NOT NULL")
+def rejected_records(spark, sf_dir):
+    return validate.rejected(_records(spark, sf_dir)).select("record_index", "seller_product_id", "reason")
+
+
+@query(BASE + "SELECT record_index, brand, reason FROM records WHERE len(flags) > 0")
+def suspicious_records(spark, sf_dir):
+    return validate.suspicious(_records(spark, sf_dir)).select("record_index", "brand", "reason")
+
+
+@query(BASE + "SELECT reason, count(*) AS records FROM records WHERE reason IS NOT NULL GROUP BY reason")
+def reason_counts(spark, sf_dir):
+    return validate.reason_counts(_records(spark, sf_dir))
+
+
+@query(BASE + "SELECT split_part(f, ': ', 1) AS field, split_part(f, ': ', 2) AS reason, count(*) AS records FROM (SELECT unnest(flags) AS f FROM records) GROUP BY ALL")
+def flag_counts(spark, sf_dir):
+    return validate.flag_counts(_records(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, {_key('text')} AS match_key FROM documents")
+def match_keys(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", text.match_key(F.col("text")).alias("match_key"))
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents) SELECT doc_id, t AS exact, lower(trim(regexp_replace(t, ' +', ' ', 'g'))) AS collapsed, "
+    f"lower(strip_accents(trim(regexp_replace(t, ' +', ' ', 'g')))) AS folded, {_key('t')} AS alphanumeric FROM t"
+)
+def match_ladder(spark, sf_dir):
+    t = F.substring("text", 1, 200)
+    return tables.table(spark, sf_dir, "documents").select("doc_id", *[form(t).alias(level) for level, form in text.LADDER.items()])
+
+
+@query(BASE + "SELECT r.record_index, lower(coalesce(p.brand, '')) = lower(upper(r.brand)) AS same_brand, nullif(r.brand, '') AS brand FROM records r JOIN product p ON p.id = r.true_product")
+def folded_equality(spark, sf_dir):
+    joined = link_ops.resolve_products(_records(spark, sf_dir), tables.products(spark, sf_dir), "true_product")
+    return joined.select("record_index", text.same_folded(F.col("product_brand"), F.upper("brand")).alias("same_brand"), text.blank_to_null(F.col("brand")).alias("brand"))
+
+
+@query(SIDES_SQL + ", n AS (SELECT id, vector, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS norm FROM v) SELECT id, round(norm, 4) AS norm, round(vector[1] / norm, 4) AS first, len(vector) AS dimension FROM n")
+def unit_vectors(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("id", F.round(vectors.norm(F.col("vector")), 4).alias("norm"), vectors.unit(F.col("vector")).alias("u"))
+    return v.select("id", "norm", F.round(F.element_at("u", 1).cast("double"), 4).alias("first"), F.size("u").cast("long").alias("dimension"))
+
+
+@query(SIDES_SQL + "SELECT a.id, round(list_cosine_similarity(a.vector, b.vector), 4) AS cosine FROM v a JOIN v b ON b.id = a.id + 1")
+def cosine_pairs(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    other = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"))
+    return v.join(other, "id").select("id", F.round(vectors.cosine(F.col("vector"), F.col("other")), 4).alias("cosine"))
+
+
+# --- joins ----------------------------------------------------------------------------------------
+
+NEAREST_SQL = SIDES_SQL + ", s AS (SELECT q.id, c.id AS match_id, list_cosine_similarity(q.vector, c.vector) AS score FROM q, c), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, match_id) = 1) "
+OTHERS_SQL = SIDES_SQL + ", s AS (SELECT a.id, b.id AS match_id, list_cosine_similarity(a.vector, b.vector) AS score FROM v a JOIN v b ON a.id <> b.id), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, match_id) = 1) "
+
+
+@query(NEAREST_SQL + f"SELECT id, match_id, round(score, 4) AS score, CASE WHEN score >= {THRESHOLD} THEN 'duplicate' ELSE 'novel' END AS kind FROM n")
+def nearest_product(spark, sf_dir):
+    found = similarity.nearest(*_sides(spark, sf_dir))
+    return found.select("id", "match_id", F.round(F.col("score").cast("double"), 4).alias("score"), vectors.kind(F.col("score"), THRESHOLD).alias("kind"))
+
+
+@query(OTHERS_SQL + "SELECT id, match_id, round(score, 4) AS score FROM n")
+def nearest_other(spark, sf_dir):
+    found = similarity.leave_one_out(_vectors(spark, sf_dir))
+    return found.select("id", "match_id", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query(SIDES_SQL + f"SELECT q.id, c.id AS match_id, round(list_cosine_similarity(q.vector, c.vector), 4) AS score FROM q, c WHERE list_cosine_similarity(q.vector, c.vector) >= {THRESHOLD}")
+def similar_pairs(spark, sf_dir):
+    found = similarity.threshold_join(*_sides(spark, sf_dir), THRESHOLD)
+    return found.select("id", "match_id", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query(SIDES_SQL + f"SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.vector, b.vector), 4) AS score FROM v a JOIN v b ON b.id < a.id WHERE list_cosine_similarity(a.vector, b.vector) >= {THRESHOLD}")
+def in_batch_edges(spark, sf_dir):
+    found = similarity.in_batch_edges(_vectors(spark, sf_dir), THRESHOLD)
+    return found.select("i", "j", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query(BASE + "SELECT r.record_index, l.product_id AS linked_product FROM records r JOIN links l USING (seller_name, seller_product_id) WHERE r.reason IS NULL")
+def existing_links(spark, sf_dir):
+    records, links = _both(spark, sf_dir)
+    return link_ops.existing(validate.accepted(records), links).filter("linked_product is not null").select("record_index", "linked_product")
+
+
+@query(BASE + "SELECT record_index FROM records r WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM links l WHERE l.seller_name = r.seller_name AND l.seller_product_id = r.seller_product_id)")
+def unlinked_records(spark, sf_dir):
+    records, links = _both(spark, sf_dir)
+    return link_ops.unlinked(validate.accepted(records), links).select("record_index")
+
+
+@query(BASE + "SELECT * FROM firsts")
+def first_per_key(spark, sf_dir):
+    return link_ops.first_per_key(_records(spark, sf_dir))
+
+
+@query(BASE + "SELECT r.record_index, f.first_index, x.true_product AS product_id FROM records r JOIN firsts f USING (seller_name, seller_product_id) JOIN records x ON x.record_index = f.first_index WHERE r.reason IS NULL AND r.record_index > f.first_index")
+def repeats_follow_first(spark, sf_dir):
+    records = materialize(_records(spark, sf_dir), "records")
+    leads = records.select(F.col("record_index").alias("first_index"), F.col("true_product").alias("product_id"))
+    return link_ops.with_first(records).filter("record_index > first_index").select("record_index", "first_index").join(leads, "first_index")
+
+
+@query(BASE + f", k AS (SELECT {_key('name')} AS mk, max(id) AS id FROM product GROUP BY ALL) SELECT r.record_index, CASE WHEN r.record_index % 1000 = 0 THEN r.true_product ELSE k.id END AS product_id FROM records r JOIN k ON k.mk = {_key('r.name')} WHERE r.reason IS NULL")
+def known_matches(spark, sf_dir):
+    records = materialize(validate.accepted(_records(spark, sf_dir)), "records")
+    overrides = records.filter("record_index % 1000 = 0").select("record_index", F.col("true_product").alias("product_id"))
+    return cal.known_matches(records, tables.products(spark, sf_dir), overrides)
+
+
+def _funnel_sql() -> str:
+    forms = {
+        "exact": "{0}", "collapsed": "lower(trim(regexp_replace({0}, ' +', ' ', 'g')))", "folded": "lower(strip_accents(trim(regexp_replace({0}, ' +', ' ', 'g'))))",
+        "alphanumeric": _key("{0}").replace("\\p{L}\\p{Nd}", "\\p{{L}}\\p{{Nd}}"),
+    }
+    parts = []
+    for level, form in forms.items():
+        f = lambda c: form.format(f"coalesce({c}, '')")  # noqa: B023, E731
+        parts.append(
+            f"SELECT '{level}' AS level, count(*) FILTER (EXISTS (SELECT 1 FROM product p WHERE {f('p.name')} = {f('e.raw_name')})) AS names, "
+            f"count(*) FILTER (EXISTS (SELECT 1 FROM product p WHERE {f('p.name')} = {f('e.raw_name')} AND {f('p.brand')} = {f('e.raw_brand')} AND {f('p.category')} = {f('e.raw_category')})) AS products FROM entries e"
+        )
+    return f"WITH {PRODUCT_SQL}, {ENTRIES_SQL} " + " UNION ALL ".join(parts)
+
+
+@query(_funnel_sql())
+def match_funnel(spark, sf_dir):
+    raw = tables.entries(spark, sf_dir, indexed=False).select(*[F.col(f"raw_{c}").alias(c) for c in ("name", "brand", "category")])
+    return prof.match_funnel(raw, tables.products(spark, sf_dir))
+
+
+@query(BASE + f"SELECT record_index, {_key('name')} AS match_key, brand, category FROM records r WHERE reason IS NULL AND EXISTS (SELECT 1 FROM product p WHERE {_key('p.name')} = {_key('r.name')}) AND NOT EXISTS (SELECT 1 FROM product p WHERE {_key('p.name')} = {_key('r.name')} AND coalesce(p.brand, '') = r.brand AND coalesce(p.category, '') = r.category)")
+def attribute_drift(spark, sf_dir):
+    return prof.drift(validate.accepted(_records(spark, sf_dir)), tables.products(spark, sf_dir)).select("record_index", "match_key", "brand", "category")
+
+
+@query(BASE + f"SELECT record_index, true_product, p.name AS product_name, p.brand AS product_brand, p.category AS product_category, {_identity('p.name', 'p.brand', 'p.category')} AS product_identity FROM records r JOIN product p ON p.id = r.true_product WHERE reason IS NULL")
+def resolved_products(spark, sf_dir):
+    found = link_ops.resolve_products(validate.accepted(_records(spark, sf_dir)), tables.products(spark, sf_dir), "true_product")
+    named = text.identity(F.col("product_name"), F.col("product_brand"), F.col("product_category"))
+    return found.select("record_index", "true_product", "product_name", "product_brand", "product_category", named.alias("product_identity"))
+
+
+# --- aggregates, profile --------------------------------------------------------------------------
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT DISTINCT lower(category) AS folded FROM product WHERE category IS NOT NULL")
+def category_vocabulary(spark, sf_dir):
+    return updates.vocabulary(tables.products(spark, sf_dir))
+
+
+@query(BASE + "SELECT record_index, lower(category) IN (SELECT lower(category) FROM product WHERE category IS NOT NULL) AS in_vocabulary FROM records WHERE reason IS NULL")
+def in_vocabulary(spark, sf_dir):
+    records = validate.accepted(_records(spark, sf_dir))
+    return updates.mark_vocabulary(records, updates.vocabulary(tables.products(spark, sf_dir))).select("record_index", "in_vocabulary")
+
+
+def _profile_sql() -> str:
+    part = (
+        "SELECT '{f}' AS field, count(*) FILTER ({r} IS NULL) AS nulls, count(*) FILTER (regexp_full_match(regexp_replace({r}, {s}, ' ', 'g'), ' *')) AS blanks, "
+        "count(*) FILTER (regexp_matches({r}, '^' || {s}) OR regexp_matches({r}, {s} || '$')) AS edge_spaces, max(length({r})) AS longest FROM entries"
+    )
+    return f"WITH {ENTRIES_SQL} " + " UNION ALL ".join(part.format(f=f, r=r, s=_q(_SPACES)) for f, r in _F)
+
+
+@query(_profile_sql())
+def column_profile(spark, sf_dir):
+    return prof.column_profile(tables.entries(spark, sf_dir, indexed=False))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT CASE WHEN brand IS NULL THEN 'null' ELSE 'text' END AS brand, CASE WHEN category IS NULL THEN 'null' ELSE 'text' END AS category, count(*) AS products FROM product GROUP BY 1, 2")
+def null_combinations(spark, sf_dir):
+    return prof.null_combinations(tables.products(spark, sf_dir))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT count(*) AS products, count(DISTINCT name) AS names, count(DISTINCT {_key('name')}) AS loose_names, count(DISTINCT brand) AS brands, count(DISTINCT category) AS categories FROM product")
+def distinct_counts(spark, sf_dir):
+    return prof.distinct_counts(tables.products(spark, sf_dir))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT category, count(*) AS n FROM product GROUP BY category")
+def category_sizes(spark, sf_dir):
+    return prof.sizes(tables.products(spark, sf_dir), "category")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT raw_seller, count(*) AS n FROM entries GROUP BY raw_seller")
+def seller_sizes(spark, sf_dir):
+    return prof.sizes(tables.entries(spark, sf_dir, indexed=False), "raw_seller")
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT category, count(*) AS n FROM product GROUP BY category ORDER BY n DESC, category NULLS FIRST LIMIT 3")
+def largest_categories(spark, sf_dir):
+    return prof.largest(tables.products(spark, sf_dir), "category", 3)
+
+
+@query(BASE + "SELECT seller_product_id, count(*) AS entries, count(DISTINCT seller_name) AS sellers, CASE WHEN count(DISTINCT seller_name) > 1 THEN 'other seller' ELSE 'same seller' END AS kind FROM records GROUP BY seller_product_id HAVING count(*) > 1")
+def reused_ids(spark, sf_dir):
+    return prof.reused_ids(_records(spark, sf_dir))
+
+
+@query(BASE + f"SELECT {_key('name')} AS match_key, count(*) AS entries FROM records GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark, sf_dir):
+    return prof.duplicate_names(_records(spark, sf_dir))
+
+
+@query(BASE + f"SELECT seller_name, {_key('name')} AS match_key, count(DISTINCT seller_product_id) AS ids FROM records GROUP BY 1, 2 HAVING count(DISTINCT seller_product_id) > 1")
+def same_seller_product(spark, sf_dir):
+    return prof.same_seller_product(_records(spark, sf_dir))
+
+
+@query(BASE + "SELECT category, count(*) AS n FROM records WHERE category <> '' AND category NOT IN (SELECT category FROM product WHERE category IS NOT NULL) GROUP BY category")
+def foreign_categories(spark, sf_dir):
+    return prof.foreign_categories(_records(spark, sf_dir), tables.products(spark, sf_dir))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT count(*) FILTER (regexp_matches(raw_name, '[^\\x{{00}}-\\x{{7F}}]')) AS non_ascii, count(*) FILTER (contains(raw_name, '  ')) AS doubled_spaces, count(*) FILTER (regexp_matches(regexp_replace(raw_name, {_q(_SPACES)}, ' ', 'g'), {_q(text.REMOVED)})) AS controls FROM entries")
+def string_oddities(spark, sf_dir):
+    return prof.string_oddities(tables.entries(spark, sf_dir, indexed=False), "raw_name")
+
+
+@query()
+def full_profile(spark, sf_dir):
+    entries = materialize(tables.entries(spark, sf_dir), "entries")
+    return prof.profile(entries, validate.records(entries), tables.products(spark, sf_dir))
+
+
+# --- calibration ----------------------------------------------------------------------------------
+
+_SCORES_SQL = OTHERS_SQL + ", p AS (SELECT a.id AS record_index, list_cosine_similarity(a.vector, b.vector)::FLOAT AS score FROM v a JOIN v b ON b.id = a.id + 1), m AS (SELECT id, match_id, score::FLOAT AS score FROM n) "
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of neighbours by id as the known matches, of nearest others as the different products."""
+    v = _vectors(spark, sf_dir)
+    other = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"))
+    pos = v.join(other, "id").select(F.col("id").alias("record_index"), vectors.cosine(F.col("vector"), F.col("other")).cast("float").alias("score"))
+    return materialize(pos, "positives"), materialize(similarity.leave_one_out(v), "negatives")
+
+
+def _quantile_sql(side: str, rows: str, spots: dict[str, float]) -> str:
+    at = ", ".join(f"round(max(score) FILTER (k = least(n - 1, floor({p} * n))), 4) AS {name}" for name, p in spots.items())
+    return f"SELECT '{side}' AS side, max(n) AS n, {at} FROM (SELECT score::DOUBLE AS score, row_number() OVER (ORDER BY score) - 1 AS k, count(*) OVER () AS n FROM {rows})"
+
+
+@query(_SCORES_SQL + _quantile_sql("positives", "p", {"extreme": 0.0, "tail1": 0.01, "tail5": 0.05, "median": 0.5}) + " UNION ALL " + _quantile_sql("negatives", "m", {"extreme": 1.0, "tail1": 0.99, "tail5": 0.95, "median": 0.5}))
+def calibration_quantiles(spark, sf_dir):
+    found = cal.distribution(*_scores(spark, sf_dir))
+    return found.select("side", "n", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("extreme", "tail1", "tail5", "median")])
+
+
+SWEEP = (0.1, 0.2, 0.3, 0.35, 0.4, 0.45)
+
+
+@query(_SCORES_SQL + f"SELECT round(t, 4) AS threshold, (SELECT count(*) FROM p WHERE score < t::FLOAT) AS missed, (SELECT count(*) FROM m WHERE score >= t::FLOAT) AS wrong FROM (SELECT unnest({list(SWEEP)})::DOUBLE AS t)")
+def threshold_sweep(spark, sf_dir):
+    found = cal.sweep(*_scores(spark, sf_dir), SWEEP)
+    return found.select(F.round(F.col("threshold").cast("double"), 4).alias("threshold"), "missed", "wrong")
+
+
+@query(_SCORES_SQL + "SELECT (SELECT max(score) < 0.42::FLOAT FROM m) AS safe, (SELECT array_to_string(list(record_index ORDER BY record_index), ',') FROM (SELECT record_index FROM p WHERE score < -0.3::FLOAT)) AS missed")
+def threshold_check(spark, sf_dir):
+    pos, neg = _scores(spark, sf_dir)
+    safe = cal.shipped(pos, neg, THRESHOLD).select("safe")
+    return safe.join(F.broadcast(cal.shipped(pos, neg, -0.3).select(F.array_join("missed", ",").alias("missed"))))
+
+
+@query(_SCORES_SQL + "(SELECT 'lowest' AS side, round(score::DOUBLE, 4) AS score, record_index AS id FROM p ORDER BY score, record_index LIMIT 5) UNION ALL (SELECT 'highest', round(score::DOUBLE, 4), id FROM m ORDER BY score DESC, id DESC LIMIT 10)")
+def hardest_pairs(spark, sf_dir):
+    pos, neg = _scores(spark, sf_dir)
+    row = lambda df, side: df.select(F.lit(side).alias("side"), F.round(F.col("score").cast("double"), 4).alias("score"), F.col("description").alias("id"))
+    low = cal.hardest(pos.select("score", F.col("record_index").alias("description")), True, 5)
+    return row(low, "lowest").unionByName(row(cal.hardest(neg.select("score", F.col("id").alias("description")), False, 10), "highest"))
+
+
+@query()
+def calibrate(spark, sf_dir):
+    records = materialize(_records(spark, sf_dir), "records")
+    return cal.distribution(*cal.measure(records, tables.products(spark, sf_dir), NgramEmbedder(), True))
+
+
+# --- updates, ids, constraints --------------------------------------------------------------------
+
+MATCHED_SQL = BASE + """, u AS (SELECT r.record_index, r.true_product AS pid, r.brand, r.category, r.flags, p.brand AS b0, p.category AS c0,
+    lower(r.category) IN (SELECT lower(category) FROM product WHERE category IS NOT NULL) AS known FROM records r JOIN product p ON p.id = r.true_product WHERE r.reason IS NULL) """
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = tables.products(spark, sf_dir)
+    base = products.select(F.col("id").alias("pid"), F.col("brand").alias("base_brand"), F.col("category").alias("base_category"))
+    records = updates.mark_vocabulary(validate.accepted(_records(spark, sf_dir)), updates.vocabulary(products))
+    return records.withColumnRenamed("true_product", "pid").join(base, "pid")
+
+
+_FILL_SQL = MATCHED_SQL + """SELECT pid, min(record_index) FILTER (b) AS brand_at, arg_min(brand, record_index) FILTER (b) AS brand_new, min(record_index) FILTER (c) AS category_at, arg_min(category, record_index) FILTER (c) AS category_new
+    FROM (SELECT *, b0 IS NULL AND brand <> '' AND len(flags) = 0 AS b, c0 IS NULL AND category <> '' AND len(flags) = 0 AS c FROM u) GROUP BY pid HAVING brand_at IS NOT NULL OR category_at IS NOT NULL"""
+
+
+@query(_FILL_SQL)
+def update_fill(spark, sf_dir):
+    return updates.changes_of(_matched(spark, sf_dir), "fill")
+
+
+@query(MATCHED_SQL + """, o AS (SELECT *, len(flags) = 0 AND brand <> '' AND lower(brand) <> lower(coalesce(b0, '')) AS b, len(flags) = 0 AND category <> '' AND lower(category) <> lower(coalesce(c0, '')) AND (c0 IS NULL OR known) AS c FROM u),
+    f AS (SELECT pid, min(record_index) AS at FROM o WHERE b OR c GROUP BY pid),
+    l AS (SELECT f.pid, f.at, CASE WHEN o.b THEN o.brand END AS lb, CASE WHEN o.c THEN o.category END AS lc FROM f JOIN o ON o.pid = f.pid AND o.record_index = f.at),
+    x AS (SELECT l.pid, min(u.record_index) FILTER (u.brand <> '' AND b0 IS NULL AND lb IS NULL) AS ab, arg_min(u.brand, u.record_index) FILTER (u.brand <> '' AND b0 IS NULL AND lb IS NULL) AS nb,
+                 min(u.record_index) FILTER (u.category <> '' AND c0 IS NULL AND lc IS NULL) AS ac, arg_min(u.category, u.record_index) FILTER (u.category <> '' AND c0 IS NULL AND lc IS NULL) AS nc
+          FROM l JOIN u ON u.pid = l.pid AND u.record_index > l.at AND len(u.flags) = 0 GROUP BY l.pid)
+    SELECT l.pid, CASE WHEN lb IS NOT NULL THEN l.at ELSE ab END AS brand_at, coalesce(lb, nb) AS brand_new, CASE WHEN lc IS NOT NULL THEN l.at ELSE ac END AS category_at, coalesce(lc, nc) AS category_new
+    FROM l LEFT JOIN x ON x.pid = l.pid""")
+def update_overwrite(spark, sf_dir):
+    return updates.changes_of(_matched(spark, sf_dir), "overwrite")
+
+
+def _ruled(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows = _matched(spark, sf_dir).withColumnsRenamed({"base_brand": "current_brand", "base_category": "current_category"})
+    out = updates.plan_update(rows.withColumn("updated_by", F.lit(None).cast("long")), mode)
+    shown = F.array_join(F.transform("changes", lambda c: F.concat_ws(">", c["field"], c["old"], c["new"])), "; ")
+    return out.select("record_index", F.array_join("notes", "; ").alias("notes"), shown.alias("changes"))
+
+
+def _rule_sql(mode: str) -> str:
+    def field(name: str, cur: str, new: str) -> tuple[str, str]:
+        cases = [f"WHEN {new} = '' OR lower({new}) = lower(coalesce({cur}, '')) THEN NULL", f"WHEN len(flags) > 0 THEN '{name}: flagged input, not applied'"]
+        if mode == "none":
+            cases.append(f"WHEN {cur} IS NULL THEN '{name} missing in catalog: ' || {new} || ' (entry), kept'")
+        if mode != "overwrite":
+            cases.append(f"WHEN {cur} IS NOT NULL THEN '{name} differs: ' || {new} || ' (entry) vs ' || {cur} || ' (catalog), kept'")
+        elif name == "category":
+            cases.append(f"WHEN {cur} IS NOT NULL AND NOT known THEN 'category: ' || {new} || ' is not a catalog category, kept ' || {cur}")
+        note = "CASE " + " ".join(cases) + " END"
+        return note, f"CASE WHEN {new} <> '' AND lower({new}) <> lower(coalesce({cur}, '')) AND {note} IS NULL THEN '{name}>' || coalesce({cur}, '') || '>' || {new} END"
+
+    b, c = field("brand", "b0", "brand"), field("category", "c0", "category")
+    return MATCHED_SQL + f"SELECT record_index, concat_ws('; ', {b[0]}, {c[0]}) AS notes, concat_ws('; ', {b[1]}, {c[1]}) AS changes FROM u"
+
+
+@query(_rule_sql("fill"))
+def rule_fill(spark, sf_dir):
+    return _ruled(spark, sf_dir, "fill")
+
+
+@query(_rule_sql("none"))
+def rule_none(spark, sf_dir):
+    return _ruled(spark, sf_dir, "none")
+
+
+@query(_rule_sql("overwrite"))
+def rule_overwrite(spark, sf_dir):
+    return _ruled(spark, sf_dir, "overwrite")
+
+
+@query(_FILL_SQL.replace("SELECT pid, min(record_index)", ", f AS (SELECT pid, min(record_index)", 1) + ") SELECT p.id, p.name, coalesce(f.brand_new, p.brand) AS brand, coalesce(f.category_new, p.category) AS category FROM product p LEFT JOIN f ON f.pid = p.id")
+def updated_products(spark, sf_dir):
+    changed = updates.changes_of(_matched(spark, sf_dir), "fill")
+    changed = changed.select(F.col("pid").alias("id"), F.col("brand_new").alias("brand"), F.col("category_new").alias("category"))
+    return updates.apply_updates(tables.products(spark, sf_dir), changed)
+
+
+@query(BASE + "SELECT record_index, (SELECT max(id) FROM product) + row_number() OVER (ORDER BY record_index) AS product_id, -row_number() OVER (ORDER BY record_index) AS dry_id FROM records WHERE len(flags) > 0 AND reason IS NULL")
+def new_product_ids(spark, sf_dir):
+    rows = materialize(validate.suspicious(validate.accepted(_records(spark, sf_dir))).select("record_index"), "new")
+    high = tables.products(spark, sf_dir).agg(F.max("id")).first()[0]
+    dry = link_ops.new_product_ids(rows, high, dry_run=True).withColumnRenamed("product_id", "dry_id")
+    return link_ops.new_product_ids(rows, high).join(dry, "record_index")
+
+
+@query(BASE + ", broken AS (SELECT id, seller_name, CASE WHEN id % 70 = 0 THEN -product_id ELSE product_id END AS product_id, CASE WHEN id % 110 = 0 THEN repeat('x', 65) ELSE seller_product_id END AS seller_product_id FROM links) SELECT 'orphan' AS problem, id FROM broken b WHERE NOT EXISTS (SELECT 1 FROM product p WHERE p.id = b.product_id) UNION ALL SELECT 'bad value', id FROM broken WHERE length(seller_product_id) NOT BETWEEN 1 AND 64 UNION ALL SELECT 'repeated key', count(*) FROM broken GROUP BY seller_name, seller_product_id HAVING count(*) > 1")
+def constraint_violations(spark, sf_dir):
+    links = _both(spark, sf_dir)[1]
+    broken = links.withColumn("product_id", F.when(F.col("id") % 70 == 0, -F.col("product_id")).otherwise(F.col("product_id")))
+    broken = materialize(broken.withColumn("seller_product_id", F.when(F.col("id") % 110 == 0, "x" * 65).otherwise(F.col("seller_product_id"))), "broken")
+    row = lambda df, problem, column: df.select(F.lit(problem).alias("problem"), F.col(column).alias("id"))
+    return (
+        row(constraints.orphans(broken, tables.products(spark, sf_dir)), "orphan", "id")
+        .unionByName(row(constraints.bad_values(broken), "bad value", "id"))
+        .unionByName(row(constraints.repeated_keys(broken), "repeated key", "links"))
+    )
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT o_orderkey + 1 AS id FROM orders WHERE o_orderkey + 1 NOT IN (SELECT id FROM product)")
+def missing_products(spark, sf_dir):
+    wanted = tables.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("id"))
+    return updates.missing_products(wanted, tables.products(spark, sf_dir))
+
+
+@query("SELECT vec_id::BIGINT AS id, CASE WHEN vec_id % 7 = 0 THEN 'dimension' WHEN vec_id % 11 = 0 THEN 'not finite' WHEN vec_id % 13 = 0 THEN 'zero' END AS problem FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0")
+def vector_problems(spark, sf_dir):
+    v, i = _vectors(spark, sf_dir), F.col("id")
+    spoiled = (
+        F.when(i % 7 == 0, F.slice("vector", 1, 3))
+        .when(i % 11 == 0, F.transform("vector", lambda x: F.lit(float("nan")).cast("float")))
+        .when(i % 13 == 0, F.transform("vector", lambda x: F.lit(0.0).cast("float")))
+        .otherwise(F.col("vector"))
+    )
+    return similarity.quarantine(v.withColumn("vector", spoiled), v.select(F.size("vector")).first()[0])[1]
+
+
+@query("SELECT o_orderkey AS id, 'seller' || (o_custkey % 20) AS seller_name, o_custkey AS product_id, o_orderkey::VARCHAR AS seller_product_id FROM orders")
+def migrated_links(spark, sf_dir):
+    legacy = tables.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("seller"), (F.col("o_custkey") % 20).cast("string")).alias("seller_name"),
+        F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("seller_product_id"),
+    )
+    return constraints.text_links(legacy)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY user_id, event_type")
+def first_events(spark, sf_dir):
+    return tables.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
+
+
+# --- embedding ------------------------------------------------------------------------------------
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    f"WITH {PRODUCT_SQL}, t AS (SELECT DISTINCT {_identity('name', 'brand', 'category')} AS text FROM product) SELECT text, "
+    + ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))::DOUBLE AS n_{c}" for c in _LETTERS[:8])
+    + ", length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE AS digits FROM t"
+)
+def letter_vectors(spark, sf_dir):
+    """Distinct identities, embedded with half of them in the cache."""
+    named = tables.products(spark, sf_dir).select(text.identity(F.col("name"), F.col("brand"), F.col("category")).alias("text"))
+    model = LetterEmbedder()
+    cache = materialize(cache_rows(embed_distinct(named.filter(F.xxhash64("text") % 2 == 0), model), model), "cache")
+    v = embed_distinct(named, model, cache)
+    counts = [F.element_at("vector", k + 1).cast("double").alias(f"n_{c}") for k, c in enumerate(_LETTERS[:8])]
+    return v.select("text", *counts, F.element_at("vector", 27).cast("double").alias("digits"))
+
+
+# --- whole runs -----------------------------------------------------------------------------------
+
+
+def _ingested(spark: SparkSession, sf_dir: str, mode: str, embedder=None, threshold: float = MATCH, dry_run: bool = False) -> Ingested:
+    records = materialize(_records(spark, sf_dir).drop("true_product"), "records")
+    links = spark.createDataFrame([], "id long, seller_name string, product_id long, seller_product_id string")
+    return ingest(records, tables.products(spark, sf_dir), links, embedder or HashEmbedder(), threshold, mode, dry_run)
+
+
+@query(RESULTS_SQL + "SELECT count(*) AS records, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'linked') AS linked, count(*) FILTER (outcome = 'existing') AS existing, count(*) FILTER (outcome = 'rejected') AS rejected, 0::BIGINT AS failed, count(*) FILTER (len(flags) > 0) AS suspicious, 0::BIGINT AS updated FROM results")
+def ingest_summary(spark, sf_dir):
+    return summary(_ingested(spark, sf_dir, "none").results)
+
+
+@query(RESULTS_SQL + "SELECT record_index, outcome, product_id, reason FROM results")
+def ingest_results(spark, sf_dir):
+    return _ingested(spark, sf_dir, "none").results.select("record_index", "outcome", "product_id", "reason")
+
+
+@query(RESULTS_SQL + "SELECT record_index, outcome, CASE WHEN product_id > (SELECT max(id) FROM product) THEN (SELECT max(id) FROM product) - product_id ELSE product_id END AS product_id FROM results")
+def ingest_dry_run(spark, sf_dir):
+    return _ingested(spark, sf_dir, "none", dry_run=True).results.select("record_index", "outcome", "product_id")
+
+
+@query(RESULTS_SQL + "SELECT * FROM product UNION ALL SELECT product_id, name, nullif(brand, ''), nullif(category, '') FROM results WHERE outcome = 'inserted'")
+def ingest_products(spark, sf_dir):
+    return _ingested(spark, sf_dir, "none").products
+
+
+@query(RESULTS_SQL + "SELECT row_number() OVER (ORDER BY record_index) AS id, seller_name, product_id, seller_product_id FROM results WHERE outcome IN ('inserted', 'linked')")
+def ingest_links(spark, sf_dir):
+    return _ingested(spark, sf_dir, "none").links
+
+
+@query(RESULTS_SQL + """, lines AS (SELECT 'rejected' AS section, record_index, '#' || record_index || ' ' || seller_name || ' ' || seller_product_id || ': ' || reason AS line FROM results WHERE outcome = 'rejected'
+    UNION ALL SELECT 'suspicious', record_index, '#' || record_index || ' ' || seller_name || ' ' || seller_product_id || ': ' || array_to_string(flags, '; ') FROM results WHERE len(flags) > 0) SELECT * FROM lines""")
+def report_lines(spark, sf_dir):
+    lines = report.report_lines(_ingested(spark, sf_dir, "none").results)
+    return lines.filter("section in ('rejected', 'suspicious')").select("section", "record_index", "line")
+
+
+@query()
+def decision_lines(spark, sf_dir):
+    return report.decision_lines(_ingested(spark, sf_dir, "overwrite").results)
+
+
+@query()
+def ingest_fill(spark, sf_dir):
+    return _ingested(spark, sf_dir, "fill").results
+
+
+@query()
+def ingest_overwrite(spark, sf_dir):
+    return _ingested(spark, sf_dir, "overwrite").results
+
+
+@query()
+def ingest_similar(spark, sf_dir):
+    """With vectors that are close for close names."""
+    return _ingested(spark, sf_dir, "fill", NgramEmbedder(64), 0.97).results
+
+
+@query(RESULTS_SQL + "SELECT count(*) FILTER (outcome IN ('inserted', 'linked')) * 0 AS inserted_or_linked, count(*) FILTER (outcome <> 'rejected') AS existing, count(*) FILTER (outcome = 'rejected') AS rejected FROM results")
+def rerun_changes_nothing(spark, sf_dir):
+    first = _ingested(spark, sf_dir, "none")
+    links, products = materialize(first.links, "links"), materialize(first.products, "products")
+    again = ingest(materialize(_records(spark, sf_dir).drop("true_product"), "records"), products, links, HashEmbedder(), MATCH, "none")
+    s = summary(again.results)
+    return s.select((F.col("inserted") + F.col("linked")).alias("inserted_or_linked"), "existing", "rejected")
+
+
+@query(BASE + "SELECT record_index, to_json(struct_pack(index := record_index)) AS start FROM records")
+def json_records(spark, sf_dir):
+    """Records as JSON lines; the oracle knows the line's beginning."""
+    lines = report.json_records(_records(spark, sf_dir))
+    return lines.select("record_index", F.concat(F.substring_index("line", ",", 1), F.lit("}")).alias("start"))
