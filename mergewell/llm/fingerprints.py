@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mergewell.llm.workspace import materialize, with_rank
 
-COORDINATES = 32
+COORDINATES = 48
 HEX = 8
 NO_ID = -(1 << 63)
 SPACE = "[\\x20\\x09-\\x0D]+"
