@@ -178,7 +178,7 @@ def payload_elements(spark, sf_dir):
     arrays = each.groupBy(F.col("raw_seller").alias("seller"), "block").agg(body.alias("value"))
     arrays.write.parquet(path)
     stored = spark.read.parquet(path).select(F.concat_ws("/", "seller", "block").alias("path"), F.encode("value", "utf-8").alias("content"))
-    decoded = stored.mapInPandas(payloads._decode(payloads.MAX_BYTES), payloads.SCHEMA)
+    decoded = payloads.decode_files(stored)
     parts = F.split("payload_id", "/")
     return decoded.groupBy(parts[0].alias("seller"), parts[1].cast("long").alias("block")).agg(
         F.count("record_index").alias("elements"), F.count("payload_error").alias("errors")
