@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from mergewell.llm.workspace import materialize, with_rank
 
 COORDINATES = 48
-HEX = 8
+HEX = 4  # 16 bits a coordinate: two samples look equal by chance once in 65536
 NO_ID = -(1 << 63)
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -55,7 +55,7 @@ def _printed(name: str, coordinates: int) -> Column:
     """Hex of a hash of each least key, one after the other."""
     parts = [
         F.lpad(
-            F.lower(F.hex(F.xxhash64(F.floor(F.col(f"{name}_{k}") * float(1 << 30)), F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)))),
+            F.lower(F.hex(F.xxhash64(F.floor(F.col(f"{name}_{k}") * float(1 << 30)), F.lit(k)).bitwiseAND(F.lit((1 << (4 * HEX)) - 1)))),
             HEX,
             "0",
         )
@@ -125,6 +125,9 @@ def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
         F.col("_next_id").alias("_id"), F.col("_next_hash").alias("_hash"), F.col("_id").alias("_for_id"),
         F.col("_hash").alias("_for_hash"), "_chars", (F.col("_repeats") * F.col("_next_repeats")).alias("_times"),
     )
+    # word counts take several times the space of their texts: smaller partitions keep them in memory
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "_id", "_hash")
     pieces = rows.join(wanted, ["_id", "_hash"]).select(
         F.col("_for_id").alias("_id"), F.col("_for_hash").alias("_hash"), "_chars", "_times",
         F.substring(F.col("_text"), F.lit(1), cut).alias("_piece"),
@@ -132,7 +135,10 @@ def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), F.col("_chars") - cut), F.col("_piece"))
     texts = rows.join(pieces, ["_id", "_hash"]).select("_id", "_hash", "_chars", "_times", "_text", edited.alias("_edited"))
     prints = sample_words(texts, ["_id", "_hash"], {"fingerprint": "_text", "edited_fingerprint": "_edited"}, coordinates)
-    digests = texts.groupBy("_id", "_hash").agg(F.first(F.sha2("_edited", 256)).alias("edited_sha256"))
+    # the same columns as for the words, so that both read the same exchanges
+    digests = texts.groupBy("_id", "_hash").agg(
+        F.first(F.sha2("_edited", 256)).alias("edited_sha256"), F.first("_times").alias("_times")
+    )
     known = materialize(digests.join(prints, ["_id", "_hash"], "left").na.fill("", ["fingerprint", "edited_fingerprint"]), "prints")
     following = known.select(
         F.col("_id").alias("_next_id"), F.col("_hash").alias("_next_hash"), F.col("fingerprint").alias("_next")
