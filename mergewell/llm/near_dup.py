@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from mergewell.llm.components import connected_components
 from mergewell.llm.textkernel import constants, distinct, mix, reduce_rows, shingles
-from mergewell.llm.workspace import materialize
+from mergewell.workspace import materialize
 
 WORDS = 5
 COORDINATES = 96
@@ -176,7 +176,8 @@ def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
     posted = materialize(posted, "rest")
     sizes = posted.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("shingle").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    posted = posted.join(mixed, "shingle")
+    # written, so that the join of the lists with themselves deals out both sides and can split a long list
+    posted = materialize(posted.join(mixed, "shingle"), "rest-lists")
     main = F.col("component") == F.col("main")
     out = None
     for left, right in ((posted.filter(~main), posted), (posted.filter(main), posted.filter(~main))):

@@ -116,9 +116,9 @@ class AttentionModel:
         if not len(y) or y.min() == y.max():
             self.constant = float(y[0]) if len(y) else 0.5
             return
-        stacked = np.vstack(bags)
-        self.mean, self.scale = stacked.mean(axis=0), stacked.std(axis=0) + 1e-2
-        bags = [(b - self.mean) / self.scale for b in bags]
+        n = sum(map(len, bags))
+        self.mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(axis=0) for b in bags) / n) + 1e-2
         rng, step = np.random.default_rng(11), 0
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
@@ -127,7 +127,8 @@ class AttentionModel:
             for i in range(0, len(y), size):
                 part = order[i : i + size]
                 at = np.concatenate([[0], np.cumsum([len(bags[k]) for k in part])])
-                slopes = self._gradient(np.vstack([bags[k] for k in part]), at, y[part])
+                x = (np.vstack([bags[k] for k in part]) - self.mean) / self.scale
+                slopes = self._gradient(x, at, y[part])
                 step += 1
                 for k, slope in slopes.items():
                     slope = slope + decay * self.p[k]
@@ -153,7 +154,7 @@ def _bags(most_passages: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_passages: int = 256) -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_passages: int = 32) -> AttentionModel:
     """Fit on at most ``most_labelled`` rows of ``labels (doc_id, label)``.
 
     Only while training, a longer document is thinned evenly to ``most_passages`` passages.
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_pa
         .collect()
     )
     found = sorted(((r["doc_id"], bytes(r["bag"]), r["label"]) for r in found))[:most_labelled]
-    bags = [np.frombuffer(bag, np.float32).reshape(-1, WIDTH).astype(np.float64) for _, bag, _ in found]
+    bags = [np.frombuffer(bag, np.float32).reshape(-1, WIDTH) for _, bag, _ in found]
     model.fit(bags, np.array([y for *_, y in found]))
     return model
 

@@ -1,7 +1,7 @@
 """Vectorised helpers over Arrow string columns: words, word hashes, shingles.
 
 Words are maximal runs of characters other than space and ``\\t``-``\\r``; hashes see ``A-Z`` in lower
-case.  Everything works on blocks of a few megabytes, so a batch of very long texts needs no more
+case.  Everything works on blocks of about a megabyte, so a batch of very long texts needs no more
 memory than its word hashes.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 

@@ -39,7 +39,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from mergewell.llm.workspace import fresh_path
+from mergewell.workspace import fresh_path
 
 MANIFEST = "manifest.json"
 SCHEMA = (

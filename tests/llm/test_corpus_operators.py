@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mergewell.llm import fingerprints, mixing, near_dup, quality, secret_scan, textkernel, warc
 from mergewell.llm.components import connected_components
-from mergewell.llm.workspace import fresh_path, with_rank
+from mergewell.workspace import fresh_path, with_rank
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
