@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.language_id import identify_documents
-from mergewell.llm import decontaminate, fingerprints, mixing, near_dup, secret_scan, warc
+from mergewell.llm import decontaminate, fingerprints, licenses, mixing, near_dup, secret_scan, warc
 from mergewell.llm.quality import score_quality
 from mergewell.llm.token_counts import count_tokens
 
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
     "op6_near_dup": op6_near_dup,
     "op7_warc": op7_warc,
