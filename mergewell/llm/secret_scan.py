@@ -165,7 +165,8 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") -> DataF
 
 
 def _redacted(docs: DataFrame, scope: int, mask: str) -> DataFrame:
-    scanned = scan(docs, docs.columns, scope)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")  # no column of theirs can clash
+    scanned = scan(docs.select(whole, "text"), ["_doc"], scope)
     start = F.struct(F.lit(0).cast("bigint").alias("to"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("gaps"))
     # spans may overlap: what stays lies between the furthest end so far and the next start
     walked = F.aggregate(
@@ -181,15 +182,18 @@ def _redacted(docs: DataFrame, scope: int, mask: str) -> DataFrame:
             .alias("gaps"),
         ),
     )
-    cut = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
+    text = F.col("_doc.text")
+    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
     masked = F.concat(
         F.concat_ws("", F.transform("_walked.gaps", lambda g: F.concat(cut(g["from"], g["to"]), F.lit(mask)))),
-        cut(F.col("_walked.to"), F.char_length("text").cast("bigint")),
+        cut(F.col("_walked.to"), F.char_length(text).cast("bigint")),
     )
-    out = scanned.withColumn("_walked", walked).withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    found = F.size("spans") > 0
+    out = scanned.withColumn("_walked", walked).withColumn("_masked", F.when(found, masked).otherwise(text))
+    new = {"text": F.col("_masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(found, F.char_length("_masked").cast("bigint")).otherwise(F.col("_doc").getField("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def oracle(scope: int = SCOPE) -> str:

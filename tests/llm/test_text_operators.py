@@ -147,7 +147,7 @@ def test_secret_scan(spark):
     assert sorted((str(r["doc_id"]), r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in got) == sorted(want)
     assert any("endpoint" in w[-1] for w in want) and any("blob" in w[-1] for w in want)
     assert secret_scan.digest(df.limit(0)).count() == 0
-    masked = {(str(r["doc_id"]), r["text"], r["n_chars"]) for r in secret_scan.redact(df.drop("spans").withColumn("n_chars", F.char_length("text").cast("long"))).collect()}
+    masked = {(str(r["doc_id"]), r["text"], r["n_chars"]) for r in secret_scan.redact(df.withColumn("_row", F.lit(1)).withColumn("n_chars", F.char_length("text").cast("long"))).collect()}
     assert masked == {(str(i), t and brute.masked(t, brute.spans(t, secret_scan.KINDS)), None if t is None else len(brute.masked(t, brute.spans(t, secret_scan.KINDS)))) for i, t, _ in rows}
 
 
