@@ -729,7 +729,7 @@ def rerun_changes_nothing(spark, sf_dir):
     return s.select((F.col("inserted") + F.col("linked")).alias("inserted_or_linked"), "existing", "rejected")
 
 
-@query(BASE + "SELECT record_index, to_json(struct_pack(index := record_index)) AS start FROM records")
+@query(BASE + "SELECT record_index, to_json(struct_pack(index := record_index))::VARCHAR AS start FROM records")
 def json_records(spark, sf_dir):
     """Records as JSON lines; the oracle knows the line's beginning."""
     lines = report.json_records(_records(spark, sf_dir))
