@@ -52,7 +52,7 @@ def _versions(touched: DataFrame) -> DataFrame:
 
 
 def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
-    """The best valid version for every ``record_index, vector``: ``record_index, pid, score``."""
+    """The best valid version for every ``record_index, uid, vector``: ``record_index, pid, score``."""
     found = None
     for part in similarity.slices(versions, ["pid", "after", "until"], "vector"):
         shared = queries.sparkSession.sparkContext.broadcast((part["pid"], part["after"], part["until"], part["matrix"]))
@@ -60,10 +60,13 @@ def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pids, after, until, matrix = shared.value
             for batch in batches:
-                index, v = batch.column("record_index").to_numpy(), similarity.unit_rows(batch.column("vector"))
+                index = batch.column("record_index").to_numpy()
                 for i in range(0, len(index), 256):
                     own = index[i : i + 256, None]
-                    s = np.where((after < own) & (own <= until), similarity.scores(v[i : i + 256], matrix), -np.inf)
+                    # records of one identity share their scores
+                    _, firsts, which = np.unique(batch.column("uid").to_numpy()[i : i + 256], return_index=True, return_inverse=True)
+                    v = similarity.unit_rows(batch.column("vector").slice(i, 256).take(pa.array(firsts)))
+                    s = np.where((after < own) & (own <= until), similarity.scores(v, matrix)[which], -np.inf)
                     best = s.argmax(axis=1)
                     top = s[np.arange(len(best)), best]
                     real = np.isfinite(top)
@@ -72,7 +75,7 @@ def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
                         ["record_index", "pid", "score"],
                     )
 
-        rows = queries.select("record_index", "vector").mapInArrow(run, "record_index long, pid long, score float")
+        rows = queries.select("record_index", "uid", "vector").sortWithinPartitions("uid").mapInArrow(run, "record_index long, pid long, score float")
         found = rows if found is None else found.unionByName(rows)
     return found if found is not None else queries.sparkSession.createDataFrame([], "record_index long, pid long, score float")
 
@@ -136,6 +139,21 @@ class Resolver:
         out = self.queries.select("record_index").join(best.select("record_index", "m.*"), "record_index", "left")
         return out.withColumn("kind", vectors.kind(F.col("score"), self.threshold))
 
+    def guess(self, decided: DataFrame) -> DataFrame:
+        """``decided`` with novel records of one identity following the first of them.
+
+        A run may start from any state; this one is close to the last and small, however often a new
+        product is offered.
+        """
+        known = decided.join(self.queries.select("record_index", "uid"), "record_index")
+        first = known.filter("kind = 'novel'").groupBy("uid").agg(F.min("record_index").alias("_first"))
+        joined = known.join(first, "uid", "left")
+        later = (F.col("kind") == "novel") & (F.col("record_index") > F.col("_first"))
+        return joined.select(
+            "record_index", F.when(later, F.col("_first") + INSERTED).otherwise(F.col("pid")).alias("pid"), "score",
+            F.when(later, "duplicate").otherwise(F.col("kind")).alias("kind"),
+        )
+
     def follow(self, decided: DataFrame) -> DataFrame:
         """Accepted records with the product ``pid`` that they end up with, and whether they insert it."""
         chosen = decided.select(
@@ -165,7 +183,8 @@ class Resolver:
         """The settled decisions, the records with their products, and the touched products."""
         touched, seen = self.spark.createDataFrame([], TOUCHED), None
         for _ in range(self.most_rounds):
-            decided = materialize(self.decide(touched), "decided")
+            decided = self.decide(touched)
+            decided = materialize(self.guess(decided) if seen is None else decided, "decided")
             followed = materialize(self.follow(decided), "followed")
             touched = materialize(self.implied(followed), "touched")
             mark = touched.agg(F.count("*"), F.sum(F.xxhash64(*[c.split()[0] for c in TOUCHED.split(", ")]).cast("decimal(38,0)"))).first()
