@@ -125,7 +125,8 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def prefixes(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """``key, node, n``: the rarest coordinate-value pairs of each node, as far as a link needs them."""
     posted = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("listed")).filter("listed > 1")
+    # written, so that the join deals out both sides and can split a long list
+    shared = materialize(posted.groupBy("key").agg(F.count("*").alias("listed")).filter("listed > 1"), "listed")
     ordered = (
         posted.join(shared, "key")
         .groupBy("node", "n")
@@ -160,7 +161,7 @@ def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
     ``room``, the most that the two sets can share.
     """
     each = materialize(rest.select("node", "n", "shingles").mapInArrow(_spread, "node long, n long, shingle long"), "shingles")
-    shared = each.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = materialize(each.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1"), "held")
     # a text's shingles come together, rarest first; those that no other node has precede them all
     ordered = each.join(shared, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own"))
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -176,6 +177,7 @@ def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
     posted = materialize(posted, "rest")
     sizes = posted.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("shingle").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    mixed = materialize(mixed, "mixed")
     # written, so that the join of the lists with themselves deals out both sides and can split a long list
     posted = materialize(posted.join(mixed, "shingle"), "rest-lists")
     main = F.col("component") == F.col("main")
