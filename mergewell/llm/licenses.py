@@ -67,7 +67,7 @@ SCHEMA = "own_license string, own_score double, n_notices int, notice_share doub
 
 
 def terms(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w.lower() for w in WORD.findall(text)]
 
 
 class Templates:
@@ -105,13 +105,13 @@ class Templates:
     def notices(self, text: str) -> Iterator[tuple[int, int, int, int, float]]:
         """(start, end, words, template, cosine) of the sentences that match."""
         for m in SENTENCE.finditer(text):
-            found = list(WORD.finditer(m[0].lower()))
-            if not found or self.anchors.isdisjoint(w[0] for w in found):
+            found = list(WORD.finditer(m[0]))  # lower-cased one by one: the length of a text may change
+            if not found or self.anchors.isdisjoint(w[0].lower() for w in found):
                 continue
             end = -1
             for k in range(0, max(1, len(found) - WINDOW // 2), WINDOW // 2):
                 part = found[k : k + WINDOW]
-                top, score = self.best([w[0] for w in part])
+                top, score = self.best([w[0].lower() for w in part])
                 start = m.start() + part[0].start()
                 if score >= self.threshold and start >= end:
                     end = m.start() + part[-1].end()

@@ -91,3 +91,15 @@ def test_notices_of_the_tables(spark):
     want = {r["doc_id"]: v for r in docs.collect() for k, v in lines.items() if k in r["text"]}
     got = {r["doc_id"]: r["own_license"] for r in licenses.scan_documents(docs).collect()}
     assert len(got) == docs.count() and {d: x for d, x in got.items() if x} == want
+
+
+def test_offsets_where_lower_case_is_longer():
+    model = licenses.Templates(licenses.TEMPLATES, {t: 3 for _, x in licenses.TEMPLATES for t in licenses.terms(x)}, 1000, 0.75)
+    text = "İİ.\nİ\nReleased under the MIT License.\n"
+    shown = model.judge(text)[4]
+    name, start, end = shown.split(":")
+    assert name == "MIT" and text[int(start) : int(end)] == "Released under the MIT License"
+    assert licenses.terms("İ") == ["i̇"]
+    line = "İstanbul Released under the MIT License"
+    (start, end, n, _, _) = next(licenses.Templates(licenses.TEMPLATES, {}, 1, 0.5).notices(line))
+    assert (start, end, n) == (0, len(line), 6)
