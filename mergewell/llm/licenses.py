@@ -3,9 +3,10 @@
 A file's text is cut into sentences (long ones into overlapping windows of ``WINDOW`` words), and every
 sentence is compared with every template; a file takes the licence of its best notice.  Document
 frequencies come from all texts: tasks count the templates' vocabulary only, so what is shuffled and
-collected is at most one row a vocabulary word and task.  A word outside the vocabulary weighs as one
-of a single document.  Sentences that lack all of a template's heaviest words can't reach the
-threshold, whatever else they hold, and are passed over.
+collected is at most one row a vocabulary word and task.  A word that a template lacks weighs at most
+as the template's mean word, so that a notice's score doesn't fall as the corpus grows.  Words that a template shares with its identifier (``apache``, ``2``, ``0``) must all be there.
+Sentences that lack all of a template's rarest words can't reach the threshold, whatever else they
+hold, and are passed over.
 
 A licence file - by its name, or because notices make up half of its words - licenses its directory.
 A file without a notice inherits from the nearest directory above it that has one.  Directories, not
@@ -76,15 +77,20 @@ class Templates:
     def __init__(self, templates, frequencies: dict[str, int], documents: int, threshold: float):
         self.threshold, self.names = threshold, [name for name, _ in templates]
         self.weights = {t: self.idf(documents, n) for t, n in frequencies.items()}
-        self.other = self.idf(documents, 1)
-        self.vectors, self.anchors = [], set()
-        for _, text in templates:
-            v = {t: n * self.weights.get(t, self.other) for t, n in Counter(terms(text)).items()}
+        unseen = self.idf(documents, 1)
+        self.vectors, self.others, self.needed, self.anchors = [], [], [], set()
+        for name, text in templates:
+            words = terms(text)
+            for t in words:
+                self.weights.setdefault(t, unseen)
+            self.others.append(sum(self.weights[t] for t in words) / len(words))
+            self.needed.append(set(terms(name)).intersection(words))
+            v = {t: n * self.weights[t] for t, n in Counter(words).items()}
             norm = math.sqrt(sum(w * w for w in v.values()))
             v = {t: w / norm for t, w in v.items()}
             self.vectors.append(v)
             rest = 1.0
-            for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
+            for t, w in sorted(v.items(), key=lambda x: (-self.weights[x[0]], x[0])):
                 if rest < (threshold - 1e-6) ** 2:
                     break
                 self.anchors.add(t)
@@ -94,11 +100,24 @@ class Templates:
     def idf(documents: int, n: int) -> float:
         return math.log((1 + documents) / (1 + n)) + 1
 
+    def weight(self, t: str, v: dict[str, float], other: float) -> float:
+        """The weight of a word where it is compared with ``v``, whose mean word weighs ``other``."""
+        return self.weights[t] if t in v else min(self.weights.get(t, other), other)
+
     def best(self, words: list[str]) -> tuple[int, float]:
         """The best template and its cosine."""
-        own = {t: n * self.weights.get(t, self.other) for t, n in Counter(words).items()}
-        norm = math.sqrt(sum(w * w for w in own.values()))
-        scores = [sum(w * own.get(t, 0.0) for t, w in v.items()) / norm for v in self.vectors]
+        counts = Counter(words)
+        scores = []
+        for v, other, needed in zip(self.vectors, self.others, self.needed):
+            if not needed <= counts.keys():
+                scores.append(0.0)
+                continue
+            dot = squares = 0.0
+            for t, n in counts.items():
+                w = n * self.weight(t, v, other)
+                dot += w * v.get(t, 0.0)
+                squares += w * w
+            scores.append(dot / math.sqrt(squares))
         top = max(range(len(scores)), key=lambda k: (scores[k], -k))
         return top, min(1.0, scores[top])
 

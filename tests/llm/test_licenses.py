@@ -103,3 +103,13 @@ def test_offsets_where_lower_case_is_longer():
     line = "İstanbul Released under the MIT License"
     (start, end, n, _, _) = next(licenses.Templates(licenses.TEMPLATES, {}, 1, 0.5).notices(line))
     assert (start, end, n) == (0, len(line), 6)
+
+
+def test_a_word_more_is_found_whatever_the_size_of_the_corpus():
+    lines = ("This project is licensed under the MIT License", "This code is released under the MIT License", "Released under the MIT License by Acme")
+    words = {t for _, x in licenses.TEMPLATES for t in licenses.terms(x)}
+    for documents in (100, 10_000, 10**9):
+        frequencies = {t: documents // 20 for t in words} | {"code": 0}
+        model = licenses.Templates(licenses.TEMPLATES, frequencies, documents, licenses.THRESHOLD)
+        assert [model.judge(line)[0] for line in lines] == ["MIT"] * 3
+        assert model.judge("Licensed under the Eclipse Public License, Version 2.0")[0] is None
