@@ -1,12 +1,17 @@
 """Licence scans: notices and licence files by TF-IDF cosine to templates, inherited down directories.
 
 A file's text is cut into sentences (long ones into overlapping windows of ``WINDOW`` words), and every
-sentence is compared with every template; a file takes the licence of its best notice.  Document
-frequencies come from all texts: tasks count the templates' vocabulary only, so what is shuffled and
-collected is at most one row a vocabulary word and task.  A word that a template lacks weighs at most
-as the template's mean word, so that a notice's score doesn't fall as the corpus grows.  Words that a template shares with its identifier (``apache``, ``2``, ``0``) must all be there.
-Sentences that lack all of a template's rarest words can't reach the threshold, whatever else they
-hold, and are passed over.
+sentence is compared with every template. Besides, a window of each template's own length slides over
+the words of the whole text, across line breaks, so that wrapped headers, licence texts and notices
+inside prose are found; a window inside a sentence that matches as a whole is no notice of its own. A
+notice inside one of twice its length is a part of that; of others that overlap the better stands.
+Titles of licence texts count as a text's first lines only. A file takes the licence of its best notice.
+Document frequencies come from all texts: tasks count the templates' vocabulary only, so what is
+shuffled and collected is at most one row a vocabulary word and task. A word that a template lacks
+weighs at most as the template's mean word, so that a notice's score doesn't fall as the corpus grows.
+Words that a template shares with its identifier (``apache``, ``2``, ``0``) must all be there. Sentences
+that lack all of a template's rarest words can't reach the threshold, whatever else they hold, and are
+passed over.
 
 A licence file - by its name, or because notices make up half of its words - licenses its directory.
 A file without a notice inherits from the nearest directory above it that has one.  Directories, not
@@ -22,7 +27,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +63,38 @@ TEMPLATES = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: Headers of source files and whole licence texts.
+_PERMITTED = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_DISCLAIMED = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    *((name, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+      for name, what, kind, version in (("GPL-3.0", "program", "General Public License", 3), ("GPL-2.0", "program", "General Public License", 2), ("LGPL-3.0", "library", "Lesser General Public License", 3), ("AGPL-3.0", "program", "Affero General Public License", 3))),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("BSD-3-Clause", _PERMITTED + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _DISCLAIMED),
+    ("BSD-2-Clause", _PERMITTED + _DISCLAIMED),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+#: First lines of licence files.
+TITLES = (
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("ISC", "ISC License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("Unlicense", "The Unlicense"),
+)
 THRESHOLD = 0.75
 WINDOW = 64
 WORD = re.compile(r"[^\W_]+")
@@ -74,12 +112,15 @@ def terms(text: str) -> list[str]:
 class Templates:
     """Unit TF-IDF vectors of the templates, and the words one of which a match must hold."""
 
-    def __init__(self, templates, frequencies: dict[str, int], documents: int, threshold: float):
-        self.threshold, self.names = threshold, [name for name, _ in templates]
+    def __init__(self, templates, frequencies: dict[str, int], documents: int, threshold: float, titles=()):
+        self.threshold, self.n_templates = threshold, len(templates)
+        templates = [*templates, *titles]
+        self.names, self.lengths = [name for name, _ in templates], [len(terms(text)) for _, text in templates]
         self.weights = {t: self.idf(documents, n) for t, n in frequencies.items()}
         unseen = self.idf(documents, 1)
         self.vectors, self.others, self.needed, self.anchors = [], [], [], set()
-        for name, text in templates:
+        self.spots: dict[str, list[int]] = defaultdict(list)
+        for k, (name, text) in enumerate(templates):
             words = terms(text)
             for t in words:
                 self.weights.setdefault(t, unseen)
@@ -94,6 +135,7 @@ class Templates:
                 if rest < (threshold - 1e-6) ** 2:
                     break
                 self.anchors.add(t)
+                self.spots[t].append(k)
                 rest -= w * w
 
     @staticmethod
@@ -107,34 +149,112 @@ class Templates:
     def best(self, words: list[str]) -> tuple[int, float]:
         """The best template and its cosine."""
         counts = Counter(words)
-        scores = []
-        for v, other, needed in zip(self.vectors, self.others, self.needed):
-            if not needed <= counts.keys():
-                scores.append(0.0)
-                continue
-            dot = squares = 0.0
-            for t, n in counts.items():
-                w = n * self.weight(t, v, other)
-                dot += w * v.get(t, 0.0)
-                squares += w * w
-            scores.append(dot / math.sqrt(squares))
+        scores = [self.cosine(counts, k) for k in range(self.n_templates)]
         top = max(range(len(scores)), key=lambda k: (scores[k], -k))
-        return top, min(1.0, scores[top])
+        return top, scores[top]
 
-    def notices(self, text: str) -> Iterator[tuple[int, int, int, int, float]]:
-        """(start, end, words, template, cosine) of the sentences that match."""
+    def cosine(self, counts: Counter[str], k: int) -> float:
+        """The cosine to template ``k``, 0 where a word is missing that it needs."""
+        if not self.needed[k] <= counts.keys():
+            return 0.0
+        v, other = self.vectors[k], self.others[k]
+        dot = squares = 0.0
+        for t, n in counts.items():
+            w = n * self.weight(t, v, other)
+            dot += w * v.get(t, 0.0)
+            squares += w * w
+        return min(1.0, dot / math.sqrt(squares))
+
+    def sentences(self, text: str, words: list[str], starts: list[int]) -> Iterator[tuple[int, int, int, float]]:
+        """(first word, word after the last, template, cosine) of the sentences that match."""
         for m in SENTENCE.finditer(text):
-            found = list(WORD.finditer(m[0]))  # lower-cased one by one: the length of a text may change
-            if not found or self.anchors.isdisjoint(w[0].lower() for w in found):
+            lo, hi = bisect_left(starts, m.start()), bisect_left(starts, m.end())
+            if lo == hi or self.anchors.isdisjoint(words[lo:hi]):
                 continue
             end = -1
-            for k in range(0, max(1, len(found) - WINDOW // 2), WINDOW // 2):
-                part = found[k : k + WINDOW]
-                top, score = self.best([w[0].lower() for w in part])
-                start = m.start() + part[0].start()
-                if score >= self.threshold and start >= end:
-                    end = m.start() + part[-1].end()
-                    yield start, end, len(part), top, score
+            for i in range(lo, max(lo + 1, hi - WINDOW // 2), WINDOW // 2):
+                part = words[i : min(hi, i + WINDOW)]
+                top, score = self.best(part)
+                if score >= self.threshold and i >= end:
+                    end = i + len(part)
+                    yield i, end, top, score
+
+    def windows(self, words: list[str]) -> Iterator[tuple[int, int, int, float]]:
+        """The same of the windows of each template's length, less the words at the ends that it lacks."""
+        near, have = defaultdict(list), set(words)
+        for i, t in enumerate(words):
+            for k in self.spots.get(t, ()):
+                near[k].append(i)
+        for k, anchors in near.items():
+            v, other, length = self.vectors[k], self.others[k], self.lengths[k]
+            if k >= self.n_templates or not self.needed[k] <= have or sum(w * w for t, w in v.items() if t in have) < (self.threshold - 1e-6) ** 2:
+                continue
+            weights, lo, hi, seen = {}, 0, 0, set()
+            for i, a in enumerate(anchors):
+                if a + 1 - length >= hi or not i:
+                    lo, counts, dot, squares = max(0, a + 1 - length), Counter(), 0.0, 0.0
+                    hi = lo
+                # the window that ends at ``hi``, until the anchor has left it
+                for hi in range(hi, min(len(words), a + length)):
+                    for j, step in ((hi, 1), (hi - length, -1)):
+                        if j < lo:
+                            continue
+                        t = words[j]
+                        w = weights.get(t)
+                        if w is None:
+                            w = weights[t] = self.weight(t, v, other)
+                        n = counts[t]
+                        counts[t] = n + step
+                        dot += step * w * v.get(t, 0.0)
+                        squares += w * w * (2 * step * n + 1)
+                    if dot > 0 and dot >= (self.threshold - 1e-6) * math.sqrt(max(squares, 0.0)):
+                        first, last = max(lo, hi + 1 - length), hi
+                        while words[first] not in v:
+                            first += 1
+                        while words[last] not in v:
+                            last -= 1
+                        if (first, last) not in seen:
+                            seen.add((first, last))
+                            score = self.cosine(Counter(words[first : last + 1]), k)
+                            if score >= self.threshold:
+                                yield first, last + 1, k, score
+                hi = min(len(words), a + length)
+
+    def title(self, text: str, words: list[str], starts: list[int]) -> Iterator[tuple[int, int, int, float]]:
+        """The same of the titles that are a text's first lines."""
+        for k in range(self.n_templates, len(self.names)):
+            n = self.lengths[k]
+            if len(words) > n and "\n" not in text[starts[n - 1] : starts[n]] or len(words) < n:
+                continue
+            score = self.cosine(Counter(words[:n]), k)
+            if score >= self.threshold:
+                yield 0, n, k, score
+
+    def notices(self, text: str) -> Iterator[tuple[int, int, int, int, float]]:
+        """(start, end, words, template, cosine) of the notices, none of which overlap."""
+        found = list(WORD.finditer(text))  # lower-cased one by one: the length of a text may change
+        words, starts = [w[0].lower() for w in found], [w.start() for w in found]
+        whole = list(self.sentences(text, words, starts))
+        within = {i: s for s, (a, b, _, _) in enumerate(whole) for i in range(a, b)}
+        parts = (
+            (a, b, k, score) for a, b, k, score in self.windows(words) if a not in within or within[a] != within.get(b - 1)
+        )
+        every = sorted([*whole, *parts, *self.title(text, words, starts)], key=lambda x: x[0] - x[1])
+        until, longer, left = [0] * len(words), 0, []  # until: where the last ends of those of twice the length around a word
+        for a, b, k, score in every:
+            while every[longer][1] - every[longer][0] >= 2 * (b - a):
+                first, last = every[longer][:2]
+                until[first:last] = [max(last, x) for x in until[first:last]]
+                longer += 1
+            if until[a] < b:
+                left.append((a, b, k, score))
+        taken, chosen = bytearray(len(words)), []
+        for a, b, k, score in sorted(left, key=lambda x: (-round(x[3], 9), x[0] - x[1], x[0], x[2])):
+            if not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                chosen.append((a, b, k, score))
+        for a, b, k, score in sorted(chosen):
+            yield starts[a], found[b - 1].end(), b - a, k, score
 
     def judge(self, text: str | None) -> tuple:
         words = terms(text or "")
@@ -199,12 +319,14 @@ def inherited(judged: DataFrame, least_share: float) -> DataFrame:
 
 
 def scan(
-    files: DataFrame, keep: list[str], templates=TEMPLATES, threshold: float = THRESHOLD, least_share: float = 0.5
+    files: DataFrame, keep: list[str], templates=TEMPLATES, threshold: float = THRESHOLD, least_share: float = 0.5,
+    headers=HEADERS, titles=TITLES,
 ) -> DataFrame:
     """``keep`` and the licences of every row of ``files (path, text)``: own, inherited and the one that holds."""
-    vocabulary = {t for _, text in templates for t in terms(text)}
+    templates = (*templates, *headers)
+    vocabulary = {t for _, text in (*templates, *titles) for t in terms(text)}
     rows = files.select(*dict.fromkeys([*keep, "path"]), F.col("text").cast("string").alias("text"))
-    model = Templates(templates, *document_frequencies(rows, vocabulary), threshold)
+    model = Templates(templates, *document_frequencies(rows, vocabulary), threshold, titles)
     shared = files.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != "text"]
     shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import textwrap
 
 from mergewell.llm import licenses
 
@@ -113,3 +114,20 @@ def test_a_word_more_is_found_whatever_the_size_of_the_corpus():
         model = licenses.Templates(licenses.TEMPLATES, frequencies, documents, licenses.THRESHOLD)
         assert [model.judge(line)[0] for line in lines] == ["MIT"] * 3
         assert model.judge("Licensed under the Eclipse Public License, Version 2.0")[0] is None
+
+
+def test_wrapped_headers_titles_and_notices_in_prose(spark):
+    wrap = lambda text, width=60, start="# ": "\n".join(start + line for line in textwrap.wrap(text, width))
+    prose = " ".join(f"word{k}" for k in range(150))
+    texts = [(name, "import os\n" + wrap(text) + "\n\ncode = 1\n") for name, text in licenses.HEADERS]
+    texts += [(name, wrap(text, 25, " * ")) for name, text in licenses.TEMPLATES if len(text) > 25]
+    texts += [(name, f"{prose} and {text[0].lower() + text[1:]} and {prose}") for name, text in licenses.TEMPLATES]
+    texts += [(name, f"\n{title}\n\nCopyright (c) 2020 Someone\n{prose}") for name, title in licenses.TITLES]
+    texts += [("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + prose), ("MIT", "MIT License")]
+    texts += [(None, "MIT License talk\n" + prose), (None, f"{prose}\nMIT License\n{prose}"), (None, wrap("Licensed under the Eclipse Public License, Version 2.0", 20))]
+    files = [(k, f"d{k}/LICENSE", text) for k, (_, text) in enumerate(texts)] + [(1000 + k, f"d{k}/deep/file", prose) for k in range(len(texts))]
+    files += [(10_000 + k, f"x/{k}", prose) for k in range(300)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(files, FILE), ["doc_id"]).collect()}
+    for k, (name, text) in enumerate(texts):
+        assert (got[k]["own_license"], got[1000 + k]["license"]) == (name, name), text
+    assert all(got[k]["n_notices"] == 1 for k, (name, _) in enumerate(texts) if name)
