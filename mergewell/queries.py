@@ -492,6 +492,12 @@ def threshold_check(spark, sf_dir):
     return safe.join(F.broadcast(cal.shipped(pos, neg, -0.3).select(F.array_join("missed", ",").alias("missed"))))
 
 
+@query(_SCORES_SQL + f"SELECT record_index FROM p WHERE score < {THRESHOLD}::FLOAT")
+def threshold_missed(spark, sf_dir):
+    """All known matches that the checked threshold misses, a row each."""
+    return cal.missed(_scores(spark, sf_dir)[0], THRESHOLD).select("record_index")
+
+
 @query(_SCORES_SQL + "(SELECT 'lowest' AS side, round(score::DOUBLE, 4) AS score, record_index AS id FROM p ORDER BY score, record_index LIMIT 5) UNION ALL (SELECT 'highest', round(score::DOUBLE, 4), id FROM m ORDER BY score DESC, id DESC LIMIT 10)")
 def hardest_pairs(spark, sf_dir):
     pos, neg = _scores(spark, sf_dir)
