@@ -205,6 +205,21 @@ def sanitize_dirty_texts(spark, sf_dir):
     return docs.select("doc_id", F.col("v").alias("value"), text.flags("Name", F.col("t"), F.col("f"), F.col("v")).alias("flags")).withColumn("flags", _flag_text())
 
 
+@query(
+    f"WITH d AS (SELECT doc_id, 'Ca' || chr(770) || chr(8203) || '  ' || text AS t FROM documents), s AS (SELECT doc_id, t, {_full('t')} AS f FROM d), "
+    f"c AS (SELECT doc_id, t, f, {_cap('f')} AS v FROM s) SELECT doc_id, v AS value, array_to_string({_flags('Name', 't', 'f', 'v')}, '; ') AS flags FROM c"
+)
+def sanitize_dirty_whole_texts(spark, sf_dir):
+    """``sanitize_dirty_texts`` over the whole text."""
+    return _sanitized_dirty(tables.table(spark, sf_dir, "documents"))
+
+
+def _sanitized_dirty(documents: DataFrame) -> DataFrame:
+    docs = documents.select("doc_id", F.concat(F.lit("Ca\u0302\u200b  "), F.col("text")).alias("t"))
+    docs = docs.withColumn("f", text.uncapped(F.col("t"))).withColumn("v", text.capped(F.col("f")))
+    return docs.select("doc_id", F.col("v").alias("value"), text.flags("Name", F.col("t"), F.col("f"), F.col("v")).alias("flags")).withColumn("flags", _flag_text())
+
+
 @query(f"SELECT page_id, regexp_matches(html, {_q(text.MARKUP_PATTERN)}) AS markup, regexp_matches(url, {_q(text.MARKUP_PATTERN)}) AS url_markup, regexp_matches(url, {_q(text.SQL_PATTERN)}) AS url_sql FROM pages")
 def markup_flags(spark, sf_dir):
     return tables.table(spark, sf_dir, "pages").select(
@@ -256,6 +271,19 @@ def match_ladder(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", *[form(t).alias(level) for level, form in text.LADDER.items()])
 
 
+@query(
+    f"SELECT doc_id, text AS exact, lower(trim(regexp_replace(text, ' +', ' ', 'g'))) AS collapsed, "
+    f"lower(strip_accents(trim(regexp_replace(text, ' +', ' ', 'g')))) AS folded, {_key('text')} AS alphanumeric FROM documents"
+)
+def match_ladder_whole_texts(spark, sf_dir):
+    """``match_ladder`` over the whole text."""
+    return _ladder(tables.table(spark, sf_dir, "documents"))
+
+
+def _ladder(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", *[form(F.col("text")).alias(level) for level, form in text.LADDER.items()])
+
+
 @query(BASE + "SELECT r.record_index, lower(coalesce(p.brand, '')) = lower(upper(r.brand)) AS same_brand, nullif(r.brand, '') AS brand FROM records r JOIN product p ON p.id = r.true_product")
 def folded_equality(spark, sf_dir):
     joined = link_ops.resolve_products(_records(spark, sf_dir), tables.products(spark, sf_dir), "true_product")

@@ -38,3 +38,17 @@ def against_sql(spark, name):
 def test_missed_matches_of_the_tables(spark):
     assert len(against_sql(spark, "threshold_missed")) > 100
     against_sql(spark, "threshold_check")
+
+
+def test_texts_are_taken_whole(spark):
+    docs = spark.createDataFrame([(1, "é" * 400 + "a"), (2, "é" * 400 + "b"), (3, " " * 400 + "late\x07")], "doc_id long, text string")
+    ladder = {r["doc_id"]: r for r in queries._ladder(docs).collect()}
+    assert all(ladder[1][level] != ladder[2][level] for level in ("exact", "collapsed", "folded", "alphanumeric"))
+    assert ladder[1]["folded"] == "e" * 400 + "a"
+    dirty = {r["doc_id"]: r for r in queries._sanitized_dirty(docs).collect()}
+    assert dirty[3]["value"].endswith(" late") and dirty[3]["flags"]
+
+
+@pytest.mark.parametrize("name", ["match_ladder_whole_texts", "sanitize_dirty_whole_texts"])
+def test_whole_texts_of_the_tables(spark, name):
+    against_sql(spark, name)
