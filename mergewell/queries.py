@@ -692,6 +692,19 @@ def letter_vectors(spark, sf_dir):
     return v.select("text", *counts, F.element_at("vector", 27).cast("double").alias("digits"))
 
 
+@query(
+    f"WITH {PRODUCT_SQL}, t AS (SELECT DISTINCT {_identity('name', 'brand', 'category')} AS text FROM product) SELECT text, "
+    + ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))::DOUBLE AS n_{c}" for c in _LETTERS)
+    + ", length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE AS digits, 1::DOUBLE AS one FROM t"
+)
+def letter_whole_vectors(spark, sf_dir):
+    """``letter_vectors`` with all coordinates."""
+    named = tables.products(spark, sf_dir).select(text.identity(F.col("name"), F.col("brand"), F.col("category")).alias("text"))
+    v = embed_distinct(named, LetterEmbedder())
+    names = [*[f"n_{c}" for c in _LETTERS], "digits", "one"]
+    return v.select("text", *[F.element_at("vector", k + 1).cast("double").alias(n) for k, n in enumerate(names)])
+
+
 # --- whole runs -----------------------------------------------------------------------------------
 
 
@@ -733,6 +746,12 @@ def report_lines(spark, sf_dir):
     return lines.filter("section in ('rejected', 'suspicious')").select("section", "record_index", "line")
 
 
+@query()
+def report_all_lines(spark, sf_dir):
+    """The lines of all sections, of a run that changes products."""
+    return report.report_lines(_ingested(spark, sf_dir, "fill").results)
+
+
 @query()
 def decision_lines(spark, sf_dir):
     return report.decision_lines(_ingested(spark, sf_dir, "overwrite").results)
@@ -768,3 +787,9 @@ def json_records(spark, sf_dir):
     """Records as JSON lines; the oracle knows the line's beginning."""
     lines = report.json_records(_records(spark, sf_dir))
     return lines.select("record_index", F.concat(F.substring_index("line", ",", 1), F.lit("}")).alias("start"))
+
+
+@query()
+def json_lines(spark, sf_dir):
+    """Records as whole JSON lines."""
+    return report.json_records(_records(spark, sf_dir))

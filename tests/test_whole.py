@@ -1,5 +1,6 @@
 """Results that are whole: nothing listed is cut."""
 
+import json
 import os
 
 import pytest
@@ -52,3 +53,49 @@ def test_texts_are_taken_whole(spark):
 @pytest.mark.parametrize("name", ["match_ladder_whole_texts", "sanitize_dirty_whole_texts"])
 def test_whole_texts_of_the_tables(spark, name):
     against_sql(spark, name)
+
+
+def test_whole_vectors(spark):
+    assert all(len(row) == 29 for row in against_sql(spark, "letter_whole_vectors"))
+
+
+def plain_json(r):
+    row = {"index": r["record_index"], "id": r["seller_product_id"], "sellerName": r["seller_name"], **{c: r[c] for c in ("name", "brand", "category", "identity", "reason")}}
+    row["flags"] = [f.asDict() for f in r["flags"]]
+    return {c: v for c, v in row.items() if v not in (None, "", [])}
+
+
+def test_whole_json_lines(spark):
+    if not os.path.isdir(TABLES):
+        pytest.skip("no tables")
+    records = {r["record_index"]: plain_json(r) for r in queries._records(spark, TABLES).collect()}
+    lines = {r["record_index"]: json.loads(r["line"]) for r in queries.QUERIES["json_lines"](spark, TABLES).collect()}
+    assert lines == records and any("flags" in x for x in lines.values()) and any("reason" in x for x in lines.values())
+
+
+def plain_lines(r):
+    who = f"#{r['record_index']} {r['seller_name']} {r['seller_product_id']}"
+    product = f"#{r['record_index']} product {r['product_id']}: "
+    if r["outcome"] == "rejected":
+        yield "rejected", 0, f"{who}: {r['reason']}"
+    if r["outcome"] == "failed":
+        yield "failed", 0, f"{who}: {r['err_kind']}: {r['reason']}"
+    if r["flags"]:
+        yield "suspicious", 0, f"{who}: " + "; ".join(f"{f['field']}: {f['reason']}" for f in r["flags"])
+    if r["outcome"] == "inserted":
+        near = "" if r["match_id"] is None else f" (nearest {r['match_id']} at {r['score']:.3f})"
+        yield "inserted", 0, f"{who} → product {r['product_id']} \"{r['identity']}\"{near}"
+    for k, c in enumerate(r["changes"] or []):
+        yield "changes", k, f"{product}{c['field']}: {c['old'] or '(null)'} → {c['new']}"
+    for k, n in enumerate(r["notes"] or []):
+        yield "notes", k, product + n
+
+
+def test_all_report_lines(spark):
+    if not os.path.isdir(TABLES):
+        pytest.skip("no tables")
+    results = queries.QUERIES["ingest_fill"](spark, TABLES).collect()
+    want = sorted((section, r["record_index"], part, line) for r in results for section, part, line in plain_lines(r))
+    got = sorted((r["section"], r["record_index"], r["part"], r["line"]) for r in queries.QUERIES["report_all_lines"](spark, TABLES).collect())
+    assert got == want
+    assert {x[0] for x in got} >= {"rejected", "suspicious", "inserted"}, {x[0] for x in got}
