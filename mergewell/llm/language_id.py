@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.llm.textkernel import LOWER, blocks, mix, reduce_rows
+from mergewell.workspace import materialize
 
 BUCKETS = 1 << 15
+#: So many languages' log probabilities are held spread out (128 KB each).
+SLICE = 256
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 UNKNOWN = "und"
@@ -74,21 +77,56 @@ def _count(most_held: int = 64):
     return run
 
 
-def learn(texts: DataFrame, most_known: int = 256) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (languages x buckets) from ``texts (lang, text)``.
+class Model:
+    """Log probabilities (languages x buckets) of all languages, of which only counted buckets are stored.
 
-    Counts cover every row; what comes to the driver is at most ``most_known`` times ``BUCKETS``
-    counts, for the languages with the most trigrams.
+    They are spread out in slices of at most ``SLICE`` languages, so that a worker holds one slice at
+    a time, whatever the number of languages; a single slice is spread out once.
     """
-    counts = (
-        texts.mapInArrow(_count(), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+    def __init__(self, langs: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.langs = langs
+        order = np.argsort(lang, kind="stable")
+        lang, self.buckets, n = lang[order], bucket[order].astype(np.uint16), n[order]
+        self.at = np.searchsorted(lang, np.arange(len(langs) + 1))
+        total = np.bincount(lang, n, len(langs)) + 0.5 * BUCKETS
+        self.unseen = np.log(0.5 / total).astype(np.float32)
+        self.seen = np.log((n + 0.5) / total[lang]).astype(np.float32)
+        self.only = None
+
+    def __len__(self) -> int:
+        return len(self.langs)
+
+    def _spread(self, first: int, end: int) -> np.ndarray:
+        table = np.repeat(self.unseen[first:end, None], BUCKETS, axis=1)
+        for k in range(first, end):
+            table[k - first, self.buckets[self.at[k] : self.at[k + 1]]] = self.seen[self.at[k] : self.at[k + 1]]
+        return table
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first language, log probabilities) of each slice."""
+        if len(self) <= SLICE:
+            if self.only is None:
+                self.only = self._spread(0, len(self))
+            yield 0, self.only
+            return
+        for first in range(0, len(self), SLICE):
+            yield first, self._spread(first, min(len(self), first + SLICE))
+
+
+def learn(texts: DataFrame) -> Model:
+    """The model of every language of ``texts (lang, text)``.
+
+    Counts cover every row; what comes to the driver is 14 bytes a language and bucket that occurs in it.
+    """
+    counts = materialize(
+        texts.mapInArrow(_count(), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")),
+        "trigrams",
     )
-    known = counts.groupBy("lang").agg(F.sum("n").alias("_total")).orderBy(F.desc("_total"), "lang").limit(most_known)
-    pdf = counts.join(F.broadcast(known), "lang").select("lang", "bucket", "n").toPandas()
-    langs = sorted(pdf["lang"].unique())
-    table = np.full((len(langs), BUCKETS), 0.5)
-    table[np.searchsorted(langs, pdf["lang"]), pdf["bucket"]] += pdf["n"].to_numpy()
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    numbers = texts.sparkSession.createDataFrame(list(enumerate(langs)), "k int, lang string")
+    found = counts.join(F.broadcast(numbers), "lang").select("k", "bucket", "n").toArrow()
+    return Model(langs, *[found.column(c).to_numpy() for c in ("k", "bucket", "n")])
 
 
 def _fit(likely: np.ndarray, at: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +142,17 @@ def _fit(likely: np.ndarray, at: np.ndarray, start: np.ndarray, rounds: int) ->
 
 
 def mixtures(
-    table: np.ndarray, data: np.ndarray, offsets: np.ndarray, most_languages: int, rounds: int, penalty: float
+    model: Model, data: np.ndarray, offsets: np.ndarray, most_languages: int, rounds: int, penalty: float
 ) -> np.ndarray:
     """Proportions of the kept languages (rows x languages)."""
     ids, starts, at = trigrams(data, offsets)
-    known = len(table)
+    known = len(model)
     if not len(starts):
         return np.zeros((len(offsets) - 1, known))
     words = np.empty((len(starts), known), np.float32)
-    for k in range(known):
-        words[:, k] = np.add.reduceat(table[k][ids], starts)
+    for first, table in model.slices():
+        for k, row in enumerate(table):
+            words[:, first + k] = np.add.reduceat(row[ids], starts)
     words -= words.max(axis=1, keepdims=True)
     likely = np.exp(words.astype(np.float64)) + 1e-12
     n = np.diff(at)
@@ -133,12 +172,14 @@ def mixtures(
 
 def _predict(shared, most_languages: int, rounds: int, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = shared.value
+        model = shared.value
+        langs = model.langs
+        least = 1 << 16 if len(langs) <= SLICE else 1 << 13
         for batch in batches:
             texts = batch.column("text")
             predicted, scores, sets = [], [], []
-            for i, j, data, offsets in blocks(texts, max(1 << 16, (1 << 22) // max(1, len(langs)))):
-                share = mixtures(table, data, offsets, most_languages, rounds, penalty) if langs else np.zeros((j - i, 1))
+            for i, j, data, offsets in blocks(texts, max(least, (1 << 22) // max(1, len(langs)))):
+                share = mixtures(model, data, offsets, most_languages, rounds, penalty) if langs else np.zeros((j - i, 1))
                 top = share.argmax(axis=1)
                 for k in range(j - i):
                     p = share[k, top[k]]
@@ -169,10 +210,9 @@ def identify(
     most_languages: int = 3,
     rounds: int = 8,
     penalty: float = 1.0,
-    most_known: int = 256,
 ) -> DataFrame:
     """Predict every row of ``docs (doc_id, held_out, text)`` from models of ``train (lang, text)``."""
-    model = learn(train.select(F.col("lang").cast("string").alias("lang"), "text"), most_known)
+    model = learn(train.select(F.col("lang").cast("string").alias("lang"), "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "held_out", "text").mapInArrow(
         _predict(shared, most_languages, rounds, penalty), SCHEMA
