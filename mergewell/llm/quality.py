@@ -137,27 +137,22 @@ class AttentionModel:
                     self.p[k] = self.p[k] - pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def _bags(most_passages: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = []
-            for _, _, data, offsets in blocks(batch.column("text")):
-                x, at = passages(data, offsets)
-                for k in range(len(at) - 1):
-                    bag = x[at[k] : at[k + 1]]
-                    step = -(-len(bag) // most_passages)
-                    bags.append(bag[::step].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"]
-            )
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_passages: int = 32) -> AttentionModel:
-    """Fit on at most ``most_labelled`` rows of ``labels (doc_id, label)``.
-
-    Only while training, a longer document is thinned evenly to ``most_passages`` passages.
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = []
+        for _, _, data, offsets in blocks(batch.column("text")):
+            x, at = passages(data, offsets)
+            bags += [x[i:j].astype(np.float32).tobytes() for i, j in zip(at, at[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("label"), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"]
+        )
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_bytes: int = 128 << 20) -> AttentionModel:
+    """Fit on every passage of at most ``most_labelled`` rows of ``labels (doc_id, label)``.
+
+    The rows end, in the order of the hash of their id, before their passages (1,040 bytes each) take
+    more than ``most_bytes``; the first is always taken.
     """
     chosen = (
         labels.filter("doc_id is not null and label is not null")
@@ -172,12 +167,17 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_pa
         model.fit([], np.zeros(0))
         return model
     sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, label double")
-    found = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
-        .mapInArrow(_bags(most_passages), "doc_id long, label double, bag binary")
-        .collect()
-    )
+    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    sizes = {r["doc_id"]: r["n"] for r in taught.groupBy("doc_id").agg(F.sum(n).alias("n")).collect()}
+    taken, room = [], most_bytes // (4 * WIDTH)
+    for r in chosen:
+        room -= sizes.get(r["doc_id"], 0)
+        if room < 0 and taken:
+            break
+        taken.append(r)
+    sample = docs.sparkSession.createDataFrame(taken, "doc_id long, label double")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_bags, "doc_id long, label double, bag binary").collect()
     found = sorted(((r["doc_id"], bytes(r["bag"]), r["label"]) for r in found))[:most_labelled]
     bags = [np.frombuffer(bag, np.float32).reshape(-1, WIDTH) for _, bag, _ in found]
     model.fit(bags, np.array([y for *_, y in found]))
