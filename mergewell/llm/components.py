@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergewell.workspace import materialize
+from mergewell.workspace import discard, materialize
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges (a, b)``: the smallest node it is connected to.
 
     A hub's edges are never brought together: minima are combined before the shuffle, and the joins
-    on the hub can be split.  The number of rounds grows with the logarithm of the diameter.
+    on the hub can be split.  The steps always settle; their number grows with the logarithm of the diameter.
     """
     now = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     before = None
-    for _ in range(most_rounds):
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -30,10 +32,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        now = materialize(small, "edges")
+        last, now = now, materialize(small, "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = state
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds")

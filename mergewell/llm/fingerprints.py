@@ -8,12 +8,13 @@ similarity, so the share of equal coordinates estimates it.  A key depends on th
 quantised weight alone, hence a hash of the least key stands for the sample.
 
 Everything that is known of a text is computed in the partition that holds it: texts are dealt by
-document once, words are counted and sampled there.
+document once, and only the piece of the next text that an edited text needs is dealt again.
 
 Defined results: null text is empty; a text without words has the fingerprint ``''``, which is fully
-like itself and unlike all others; rows that agree in ``doc_id`` and text are one document, of which
-one row is returned; documents that tie on ``doc_id`` are ordered by a hash of the text; a null
-``doc_id`` comes last; a single document is its own next one.
+like itself and unlike all others; rows that agree in ``doc_id`` and text are one document in the
+order, and a row is returned for each; documents that tie on ``doc_id`` are ordered by a hash of the
+text; a null ``doc_id`` comes last; a single document is its own next one; very long texts are split
+into words by the task that holds them; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from mergewell.workspace import materialize, with_rank
 COORDINATES = 48
 HEX = 4  # 16 bits a coordinate: two samples look equal by chance once in 65536
 NO_ID = -(1 << 63)
+KEY = ["_id", "_hash"]
+#: Up to so many documents that have repeats (16 bytes each) are broadcast to find their rows; beyond, texts are shuffled.
+BROADCAST_REPEATED = 1_000_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -65,21 +69,21 @@ def _printed(name: str, coordinates: int) -> Column:
 
 
 def sample_words(texts: DataFrame, keys: list[str], sides: dict[str, str], coordinates: int) -> DataFrame:
-    """One fingerprint column a side for every distinct ``keys``.
+    """One fingerprint column a side for every row of ``texts``, whose ``keys`` are distinct.
 
-    ``sides`` maps the names of the fingerprints to the text columns; ``_times`` says how often each
-    document's rows repeat.  If ``texts`` is dealt out by ``keys`` there is no further exchange.
+    ``sides`` maps the names of the fingerprints to the text columns.  If ``texts`` is dealt out by
+    ``keys`` there is no further exchange.
     """
     names = list(sides)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("text")) for k, c in enumerate(sides.values())]))
     words = (
-        texts.select(*keys, "_times", each.alias("s"))
-        .select(*keys, "_times", "s.side", F.explode(F.split("s.text", SPACE)).alias("word"))
+        texts.select(*keys, each.alias("s"))
+        .select(*keys, "s.side", F.explode(F.split("s.text", SPACE)).alias("word"))
         .filter("word <> ''")
-        .select(*keys, "_times", "side", F.xxhash64("word").alias("term"))
+        .select(*keys, "side", F.xxhash64("word").alias("term"))
     )
     counts = words.groupBy(*keys, "term").agg(
-        *[F.ln(F.sum(F.when(F.col("side") == k, 1 / F.col("_times")))).alias(f"_ln_{name}") for k, name in enumerate(names)]
+        *[F.ln(F.sum(F.when(F.col("side") == k, 1.0))).alias(f"_ln_{name}") for k, name in enumerate(names)]
     )
     least = counts.groupBy(*keys).agg(*_least_keys(coordinates, {name: f"_ln_{name}" for name in names}))
     return least.select(*keys, *[_printed(name, coordinates).alias(name) for name in names])
@@ -94,20 +98,23 @@ def likeness(a: Column, b: Column, coordinates: int) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(same / float(coordinates))
 
 
-def successions(docs: DataFrame) -> DataFrame:
-    """For every document its length and repeats, and the next one in descending ``doc_id`` (after the last: the first)."""
-    own = docs.groupBy("_id", "_hash").agg(F.first("_chars").alias("_chars"), F.count("*").alias("_repeats"))
+def successions(own: DataFrame) -> DataFrame:
+    """Every document of ``own (_id, _hash, ...)`` and the next one in descending ``_id`` (after the last: the first)."""
     placed = materialize(with_rank(own, [F.col("_id").desc(), F.col("_hash")], "_rank", "ids"), "order")
-    last = placed.agg(F.max("_rank").alias("_last"))
-    following = placed.select(
-        F.col("_rank").alias("_next_rank"),
-        F.col("_id").alias("_next_id"),
-        F.col("_hash").alias("_next_hash"),
-        F.col("_repeats").alias("_next_repeats"),
-    )
-    return placed.join(F.broadcast(last)).withColumn(
-        "_next_rank", F.when(F.col("_rank") == F.col("_last"), 0).otherwise(F.col("_rank") + 1)
-    ).join(following, "_next_rank").drop("_next_rank", "_rank", "_last")
+    last = placed.agg(F.max("_rank")).first()[0] or 0
+    following = placed.select(F.col("_rank").alias("_next_rank"), F.col("_id").alias("_next_id"), F.col("_hash").alias("_next_hash"))
+    return placed.withColumn("_next_rank", F.when(F.col("_rank") == last, 0).otherwise(F.col("_rank") + 1)).join(
+        following, "_next_rank"
+    ).drop("_next_rank", "_rank")
+
+
+def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` without the repeats of the keys in ``repeated``, which are combined before they are dealt out."""
+    if repeated.isEmpty():
+        return rows
+    small = F.broadcast(repeated) if repeated.count() <= BROADCAST_REPEATED else repeated
+    once = rows.join(small, KEY, "left_semi").groupBy(*KEY).agg(F.first("_text").alias("_text"))
+    return rows.join(small, KEY, "left_anti").unionByName(once)
 
 
 def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
@@ -119,40 +126,38 @@ def fingerprint(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
     ).withColumn("_hash", F.xxhash64("_text"))
-    order = materialize(successions(rows.withColumn("_chars", F.char_length("_text"))), "successions")
+    own = rows.groupBy(*KEY).agg(F.first(F.char_length("_text")).alias("_chars"), F.count("*").alias("_repeats"))
+    order = materialize(successions(own), "successions")
+    repeated = materialize(order.filter("_repeats > 1").select(*KEY), "repeated")
     cut = F.floor(F.col("_chars") / 3).cast("int")
     wanted = order.select(
-        F.col("_next_id").alias("_id"), F.col("_next_hash").alias("_hash"), F.col("_id").alias("_for_id"),
-        F.col("_hash").alias("_for_hash"), "_chars", (F.col("_repeats") * F.col("_next_repeats")).alias("_times"),
-    )
+        F.col("_next_id").alias("_id"), F.col("_next_hash").alias("_hash"), F.col("_id").alias("_for_id"), F.col("_hash").alias("_for_hash"), "_chars"
+    )
     # word counts take several times the space of their texts: smaller partitions keep them in memory
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "_id", "_hash")
-    pieces = rows.join(wanted, ["_id", "_hash"]).select(
-        F.col("_for_id").alias("_id"), F.col("_for_hash").alias("_hash"), "_chars", "_times",
-        F.substring(F.col("_text"), F.lit(1), cut).alias("_piece"),
-    )
+    dealt = _once(rows, repeated).repartition(parts, *KEY)
+    pieces = dealt.join(wanted, KEY).select(
+        F.col("_for_id").alias("_id"), F.col("_for_hash").alias("_hash"), "_chars", F.substring(F.col("_text"), F.lit(1), cut).alias("_piece")
+    )
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), F.col("_chars") - cut), F.col("_piece"))
-    texts = rows.join(pieces, ["_id", "_hash"]).select("_id", "_hash", "_chars", "_times", "_text", edited.alias("_edited"))
-    prints = sample_words(texts, ["_id", "_hash"], {"fingerprint": "_text", "edited_fingerprint": "_edited"}, coordinates)
+    texts = dealt.join(pieces, KEY).select(*KEY, "_text", edited.alias("_edited"))
+    prints = sample_words(texts, KEY, {"fingerprint": "_text", "edited_fingerprint": "_edited"}, coordinates)
     # the same columns as for the words, so that both read the same exchanges
-    digests = texts.groupBy("_id", "_hash").agg(
-        F.first(F.sha2("_edited", 256)).alias("edited_sha256"), F.first("_times").alias("_times")
-    )
-    known = materialize(digests.join(prints, ["_id", "_hash"], "left").na.fill("", ["fingerprint", "edited_fingerprint"]), "prints")
+    digests = texts.groupBy(*KEY).agg(F.first(F.sha2("_edited", 256)).alias("edited_sha256"))
+    known = materialize(digests.join(prints, KEY, "left").na.fill("", ["fingerprint", "edited_fingerprint"]), "prints")
     following = known.select(
         F.col("_id").alias("_next_id"), F.col("_hash").alias("_next_hash"), F.col("fingerprint").alias("_next")
     )
-    return (
-        known.join(order, ["_id", "_hash"])
-        .join(following, ["_next_id", "_next_hash"])
-        .select(
-            F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"),
-            F.col("_chars").cast("long").alias("n_chars"),
-            "edited_sha256",
-            "fingerprint",
-            "edited_fingerprint",
-            likeness(F.col("fingerprint"), F.col("edited_fingerprint"), coordinates).alias("near_edited"),
-            likeness(F.col("fingerprint"), F.col("_next"), coordinates).alias("near_next"),
-        )
-    )
+    out = known.join(order, KEY).join(following, ["_next_id", "_next_hash"]).select(
+        *KEY,
+        F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"),
+        F.col("_chars").cast("long").alias("n_chars"),
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), coordinates).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("_next"), coordinates).alias("near_next"),
+    )
+    if not repeated.isEmpty():  # a row for each repeat: the rows are joined, so that many repeats can be split
+        out = rows.select(*KEY).join(materialize(out, "documents"), KEY)
+    return out.drop(*KEY)

@@ -2,13 +2,15 @@
 
 A language's model is its distribution of hashed byte trigrams, counted over all training texts.  A
 text is a bag of words, each written in one language; expectation-maximisation estimates the
-proportions of the languages from the words' trigram likelihoods.  It is run for every number of
-languages up to ``most_languages`` (the likeliest ones of the larger fit), and the set with the best
-penalised likelihood is kept.  The prediction is the language with the largest proportion in it.
+proportions of the languages from the words' trigram likelihoods.  The set of a text's languages starts
+with the one that has the largest proportion among all, and grows by the next as long as the penalised
+likelihood of the fit within the set does; no number of languages is fixed.  The prediction is the
+language with the largest proportion in the set.
 
 Defined results: null text and text without a letter get ``und`` and score 0, as does everything if
 there is nothing to learn from; ties go to the language that sorts first; a null ``doc_id`` is never
-learned from and not held out; repeated rows are scored row by row; extra columns are ignored.
+learned from and not held out; repeated rows are scored row by row; very long texts are scored whole;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,36 +143,40 @@ def _fit(likely: np.ndarray, at: np.ndarray, start: np.ndarray, rounds: int) ->
     return share, reduce_rows(np.add, np.log((likely * share[rows]).sum(axis=1)), at, 0)
 
 
-def mixtures(
-    model: Model, data: np.ndarray, offsets: np.ndarray, most_languages: int, rounds: int, penalty: float
-) -> np.ndarray:
+def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray, rounds: int, penalty: float) -> np.ndarray:
     """Proportions of the kept languages (rows x languages)."""
     ids, starts, at = trigrams(data, offsets)
     known = len(model)
+    best_share = np.zeros((len(offsets) - 1, known))
     if not len(starts):
-        return np.zeros((len(offsets) - 1, known))
+        return best_share
     words = np.empty((len(starts), known), np.float32)
     for first, table in model.slices():
         for k, row in enumerate(table):
             words[:, first + k] = np.add.reduceat(row[ids], starts)
     words -= words.max(axis=1, keepdims=True)
     likely = np.exp(words.astype(np.float64)) + 1e-12
-    n = np.diff(at)
+    left, n = np.flatnonzero(np.diff(at)), np.diff(at)[np.diff(at) > 0]
+    at = np.concatenate([[0], np.cumsum(n)])
     share, _ = _fit(likely, at, np.full((len(n), known), 1 / known), rounds)
     order = np.argsort(-share, axis=1, kind="stable")
-    best, best_share = np.full(len(n), -np.inf), np.zeros((len(n), known))
-    for size in range(1, min(most_languages, known) + 1):
+    best = np.full(len(n), -np.inf)
+    for size in range(1, known + 1):  # the rows that are left have sets that still grow
         inside = np.zeros((len(n), known))
         np.put_along_axis(inside, order[:, :size], 1 / size, axis=1)
         fitted, reached = _fit(likely, at, inside, rounds if size > 1 else 0)
         reached = reached - penalty * size * np.log(np.maximum(n, 2))
         better = reached > best
-        best[better], best_share[better] = reached[better], fitted[better]
-    best_share[n == 0] = 0
+        best_share[left[better]] = fitted[better]
+        if not better.any():
+            break
+        likely = likely[np.repeat(better, n)]
+        left, n, order, best = left[better], n[better], order[better], reached[better]
+        at = np.concatenate([[0], np.cumsum(n)])
     return best_share
 
 
-def _predict(shared, most_languages: int, rounds: int, penalty: float):
+def _predict(shared, rounds: int, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = model.langs
@@ -179,7 +185,7 @@ def _predict(shared, most_languages: int, rounds: int, penalty: float):
             texts = batch.column("text")
             predicted, scores, sets = [], [], []
             for i, j, data, offsets in blocks(texts, max(least, (1 << 22) // max(1, len(langs)))):
-                share = mixtures(model, data, offsets, most_languages, rounds, penalty) if langs else np.zeros((j - i, 1))
+                share = mixtures(model, data, offsets, rounds, penalty) if langs else np.zeros((j - i, 1))
                 top = share.argmax(axis=1)
                 for k in range(j - i):
                     p = share[k, top[k]]
@@ -207,7 +213,6 @@ def _predict(shared, most_languages: int, rounds: int, penalty: float):
 def identify(
     docs: DataFrame,
     train: DataFrame,
-    most_languages: int = 3,
     rounds: int = 8,
     penalty: float = 1.0,
 ) -> DataFrame:
@@ -215,7 +220,7 @@ def identify(
     model = learn(train.select(F.col("lang").cast("string").alias("lang"), "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "held_out", "text").mapInArrow(
-        _predict(shared, most_languages, rounds, penalty), SCHEMA
+        _predict(shared, rounds, penalty), SCHEMA
     )
 
 

@@ -19,8 +19,10 @@ files, are joined with their ancestors; several licence files of a directory yie
 sorts first.
 
 Defined results: null and empty texts hold no notice; a null path is a file without directory, which
-inherits nothing; repeated rows are returned each; ties between templates go to the first; an empty
-table gives an empty result.
+inherits nothing; a path without ``/`` lies in the root, which is above every directory, whether paths
+start with ``/`` or not; repeated rows are returned each; ties between templates go to the first; very
+long texts are scanned whole; columns that aren't kept are ignored, and clashing ones are not touched; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -311,7 +313,7 @@ def inherited(judged: DataFrame, least_share: float) -> DataFrame:
     directories = judged.select("_directory").filter("_directory is not null").distinct()
     parts = F.split("_directory", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    each = directories.select("_directory", F.explode(above).alias("_ancestor"))
+    each = directories.select("_directory", F.explode(F.array_union(above, F.array(F.lit("")))).alias("_ancestor"))
     found = each.join(sources, "_ancestor").groupBy("_directory").agg(
         F.max_by(F.struct("inherited_license", "inherited_from"), F.char_length("_ancestor")).alias("i")
     )
@@ -331,7 +333,7 @@ def scan(
     names = [c for c in rows.columns if c != "text"]
     shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
     judged = rows.mapInArrow(_judged(shared, names), f"{shape}, {SCHEMA}")
-    judged = materialize(judged.withColumn("_directory", F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit(""))), "licenses")
+    judged = materialize(judged.withColumn("_directory", F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1)), "licenses")
     above = materialize(inherited(judged, least_share), "license-directories")
     if above.count() <= BROADCAST_DIRECTORIES:
         above = F.broadcast(above)

@@ -9,12 +9,14 @@ over as many tasks as its share.
 
 Defined results: null and empty text have size 0 and take nothing; a null source is a source of its
 own and sorts last; a source without words has target 0; documents that tie on source and size are
-ordered by ``doc_id``; repeated rows are separate documents; an empty table gives an empty result.
+ordered by ``doc_id``, then by a hash of the text; repeated rows are separate documents; a very long text
+is one document like any other and taken whole; extra columns are ignored by ``mix`` and kept by
+``sample``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.workspace import materialize, with_rank
@@ -52,19 +54,10 @@ def source_targets(by_source: DataFrame, weights: tuple[int, ...], share: float,
     return ranked.withColumn("target", F.least(cap, fair))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix"
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs (doc_id, source, text)``."""
-    sized = materialize(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "sizes",
-    )
-    placed = with_rank(sized, [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id")], "_rank", "mix")
+def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+    """``sized`` with ``source_size, target, copies``; it has ``source, size``, the tie breakers ``_id, _hash`` and what is to be kept."""
+    order = [F.col("source").isNull(), *[F.col(c) for c in ("source", "size", "_id", "_hash")]]
+    placed = with_rank(sized, order, "_rank", "mix")
     by_source = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_rank").alias("_first"))
     by_source = materialize(by_source, "source-sizes")
     targets = source_targets(by_source, weights, share, most)
@@ -78,13 +71,40 @@ def mix(
         table = F.broadcast(table)
     spot = F.col("_rank") - F.col("_first")
     crossed = F.floor((spot + 1) * F.col("_rate") + F.col("_offset")) - F.floor(spot * F.col("_rate") + F.col("_offset"))
-    return (
-        placed.join(table, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("copies", crossed.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.join(table, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", crossed.cast("long"))
+
+
+def _sized(docs: DataFrame, *keep: Column) -> DataFrame:
+    return docs.select(
+        *keep,
+        F.col("doc_id").cast("long").alias("_id"),
+        F.xxhash64("text").alias("_hash"),
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    )
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix"
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs (doc_id, source, text)``."""
+    return _mixed(materialize(_sized(docs), "sizes"), weights, share, most, seed).select(
+        F.col("_id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def sample(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix"
+) -> DataFrame:
+    """The mix itself: a row of ``docs``, with all its columns, for each copy that is taken, numbered by ``copy``.
+
+    A column of that name is replaced.
+    """
+    whole = F.struct(*[F.col(c) for c in docs.columns if c != "copy"]).alias("_doc")  # no column of theirs can clash
+    taken = _mixed(_sized(docs, whole), weights, share, most, seed).filter("copies > 0")
+    return taken.select("_doc.*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+
+
 ORACLE = r"""
 WITH sized AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size,

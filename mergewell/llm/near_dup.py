@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash signatures joined through an inverted index.
 
 1. Every text becomes its set of distinct word shingles and a signature of ``COORDINATES`` minima.
-   Equal sets collapse to one node, the smallest ``doc_id`` among them.
+   Equal sets collapse to one node, whatever the ids of their rows.
 2. A node is posted under its coordinate-value pairs.  A link needs at least ``MATCHES`` equal
    coordinates (at a similarity of 0.75 fewer have a chance of about three in a million), so two
    linked nodes meet in the ``COORDINATES - MATCHES + 1`` rarest pairs of both: only this prefix is
@@ -20,8 +20,10 @@ made, and nothing is dropped or capped.
 
 Defined results: null text and text without words have an empty set and are linked with nothing;
 fewer words than a shingle are one shingle, the whole sequence; a null ``doc_id`` is linked with
-nothing, has a null component and is kept; rows that repeat a ``doc_id`` are returned each; extra
-columns are ignored; an empty table gives an empty result.
+nothing, has a null component and is kept; rows that repeat a ``doc_id`` are returned each and linked
+each by its own text, so two texts of one ``doc_id`` can be in different components; a component is
+named by its smallest ``doc_id``, and ties in anything else change no result; very long texts are
+hashed in blocks and compared whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +37,21 @@ from pyspark.sql import functions as F
 
 from mergewell.llm.components import connected_components
 from mergewell.llm.textkernel import constants, distinct, mix, reduce_rows, shingles
-from mergewell.workspace import materialize
+from mergewell.workspace import discard, materialize
 
 WORDS = 5
 COORDINATES = 96
 MATCHES = 53
-#: Up to so many candidate nodes (8 bytes each) are broadcast to find their texts; beyond, texts are shuffled.
+#: Up to so many candidate ids (8 bytes each), or rows to leave out (16 bytes each), are broadcast to find their texts; beyond, texts are shuffled.
 BROADCAST_NODES = 1_000_000
+FACTOR = constants(1, 101)[0]
+
+
+def _marks(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """128 bits that tell each row's set, from a sum and an exclusive or over its hashes."""
+    sums = reduce_rows(np.add, mix(h + np.uint64(5)), at, np.uint64(0))
+    tied = reduce_rows(np.bitwise_xor, mix(h * FACTOR + np.uint64(9)), at, np.uint64(0))
+    return [pa.array(sums.view(np.int64)), pa.array(tied.view(np.int64))]
 
 
 def _sets(words: int, coordinates: int):
@@ -56,15 +66,14 @@ def _sets(words: int, coordinates: int):
                 for k in range(coordinates):
                     least = reduce_rows(np.minimum, h * factors[k], at, np.uint64(0))
                     keys[:, k] = mix(least ^ marks[k]).view(np.int64)
-                sums = reduce_rows(np.add, mix(h + np.uint64(5)), at, np.uint64(0)).view(np.int64)
-                tied = reduce_rows(np.bitwise_xor, mix(h * factors[0] + np.uint64(9)), at, np.uint64(0)).view(np.int64)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, coordinates, 0))]), pa.int32()),
                     pa.array(keys[n > 0].ravel(), pa.int64()),
                 )
+                kept = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(sums), pa.array(tied), lists],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                    [*kept, pa.array(n, pa.int64()), *_marks(h, at), lists],
+                    ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "keys"],
                 )
 
     return run
@@ -77,8 +86,8 @@ def _full_sets(words: int):
                 h, at = distinct(h, at)
                 full = [h[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(full, pa.binary())],
-                    ["node", "n", "shingles"],
+                    [*_marks(h, at), pa.array(np.diff(at), pa.int64()), pa.array(full, pa.binary())],
+                    ["set_a", "set_b", "n", "shingles"],
                 )
 
     return run
@@ -122,7 +131,7 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def prefixes(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
     """``key, node, n``: the rarest coordinate-value pairs of each node, as far as a link needs them."""
     posted = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # written, so that the join deals out both sides and can split a long list
@@ -154,11 +163,11 @@ def star_pairs(posted: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
+def rest_pairs(rest: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of nodes of different components that a prefix and position filter on full sets leaves.
 
     ``rest`` has ``node, n, shingles, component``.  The result has ``a, b``, their components and
-    ``room``, the most that the two sets can share.
+    ``room``, the most that the two sets can share; the tables under it can be discarded once it is written.
     """
     each = materialize(rest.select("node", "n", "shingles").mapInArrow(_spread, "node long, n long, shingle long"), "shingles")
     shared = materialize(each.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1"), "held")
@@ -174,7 +183,7 @@ def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
         .select(F.col("e.shingle").alias("shingle"), "node", "n", "spot", (F.col("spot") < F.col("index")).alias("indexed"))
         .join(rest.select("node", "component"), "node")
     )
-    posted = materialize(posted, "rest")
+    spots = posted = materialize(posted, "rest")
     sizes = posted.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("shingle").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     mixed = materialize(mixed, "mixed")
@@ -193,7 +202,7 @@ def rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
             F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component", room.alias("room")
         )
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("a", "b", "a_component", "b_component").agg(F.max("room").alias("room"))
+    return out.groupBy("a", "b", "a_component", "b_component").agg(F.max("room").alias("room")), [each, shared, spots, mixed, posted]
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -203,19 +212,34 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
 
 
-def components(docs: DataFrame, sets: DataFrame, words: int, coordinates: int, matches: int, percent: int) -> DataFrame:
-    """``set_a, set_b, component`` for every distinct non-empty set."""
-    groups = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    groups = materialize(groups, "groups")
-    nodes = sets.join(groups, ["set_a", "set_b"]).filter("doc_id = node").dropDuplicates(["node"])
-    posted = materialize(prefixes(nodes, coordinates, matches), "prefixes")
+def hashed(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, set_a, set_b, keys`` for every row of ``docs (doc_id, text)``."""
+    shape = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>"
+    return _texts(docs).withColumn("text_hash", text_hash()).mapInArrow(_sets(words, coordinates), shape)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def components(docs: DataFrame, sets: DataFrame, words: int, matches: int, percent: int) -> DataFrame:
+    """``set_a, set_b, component, component_id`` for every distinct non-empty set."""
+    groups = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
+    )
+    groups = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    posted = materialize(prefixes(groups, matches), "prefixes")
     pairs = materialize(star_pairs(posted, percent), "pairs")
-    members = materialize(posted.select("node", "n").distinct(), "nodes")
-    chosen = members.select(F.col("node").alias("doc_id"))
+    members = materialize(posted.select("node", "n").distinct().join(groups.select("node", "set_a", "set_b", "least"), "node"), "nodes")
+    chosen = members.select(F.col("least").alias("doc_id")).distinct()
     if members.count() <= BROADCAST_NODES:
         chosen = F.broadcast(chosen)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
-    full = texts.mapInArrow(_full_sets(words), "node long, n long, shingles binary").join(members, ["node", "n"]).dropDuplicates(["node"])
+    full = _texts(docs).join(chosen, "doc_id").mapInArrow(_full_sets(words), "set_a long, set_b long, n long, shingles binary")
+    full = full.join(members.drop("least"), ["set_a", "set_b", "n"]).dropDuplicates(["node"]).select("node", "n", "shingles")
     full = materialize(full, "full-sets")
 
     labels = members.select("node", F.col("node").alias("component"))
@@ -223,36 +247,74 @@ def components(docs: DataFrame, sets: DataFrame, words: int, coordinates: int, m
     lists = posted.join(labels, "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_nodes = posted.join(lists.filter("low < high").select("key"), "key").select("node").distinct()
     rest = full.join(open_nodes, "node").join(labels, "node")
-    left = materialize(rest_pairs(rest, percent), "rest-pairs")
+    left, under = rest_pairs(rest, percent)
+    left = materialize(left, "rest-pairs")
+    discard(*under)
     best = left.groupBy("a", "b_component").agg(F.max_by("b", "room").alias("b"))
-    for tested in (best, left):
+    for tested in () if left.isEmpty() else (best, left):
         at = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         bt = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         found = _linked(tested.join(at, "a").join(bt, "b").filter("ca <> cb").select("a", "b"), full, percent)
         links = found.join(at, "a").join(bt, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         labels = materialize(_relabelled(labels, links), "labels")
-    return groups.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    discard(posted, pairs, full, left)
+    own = groups.select("node", "set_a", "set_b", "least")
+    names = own.join(labels, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = own.join(labels.join(names, "component"), "node", "left").select(
+        "set_a", "set_b", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id")
+    )
+    named = materialize(named, "components")
+    discard(groups, members)
+    return named
+
+
+def linked_rows(docs: DataFrame, words: int, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component, component_id`` for every row of ``docs``; rows that nothing can link have no component."""
+    sets = materialize(hashed(docs, words, coordinates), "sets")
+    found = components(docs, sets, words, matches, percent)
+    own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    return sets.drop("keys").join(found, ["set_a", "set_b"], "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(~own, F.col("component")).alias("component"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
 
 
 def deduplicate(
     docs: DataFrame, words: int = WORDS, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.mapInArrow(
-        _sets(words, coordinates), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
-    )
-    sets = materialize(sets, "sets")
-    found = components(texts, sets, words, coordinates, matches, percent)
-    own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return (
-        sets.drop("keys")
-        .join(found, ["set_a", "set_b"], "left")
-        .withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("component")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked_rows(docs, words, percent, coordinates, matches).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
 
+def keep_one(
+    docs: DataFrame, words: int = WORDS, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES
+) -> DataFrame:
+    """``docs``, with all columns, less all but one row of every component.
+
+    The row with the smallest ``doc_id`` stays, of several texts with that id the one with the smallest
+    hash, and of rows that repeat id and text some one.  Rows without words or id all stay.
+    """
+    rows = materialize(linked_rows(docs, words, percent, coordinates, matches).filter("component is not null"), "near-dup")
+    row = F.struct("doc_id", "text_hash")
+    first = rows.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    several = rows.join(materialize(first, "first"), "component").withColumn("stays", row == F.col("first"))
+    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    dropped = materialize(several.filter(~F.col("stays")).select(*key).distinct(), "left-out")
+    repeated = materialize(several.filter("stays").groupBy(*key).count().filter("count > 1").drop("count"), "repeated")
+    whole = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash")
+    )  # no column of theirs can clash
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+    kept = whole.join(small(dropped), ["_id", "_hash"], "left_anti")
+    if not repeated.isEmpty():
+        repeated = small(repeated)
+        once = kept.join(repeated, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        kept = kept.join(repeated, ["_id", "_hash"], "left_anti").unionByName(once)
+    return kept.select("_doc.*")
+
+
 ORACLE = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingled AS (SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

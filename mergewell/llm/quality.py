@@ -8,8 +8,10 @@ with the smallest hash of their id) on the driver; scoring covers every passage
 
 Defined results: null and empty text are one passage of zeros and get a score like any other; labels
 that are null are ignored and several labels of one document are averaged; with no label at all the
-score is 0.5; with labels of one kind it is their mean; repeated rows are scored row by row; extra
-columns are ignored.
+score is 0.5; with labels of one kind it is their mean; repeated rows are scored row by row and teach
+once; ids that tie on their hash are taken in their order; very long texts are cut into passages block by
+block and scored whole; an empty table gives an empty result; extra columns are ignored by
+``score_quality`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.llm.language_id import held_out
-from mergewell.llm.textkernel import blocks, reduce_rows, word_bounds, word_hashes
+from mergewell.llm.textkernel import blocks, word_bounds, word_hashes
+from mergewell.workspace import discard, materialize
 
 PASSAGE = 512
 CLASSES = 16
@@ -152,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_by
     """Fit on every passage of at most ``most_labelled`` rows of ``labels (doc_id, label)``.
 
     The rows end, in the order of the hash of their id, before their passages (1,040 bytes each) take
-    more than ``most_bytes``; the first is always taken.
+    more than ``most_bytes``; the first is always taken.  Rows that repeat id and text count once.
     """
     chosen = (
         labels.filter("doc_id is not null and label is not null")
@@ -167,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_by
         model.fit([], np.zeros(0))
         return model
     sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, label double")
-    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # repeats of a row are combined before anything is brought together
+    taught = materialize(rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]), "taught")
     n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
     sizes = {r["doc_id"]: r["n"] for r in taught.groupBy("doc_id").agg(F.sum(n).alias("n")).collect()}
     taken, room = [], most_bytes // (4 * WIDTH)
@@ -177,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_by
             break
         taken.append(r)
     sample = docs.sparkSession.createDataFrame(taken, "doc_id long, label double")
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_bags, "doc_id long, label double, bag binary").collect()
+    found = taught.join(F.broadcast(sample.select("doc_id")), "doc_id").select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label double, bag binary").collect()
+    discard(taught)
     found = sorted(((r["doc_id"], bytes(r["bag"]), r["label"]) for r in found))[:most_labelled]
     bags = [np.frombuffer(bag, np.float32).reshape(-1, WIDTH) for _, bag, _ in found]
     model.fit(bags, np.array([y for *_, y in found]))

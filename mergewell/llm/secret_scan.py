@@ -8,7 +8,10 @@ needs an identifier, an endpoint needs both.  The parts meet in an interval join
 
 Positions come from splitting a text by its matches: the running sum of the lengths of gaps and
 matches.  Defined results: null text is empty; without matches the counts are 0 and both strings
-stand for no span; every row is scanned on its own, repeated rows and null ids included.
+stand for no span; every row is scanned on its own, repeated rows and null ids included; spans that tie
+on their start come in the order of ``KINDS``; very long texts are scanned whole, and only the lengths of
+gaps and matches leave the scan; extra columns are ignored by ``digest`` and kept by ``redact``, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -121,8 +124,8 @@ def link(spans: DataFrame, scope: int) -> DataFrame:
     return near.filter(needed).select("_row", "kind", "start", "end")
 
 
-def scan(docs: DataFrame, columns: list[str], scope: int = SCOPE) -> DataFrame:
-    """``columns`` of every row of ``docs`` and ``spans``, an array of (start, kind, end) in order.
+def scan(docs: DataFrame, columns: list[str], scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
+    """Two parts of the rows, those without any candidate and the others: ``columns`` of every row of ``docs`` and ``spans``, an array of (start, kind, end) in order.
 
     ``kind`` is the position in ``KINDS``; starts count code points and ends are exclusive.  A text's
     spans come together in one array, which is never longer than the text.
@@ -131,8 +134,10 @@ def scan(docs: DataFrame, columns: list[str], scope: int = SCOPE) -> DataFrame:
     kept = spans.filter(~_is(lambda k: k.weak)).unionByName(link(spans, scope))
     listed = kept.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    suspects = rows.filter(F.size("_found") > 0).select(*columns, "_row").join(listed, "_row", "left")
     return (
-        rows.select(*columns, "_row").join(listed, "_row", "left").withColumn("spans", F.coalesce("spans", none)).drop("_row")
+        rows.filter(F.size("_found") == 0).select(*columns, none.alias("spans")),
+        suspects.withColumn("spans", F.coalesce("spans", none)).drop("_row"),
     )
 
 
@@ -145,7 +150,8 @@ def _joined(spans: Column) -> Column:
 
 def digest(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for every row of ``docs``."""
-    scanned = scan(docs, ["doc_id"], scope)
+    plain, suspects = scan(docs, ["doc_id"], scope)
+    scanned = plain.unionByName(suspects)
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return scanned.select(
@@ -158,15 +164,12 @@ def digest(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span of ``text`` masked and ``n_chars``, if there, counted again."""
-    suspect = F.lit(False)
-    for kind in KINDS:
-        suspect = suspect | F.coalesce(F.col("text").rlike(kind.pattern), F.lit(False))
-    return docs.filter(~suspect).unionByName(_redacted(docs.filter(suspect), scope, mask))
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")  # no column of theirs can clash
+    plain, suspects = scan(docs.select(whole, "text"), ["_doc"], scope)
+    return plain.select("_doc.*").unionByName(_masked(suspects, docs.columns, mask))
 
 
-def _redacted(docs: DataFrame, scope: int, mask: str) -> DataFrame:
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")  # no column of theirs can clash
-    scanned = scan(docs.select(whole, "text"), ["_doc"], scope)
+def _masked(scanned: DataFrame, columns: list[str], mask: str) -> DataFrame:
     start = F.struct(F.lit(0).cast("bigint").alias("to"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("gaps"))
     # spans may overlap: what stays lies between the furthest end so far and the next start
     walked = F.aggregate(
@@ -191,9 +194,9 @@ def _redacted(docs: DataFrame, scope: int, mask: str) -> DataFrame:
     found = F.size("spans") > 0
     out = scanned.withColumn("_walked", walked).withColumn("_masked", F.when(found, masked).otherwise(text))
     new = {"text": F.col("_masked")}
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         new["n_chars"] = F.when(found, F.char_length("_masked").cast("bigint")).otherwise(F.col("_doc").getField("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in columns])
 
 
 def oracle(scope: int = SCOPE) -> str:

@@ -6,16 +6,22 @@ so no pre-token occurrence is ever shuffled.  The table holds at most ``table_si
 bounds what is broadcast.  The second tier is a bounded cache in each Python worker, filled by
 encoding the misses of a batch in one call.
 
-Pre-tokens are split here only for texts of plain Latin characters, for which the rules of Python's
-``regex`` and of the tokenizer library agree; any other text, and any text that holds a special
-token's string, goes to the library whole.
-
-Defined results: null and empty text have 0 tokens; repeated rows are counted row by row; an empty
-table gives an empty result; extra columns are ignored.
+Pre-tokens are split here as the tokenizer's file states; a file with another normaliser or split rule
+is refused, since its counts would be wrong.  Texts are cut at blanks, tabs and line breaks, which no
+pre-token crosses and across which nothing is normalised.  Chunks of plain Latin characters, for which
+the rules of Python's ``regex`` and of the tokenizer library agree, are split into pre-tokens for both
+tiers; any other chunk - other scripts, curly quotes, emoji, a special token's string - is a miss of the
+first tier that the library encodes alone, cached by the chunk.
+
+Defined results: null and empty text have 0 tokens; repeated rows are counted row by row; pre-tokens
+that tie for the last places of the table change speed, not counts; very long texts are split in pieces
+of about a million characters; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,31 +31,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: The tokenizer's own split rule, as its file states it (fixed values).
+#: The tokenizer's own normalisation and split rule, as its file states them (fixed values).
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+BLANK = regex.compile("[ \t\n\r]+")
 PIECE = 1 << 20
 CACHE = 1 << 20
+#: Longer chunks are encoded without being kept.
+CHUNK = 64
 
 _worker: dict = {}
 
 
+def _check(path: str) -> None:
+    """Refuse a tokenizer whose pre-tokens are not those that are split here."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    steps = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+    split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+    added = [t for t in rules["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or BLANK.search(t["content"])]
+    if steps != NORMALIZERS or split != SPLIT.pattern or added or rules.get("post_processor"):
+        raise ValueError(f"{path}: another normaliser, split rule or kind of special token than this operator's")
+
+
 def _state(path: str) -> dict:
-    """This worker's tokenizer, special strings and cache."""
+    """This worker's tokenizer, special strings and caches."""
     if _worker.get("path") != path:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
+        _check(path)
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         _worker.clear()
-        _worker.update(path=path, tokenizer=tokenizer, specials=specials, cache={})
+        _worker.update(path=path, tokenizer=tokenizer, specials=specials, cache={}, chunks={})
     return _worker
 
 
-def _plain(text: str, specials: list[str]) -> bool:
-    return PLAIN.fullmatch(text) is not None and not any(s in text for s in specials)
+def _parted(text: str, specials: list[str]) -> tuple[str, list[str]]:
+    """The plain part of a text, and the chunks that aren't plain."""
+    if PLAIN.fullmatch(text) is not None and not any(s in text for s in specials):
+        return text, []
+    plain, odd = [], []
+    for chunk in BLANK.split(text):
+        fits = PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in specials)
+        (plain if fits else odd).append(chunk)
+    return " ".join(plain), odd
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -71,8 +101,8 @@ def _summaries(path: str, entries: int):
         floor = 0  # what an entry may have lost to earlier pruning
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and _plain(text, specials):
-                    for piece in _pieces(text.lower()):
+                if text:
+                    for piece in _pieces(_parted(text, specials)[0].lower()):
                         counts.update(SPLIT.findall(piece))
             while len(counts) > 16 * entries:  # lossy counting: drop what is surely rare
                 floor += 1
@@ -132,6 +162,15 @@ def _count(path: str, shared, limit: int):
                 total += sum(sizes)
         return total
 
+    def odd_tokens(odd: list[str], tokenizer, cache: dict[str, int]) -> int:
+        new = [c for c in dict.fromkeys(odd) if c not in cache]
+        sizes = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        total = sum(cache[c] if c in cache else sizes[c] for c in odd)
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+        cache.update((c, n) for c, n in sizes.items() if len(c) <= CHUNK)
+        return total
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, table = _state(path), shared.value
         for batch in batches:
@@ -139,10 +178,8 @@ def _count(path: str, shared, limit: int):
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
-                if _plain(text, state["specials"]):
-                    counts.append(tokens(text, table, state["cache"]))
-                else:
-                    counts.append(len(state["tokenizer"].encode(text, add_special_tokens=False).ids))
+                plain, odd = _parted(text, state["specials"])
+                counts.append(tokens(plain, table, state["cache"]) + (odd_tokens(odd, state["tokenizer"], state["chunks"]) if odd else 0))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),

@@ -1,8 +1,9 @@
 """WARC archives as a PySpark data source, and page archives with revisit records.
 
 Writing: every task writes compressed archives of about ``roll_bytes`` under names that no other
-attempt uses; a manifest names the files of the attempts that Spark committed, so a retried or
-abandoned task leaves nothing that a reader sees.  Each record is a gzip member of its own, and the
+attempt uses; each write adds a manifest of its own, moved into place whole, that names the files of the
+attempts that Spark committed, so a retried or abandoned task leaves nothing that a reader sees and a
+folder can be appended to.  Each record is a gzip member of its own, and the
 member's length stands in a gzip extra field.
 
 Reading: one input partition for each run of files up to ``split_bytes``.  Equality and membership
@@ -11,6 +12,11 @@ they fail a test, or if the payload isn't wanted (option ``payload`` = ``false``
 member is skipped by its length, or inflated and thrown away in archives of other writers.
 
 Folders are opened with ``pyarrow.fs``: local and shared paths, HDFS and object stores.
+
+Defined results: null html is an empty payload; of rows that tie on payload and largest ``page_id`` all
+are responses; repeated rows are records each; very long payloads are inflated a megabyte at a time and
+held whole one by one; extra columns of the pages are ignored; an empty table gives an empty archive,
+which reads as no record; a null ``page_id`` is read back as null.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,9 +46,11 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from mergewell.workspace import fresh_path
+from mergewell.workspace import fresh_path, materialize
 
-MANIFEST = "manifest.json"
+MANIFEST = "manifest-"
+#: Spark lets Python data sources take filters only where this is set; ``pushing`` sets it for a block.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 SCHEMA = (
     "record_type string, record_id string, target_uri string, page_id long, payload_bytes long, "
     "payload_digest string, refers_to long, payload binary"
@@ -102,14 +111,24 @@ def record(row: dict) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
+def manifests(fs: pafs.FileSystem, base: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"))
+
+
+def read_manifest(fs: pafs.FileSystem, base: str, name: str) -> list[dict]:
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as file:
+        return json.loads(file.read())["files"]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[dict]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.level = options["path"], int(options.get("level", 3))
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", 3)), overwrite
         self.roll = int(options.get("roll_bytes", 256 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -136,9 +155,17 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, base = open_folder(self.path)
         fs.create_dir(base, recursive=True)
+        before = manifests(fs, base) if self.overwrite else []
         files = sorted((f for m in messages if m is not None for f in m.files), key=lambda f: f["name"])
-        with fs.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{base}/_{name}", compression=None) as out:
             out.write(json.dumps({"files": files}).encode())
+        fs.move(f"{base}/_{name}", f"{base}/{MANIFEST}{name}.json")
+        for old in before:
+            gone = read_manifest(fs, base, old)
+            fs.delete_file(f"{base}/{old}")
+            for f in gone:
+                fs.delete_file(f"{base}/{f['name']}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, base = open_folder(self.path)
@@ -331,18 +358,11 @@ class WarcReader(DataSourceReader):
         self.split, self.batch = int(options.get("split_bytes", 32 << 20)), int(options.get("batch_bytes", 8 << 20))
         self.tests: list[tuple[str, frozenset]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADER_COLUMNS:
-                self.tests.append((f.attribute[0], frozenset([f.value] if isinstance(f, EqualTo) else f.value) - {None}))
-            else:
-                yield f
-
     def partitions(self) -> Sequence[Files]:
         fs, base = open_folder(self.path)
-        if fs.get_file_info(f"{base}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{base}/{MANIFEST}", compression=None) as file:
-                files = [(f["name"], f["bytes"]) for f in json.loads(file.read())["files"]]
+        written = manifests(fs, base)
+        if written:
+            files = sorted((f["name"], f["bytes"]) for m in written for f in read_manifest(fs, base, m))
         else:
             found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
             files = sorted((f.base_name, f.size) for f in found if f.base_name.endswith((".warc", ".warc.gz")))
@@ -374,6 +394,17 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+class PushingReader(WarcReader):
+    """A reader that takes tests on header columns."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADER_COLUMNS:
+                self.tests.append((f.attribute[0], frozenset([f.value] if isinstance(f, EqualTo) else f.value) - {None}))
+            else:
+                yield f
+
+
 class WarcDataSource(DataSource):
     """``spark.read.format("warc").load(path)`` and ``df.write.format("warc").save(path)``."""
 
@@ -385,10 +416,10 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options)
+        return PushingReader(self.options) if self.options.get("push") == "true" else WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -424,29 +455,44 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     )
 
 
-def write_warc(records: DataFrame, path: str, **options) -> None:
+def write_warc(records: DataFrame, path: str, mode: str = "append", **options) -> None:
     records.sparkSession.dataSource.register(WarcDataSource)
-    records.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.format("warc").options(**options).mode("append").save(path)
+    records.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.format("warc").options(**options).mode(mode).save(path)
+
+
+@contextmanager
+def pushing(spark: SparkSession) -> Iterator[None]:
+    """Let archives that are read and used inside the block take filters; the session's setting is put back afterwards."""
+    before = spark.conf.get(PUSHDOWN, None)
+    spark.conf.set(PUSHDOWN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(PUSHDOWN) if before is None else spark.conf.set(PUSHDOWN, before)
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The records of the archives under ``path``.  Filters on header columns are pushed down inside ``pushing``."""
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # off by default; readers may not push filters then
-    return spark.read.format("warc").options(**options).load(path)
+    push = spark.conf.get(PUSHDOWN, "false")
+    return spark.read.format("warc").options(push=push, **options).load(path)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive ``pages``, read the archives back and describe every record by what was read."""
-    path = fresh_path(pages.sparkSession, "warc")
+    """Archive ``pages``, read the archives back and describe every record by what was read.
+
+    Responses are described by their payload.  A second pass reads the other records, of which only the
+    headers are inflated.
+    """
+    spark = pages.sparkSession
+    path = fresh_path(spark, "warc")
     write_warc(page_records(pages), path)
-    full = F.col("record_type") == "response"
-    return read_warc(pages.sparkSession, path).select(
-        "page_id",
-        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    with pushing(spark):
+        full = read_warc(spark, path).filter("record_type = 'response'").select(
+            "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to"
+        )
+        bare = read_warc(spark, path, payload="false").filter("record_type = 'revisit'").select(*full.columns)
+        return materialize(full.unionByName(bare), "records")
 
 
 ORACLE = """

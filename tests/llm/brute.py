@@ -43,11 +43,14 @@ def components(docs):
 def contaminated(docs, items):
     """(doc_id, item_id, shared) of contained items."""
     out = set()
-    wanted = [(i, shingles(t)) for i, t in items]
+    wanted = [(i, words(t), shingles(t)) for i, t in items]
     for d, text in docs:
-        own = shingles(text)
-        for i, s in wanted:
-            if s and 4 * len(s & own) >= 3 * len(s):
+        own, every = shingles(text), words(text)
+        for i, w, s in wanted:
+            if 0 < len(w) < 5:
+                if any(every[k : k + len(w)] == w for k in range(len(every))):
+                    out.add((d, i, 1))
+            elif s and 4 * len(s & own) >= 3 * len(s):
                 out.add((d, i, len(s & own)))
     return out
 
@@ -120,3 +123,113 @@ def mix(docs, seed="mix"):
         for k, (n, d) in enumerate(own):
             out.append((d, source, n, sizes[source], goal[source], math.floor((k + 1) * rate + shift) - math.floor(k * rate + shift)))
     return out
+
+
+def passage_features(text, size=512):
+    """Features of every passage of a text, byte by byte and word by word."""
+    from mergewell.llm.quality import CLASS_OF, CLASSES
+
+    body = (text or "").encode()
+    kinds = [int(CLASS_OF[b]) for b in body]
+    after = kinds[1:] + [1]
+    found = [(m.start(), m[0].translate(LOWER_BYTES)) for m in re.finditer(rb"[^\x20\x09-\x0d]+", body)]
+    out = []
+    for k in range(max(1, -(-len(body) // size))):
+        spots = range(k * size, min(len(body), (k + 1) * size))
+        row = [0.0] * (CLASSES * CLASSES + 4)
+        for i in spots:
+            row[kinds[i] * CLASSES + after[i]] += 1
+        length = max(1, len(spots))
+        row = [math.sqrt(x / length) for x in row]
+        row[-4] = length / size if body else 1 / size
+        own = [n for n, (start, _) in enumerate(found) if start // size == k]
+        n = max(1, len(own))
+        row[-3] = min(sum(len(found[i][1]) for i in own) / n / 16, 8)
+        for back in (1, 2):
+            row[-3 + back] = sum(i >= back and found[i][1] == found[i - back][1] for i in own) / n
+        out.append(row)
+    return out
+
+
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def quality_score(text, p, mean, scale):
+    """Gated attention over the passages of one text, number by number."""
+    total = lambda v, m, k: sum(a * b for a, b in zip(v, (row[k] for row in m)))
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    encoded, energies = [], []
+    for row in passage_features(text):
+        x = [(a - b) / c for a, b, c in zip(row, mean, scale)]
+        h = [math.tanh(total(x, p["W"], k) + p["b"][k]) for k in range(len(p["b"]))]
+        gates = [math.tanh(total(h, p["V"], k)) * logistic(total(h, p["U"], k)) for k in range(len(h))]
+        encoded.append(h)
+        energies.append(sum(a * b for a, b in zip(gates, p["w"])))
+    weights = [math.exp(e - max(energies)) for e in energies]
+    z = [sum(w * h[k] for w, h in zip(weights, encoded)) / sum(weights) for k in range(len(p["c"]))]
+    return logistic(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0])
+
+
+def language_words(text):
+    """The trigrams of each word of letters, as buckets."""
+    import numpy as np
+
+    from mergewell.llm.textkernel import mix as scramble
+
+    body = (text or "").encode().translate(LOWER_BYTES)
+    letter = lambda b: 97 <= b <= 122 or b >= 128
+    clean = [32, *[b if letter(b) else 32 for b in body], 32]
+    out, word = [], []
+    for i in range(1, len(clean)):
+        if clean[i] == 32:
+            if word:
+                out.append(word)
+            word = []
+        else:
+            code = np.array([clean[i - 1] << 16 | clean[i] << 8 | clean[i + 1]], np.uint64)
+            word.append(int(scramble(code)[0]) >> 49)
+    return out
+
+
+def languages(train, texts, rounds=8, penalty=1.0, buckets=1 << 15):
+    """language -> proportion of every text, from ``train`` (lang, text)."""
+    counts = {}
+    for lang, text in train:
+        for word in language_words(text):
+            for b in word:
+                own = counts.setdefault(lang, {})
+                own[b] = own.get(b, 0) + 1
+    langs = sorted(counts)
+    log_p = lambda lang, b: math.log((counts[lang].get(b, 0) + 0.5) / (sum(counts[lang].values()) + 0.5 * buckets))
+
+    def fit(likely, share, n):
+        for _ in range(n):
+            sums = dict.fromkeys(share, 0.0)
+            for row in likely:
+                total = sum(row[x] * share[x] for x in share)
+                for x in share:
+                    sums[x] += row[x] * share[x] / total
+            share = {x: v / len(likely) for x, v in sums.items()}
+        return share, sum(math.log(sum(row[x] * share[x] for x in share)) for row in likely)
+
+    out = []
+    for text in texts:
+        likely = []
+        for word in language_words(text):
+            row = {x: sum(log_p(x, b) for b in word) for x in langs}
+            top = max(row.values())
+            likely.append({x: math.exp(v - top) + 1e-12 for x, v in row.items()})
+        if not likely or not langs:
+            out.append({})
+            continue
+        share, _ = fit(likely, dict.fromkeys(langs, 1 / len(langs)), rounds)
+        order = sorted(langs, key=lambda x: (-share[x], x))
+        best, kept = -math.inf, {}
+        for size in range(1, len(langs) + 1):
+            fitted, reached = fit(likely, dict.fromkeys(order[:size], 1 / size), rounds if size > 1 else 0)
+            reached -= penalty * size * math.log(max(len(likely), 2))
+            if reached <= best:
+                break
+            best, kept = reached, fitted
+        out.append(kept)
+    return out
