@@ -1,64 +1,42 @@
-"""A corpus pipeline in stages, each of which works on the documents that the one before wrote."""
+"""A corpus pipeline in stages, each of which works on the documents that the one before wrote.
+
+Every stage decides row by row, by the row's own text: rows that repeat a ``doc_id`` with another text are
+documents of their own.  Columns other than ``doc_id``, ``text``, ``source`` and ``n_chars`` pass through
+untouched, whatever their names.  Empty tables of documents, labels or items give what the operators'
+docstrings say, and very long texts are never cut.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mergewell.llm import decontaminate, mixing, near_dup, quality, secret_scan
-from mergewell.workspace import fresh_path, materialize
-
-#: Up to so many ids (8 bytes each) of documents to leave out are broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = materialize(ids.distinct(), "left-out")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+from mergewell.workspace import fresh_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are scored like any other; without labels all stay."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays, repeated rows once."""
-    found = materialize(near_dup.deduplicate(docs), "near-dup")
-    kept = _without(docs, found.filter(~F.col("kept")).select("doc_id"))
-    repeated = materialize(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates()
-    rest = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    return rest.unionByName(once)
+    """Of each group of near duplicates the row with the smallest id stays; rows without words or id all stay."""
+    return near_dup.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id"))
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
+    return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, its secrets masked."""
+    """Every document stays, its secrets masked and ``n_chars`` counted again; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, numbered by ``copy``.
-
-    Rows that agree in id, source and size are taken equally often.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    taken = (
-        mixing.mix(docs)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-        .agg(F.max("copies").alias("_copies"))
-        .filter("_copies > 0")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    return docs.join(taken, same).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("copy"))
+    """A row for each copy that the mix takes, numbered by ``copy``; a column of that name is replaced."""
+    return mixing.sample(docs)
 
 
 STAGES = [
