@@ -6,7 +6,8 @@
    coordinates (at a similarity of 0.75 fewer have a chance of about three in a million), so two
    linked nodes meet in the ``COORDINATES - MATCHES + 1`` rarest pairs of both: only this prefix is
    posted, and pairs that one node has are skipped.
-3. Every list is merged around two of its members (the smallest node and one of the smallest set):
+3. Every list is merged around two of its members (the one that most texts resemble and one of the
+   smallest set):
    the others are compared with these by full sets, which costs as many comparisons as postings.
    What is linked becomes components.
 4. What lists still hold in several components is finished exactly, by full sets: shingles are
@@ -132,7 +133,10 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
-    """``key, node, n``: the rarest coordinate-value pairs of each node, as far as a link needs them."""
+    """``key, node, n, common``: the rarest coordinate-value pairs of each node, as far as a link needs them.
+
+    ``common`` is the number of postings in all lists of the node: it is high for a text that many resemble.
+    """
     posted = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # written, so that the join deals out both sides and can split a long list
     shared = materialize(posted.groupBy("key").agg(F.count("*").alias("listed")).filter("listed > 1"), "listed")
@@ -142,15 +146,20 @@ def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("listed", "key"))).alias("own"))  # at most one entry a coordinate
         .filter(F.size("own") >= matches)
     )
-    return ordered.select("node", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - matches + 1)).alias("e")).select(
-        F.col("e.key").alias("key"), "node", "n"
-    )
+    common = F.aggregate("own", F.lit(0).cast("long"), lambda total, e: total + e["listed"])
+    first = F.explode(F.slice("own", F.lit(1), F.size("own") - matches + 1))
+    return ordered.select("node", "n", common.alias("common"), first.alias("e")).select(F.col("e.key").alias("key"), "node", "n", "common")
 
 
 def star_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """Each list's members with its smallest node and with a node of its smallest set."""
+    """Each list's members with its most common node and with a node of its smallest set.
+
+    The most common texts of a group of near copies are in most of its lists, so these share few centres.
+    """
+    typical, small = F.struct("common", F.col("node")), F.struct("n", "node")
     centres = posted.groupBy("key").agg(
-        F.min("node").alias("c1"), F.min_by("node", "n").alias("c2"), F.min("n").alias("n2"), F.min_by("n", "node").alias("n1"), F.count("*").alias("m")
+        F.max_by("node", typical).alias("c1"), F.max_by("n", typical).alias("n1"),
+        F.min_by("node", small).alias("c2"), F.min("n").alias("n2"), F.count("*").alias("m"),
     ).filter("m > 1")
     centre = F.explode(F.array(F.struct(F.col("c1").alias("b"), F.col("n1").alias("nb")), F.struct(F.col("c2").alias("b"), F.col("n2").alias("nb"))))
     return (
