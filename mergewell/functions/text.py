@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -33,9 +34,17 @@ def _normalizer(form: str):
     @F.pandas_udf(T.StringType())
     def normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize(form, s))
+            given = texts.notna()
+            if given.any():
+                texts = texts.copy()
+                texts[given] = [unicodedata.normalize(form, s) for s in texts[given]]
+            yield texts
 
-    return normalize
+    def apply(text: Column) -> Column:
+        """Only texts that hold more than ASCII go to Python; in the others nothing can change."""
+        return F.coalesce(normalize(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+
+    return apply
 
 
 _nfc, _nfkd = _normalizer("NFC"), _normalizer("NFKD")
@@ -49,19 +58,8 @@ def repair_utf8(raw: bytes) -> tuple[str, bool]:
     """Bytes as text, one replacement character for each run of invalid bytes; whether there was any."""
     try:
         return raw.decode("utf-8"), False
-    except UnicodeDecodeError:
-        out, at = [], 0
-        while at < len(raw):
-            try:
-                out.append(raw[at:].decode("utf-8"))
-                break
-            except UnicodeDecodeError as e:
-                if e.start or not out:
-                    out.append(raw[at : at + e.start].decode("utf-8"))
-                if e.start or not (out and out[-1].endswith("\ufffd") and at):
-                    out.append("\ufffd")
-                at += e.start + 1
-        return "".join(out), True
+    except UnicodeDecodeError:  # one pass: invalid bytes become lone surrogates, which valid text can't hold
+        return re.sub("[\udc80-\udcff]+", "\ufffd", raw.decode("utf-8", "surrogateescape")), True
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("repaired", T.BooleanType())]))

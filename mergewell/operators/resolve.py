@@ -6,15 +6,13 @@ Starting from no state, all records are decided in parallel under the state so f
 imply the next state, until it stays the same.  Dependencies only point to earlier records, so a state
 that implies itself is the one of the sequential run, and each round settles at least one record more.
 
-The catalog is searched once for every distinct identity.  A round looks only at the versions of
-products that the run has touched, and searches the rest of the catalog again for identities whose best
-match was touched.
+The catalog is searched once for every distinct identity, and the rest of the catalog again for identities
+whose best match was touched.  Of the products that the run has touched, a round looks at the versions
+that the last one didn't know; only records whose best version is gone look at all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +25,6 @@ from mergewell.operators.embed import Embedder, embed_distinct
 from mergewell.schemas import CHANGES
 from mergewell.workspace import materialize
 
-#: Inserted products are numbered from here while a run is being decided: after every catalog id, in record order.
-INSERTED = 1 << 40
 NEVER = (1 << 62) - 1
 TOUCHED = (
     "pid long, name string, base_brand string, base_category string, born long, "
@@ -52,40 +48,41 @@ def _versions(touched: DataFrame) -> DataFrame:
 
 
 def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
-    """The best valid version for every ``record_index, uid, vector``: ``record_index, pid, score``."""
-    found = None
-    for part in similarity.slices(versions, ["pid", "after", "until"], "vector"):
-        shared = queries.sparkSession.sparkContext.broadcast((part["pid"], part["after"], part["until"], part["matrix"]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            pids, after, until, matrix = shared.value
-            for batch in batches:
-                index = batch.column("record_index").to_numpy()
-                for i in range(0, len(index), 256):
-                    own = index[i : i + 256, None]
-                    # records of one identity share their scores
-                    _, firsts, which = np.unique(batch.column("uid").to_numpy()[i : i + 256], return_index=True, return_inverse=True)
-                    v = similarity.unit_rows(batch.column("vector").slice(i, 256).take(pa.array(firsts)))
-                    s = np.where((after < own) & (own <= until), similarity.scores(v, matrix)[which], -np.inf)
-                    best = s.argmax(axis=1)
-                    top = s[np.arange(len(best)), best]
-                    real = np.isfinite(top)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[:, 0][real]), pa.array(pids[best][real]), pa.array(top[real].astype(np.float32))],
-                        ["record_index", "pid", "score"],
-                    )
-
-        rows = queries.select("record_index", "uid", "vector").sortWithinPartitions("uid").mapInArrow(run, "record_index long, pid long, score float")
-        found = rows if found is None else found.unionByName(rows)
-    return found if found is not None else queries.sparkSession.createDataFrame([], "record_index long, pid long, score float")
+    """The best valid version for every ``record_index, uid, vector``: ``record_index, pid, after, score``.
+
+    Records of one identity are in one block and share their scores.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            left, right = left.sort_by("uid"), right.sort_by([("pid", "ascending"), ("after", "ascending")])
+            pids, after, until = (right.column(c).to_numpy() for c in ("pid", "after", "until"))
+            index, uid, other = left.column("record_index").to_numpy(), left.column("uid").to_numpy(), similarity.matrix(right)
+            for i in range(0, len(index), similarity.STEP):
+                own = index[i : i + similarity.STEP, None]
+                _, firsts, which = np.unique(uid[i : i + similarity.STEP], return_index=True, return_inverse=True)
+                v = similarity.matrix(left.take(pa.array(firsts + i)))
+                s = np.where((after < own) & (own <= until), similarity.scores(v, other)[which], -np.inf)
+                best = s.argmax(axis=1)
+                top = s[np.arange(len(best)), best]
+                real = np.isfinite(top)
+                out.append((own[:, 0][real], pids[best][real], after[best][real], top[real].astype(np.float32)))
+        return similarity._table(out, ("record_index", "pid", "after", "score"), (np.int64, np.int64, np.int64, np.float32))
+
+    asked = queries.select("record_index", "uid", "vector")
+    return similarity.paired(asked, versions, ("uid", "pid"), run, "record_index long, pid long, after long, score float")
 
 
 class Resolver:
     """Decides ``records`` against ``products`` and ``links``."""
 
-    def __init__(self, records: DataFrame, products: DataFrame, links: DataFrame, embedder: Embedder, threshold: float, mode: str, most_rounds: int = 50, cache: DataFrame | None = None):
-        self.threshold, self.mode, self.embedder, self.most_rounds, self.cache = threshold, updates.check_mode(mode), embedder, most_rounds, cache
+    def __init__(self, records: DataFrame, products: DataFrame, links: DataFrame, embedder: Embedder, threshold: float, mode: str, cache: DataFrame | None = None):
+        self.threshold, self.mode, self.embedder, self.cache = threshold, updates.check_mode(mode), embedder, cache
         self.spark, self.products = records.sparkSession, products
+        # inserted products are numbered from here while the run is being decided: after every id in use, in record order
+        ids = products.select("id").unionByName(links.select(F.col("product_id").alias("id")))
+        self.inserted = max(0, ids.agg(F.max("id")).first()[0] or 0) + 1
         good = link_ops.with_first(link_ops.existing(records, links))
         self.good = materialize(
             updates.mark_vocabulary(good, updates.vocabulary(products)).select(
@@ -105,6 +102,7 @@ class Resolver:
         self.queries = materialize(firsts.join(self.vectors, "identity").select("record_index", F.xxhash64("identity").alias("uid"), "vector"), "queries")
         self.identities = self.queries.groupBy("uid").agg(F.first("vector").alias("vector"))
         static = similarity.nearest(self.identities.select(F.col("uid").alias("id"), "vector"), self.catalog)
+        self.rest_mark = self.rest = self.seen = None
         self.static = materialize(static.select(F.col("id").alias("uid"), F.col("match_id").alias("pid"), "score"), "static")
 
     def _embedded(self, identities: DataFrame) -> DataFrame:
@@ -113,25 +111,50 @@ class Resolver:
         found = embed_distinct(texts, self.embedder, self.cache)
         return found.select(F.substring("text", len(text.TASK_PREFIX) + 1, 1 << 30).alias("identity"), "vector")
 
+    def at_rest(self, touched: DataFrame) -> DataFrame:
+        """The best match of every record among the products that ``touched`` leaves alone."""
+        own = touched.filter(F.col("pid") < self.inserted).select("pid")
+        mark = own.agg(F.count("*"), F.sum(F.xxhash64("pid").cast("decimal(38,0)"))).first()
+        if mark != self.rest_mark:
+            stale = self.static.join(own, "pid", "left_semi").select("uid")
+            fresh = self.static.join(own, "pid", "left_anti")
+            if mark[0]:
+                again = similarity.nearest(
+                    self.identities.join(stale, "uid").select(F.col("uid").alias("id"), "vector"),
+                    self.catalog.join(own.withColumnRenamed("pid", "id"), "id", "left_anti"),
+                )
+                fresh = fresh.unionByName(again.select(F.col("id").alias("uid"), F.col("match_id").alias("pid"), "score"))
+            self.rest_mark, self.rest = mark, materialize(fresh, "fresh")
+        return self.queries.select("record_index", "uid").join(self.rest, "uid").select("record_index", "pid", "score")
+
+    def moving(self, touched: DataFrame) -> DataFrame:
+        """The best version of a touched product for every record, from what the last round found."""
+        key = ["pid", "after", "until", "identity"]
+        versions = materialize(_versions(touched), "versions")
+        new = versions.join(self.vectors, "identity", "left_anti").select("identity")
+        known = self.vectors.unionByName(self._embedded(new))
+        placed = materialize(versions.join(known, "identity").select(*key, "vector"), "moving")
+        if self.seen is None:
+            best = _best_version(self.queries, placed)
+        else:
+            before, found = self.seen
+            gone = before.join(versions, key, "left_anti").select("pid", "after")
+            lost = materialize(found.join(gone, ["pid", "after"], "left_semi").select("record_index"), "lost")
+            best = found.join(gone, ["pid", "after"], "left_anti")
+            added = materialize(placed.join(before, key, "left_anti"), "added")
+            if not added.isEmpty():
+                best = best.unionByName(_best_version(self.queries.join(lost, "record_index", "left_anti"), added))
+            if not lost.isEmpty():
+                best = best.unionByName(_best_version(self.queries.join(lost, "record_index", "left_semi"), placed))
+        best = best.groupBy("record_index").agg(F.max_by(F.struct("pid", "after", "score"), F.struct("score", -F.col("pid"))).alias("m"))
+        self.seen = versions.select(*key), materialize(best.select("record_index", "m.*"), "best-versions")
+        return self.seen[1].select("record_index", "pid", "score")
+
     def decide(self, touched: DataFrame) -> DataFrame:
         """``record_index, pid, score, kind`` of the records that a search decides, under ``touched``."""
-        own = touched.filter(F.col("pid") < INSERTED).select("pid")
-        stale = self.static.join(own, "pid", "left_semi").select("uid")
-        fresh = self.static.join(own, "pid", "left_anti")
-        if not stale.isEmpty():
-            again = similarity.nearest(
-                self.identities.join(stale, "uid").select(F.col("uid").alias("id"), "vector"),
-                self.catalog.join(own.withColumnRenamed("pid", "id"), "id", "left_anti"),
-            )
-            fresh = fresh.unionByName(again.select(F.col("id").alias("uid"), F.col("match_id").alias("pid"), "score"))
-        at_rest = self.queries.select("record_index", "uid").join(fresh, "uid").select("record_index", "pid", "score")
-        versions = materialize(_versions(touched), "versions")
-        known = self.vectors
-        new = versions.join(known, "identity", "left_anti").select("identity")
-        known = known.unionByName(self._embedded(new))
-        moving = _best_version(self.queries, materialize(versions.join(known, "identity").select("pid", "after", "until", "vector"), "moving"))
         best = (
-            at_rest.unionByName(moving)
+            self.at_rest(touched)
+            .unionByName(self.moving(touched))
             .filter("pid is not null")
             .groupBy("record_index")
             .agg(F.max_by(F.struct("pid", "score"), F.struct("score", -F.col("pid"))).alias("m"))
@@ -150,7 +173,7 @@ class Resolver:
         joined = known.join(first, "uid", "left")
         later = (F.col("kind") == "novel") & (F.col("record_index") > F.col("_first"))
         return joined.select(
-            "record_index", F.when(later, F.col("_first") + INSERTED).otherwise(F.col("pid")).alias("pid"), "score",
+            "record_index", F.when(later, F.col("_first") + self.inserted).otherwise(F.col("pid")).alias("pid"), "score",
             F.when(later, "duplicate").otherwise(F.col("kind")).alias("kind"),
         )
 
@@ -158,9 +181,9 @@ class Resolver:
         """Accepted records with the product ``pid`` that they end up with, and whether they insert it."""
         chosen = decided.select(
             F.col("record_index").alias("first_index"),
-            F.when(F.col("kind") == "novel", F.col("record_index") + INSERTED).otherwise(F.col("pid")).alias("_pid"),
+            F.when(F.col("kind") == "novel", F.col("record_index") + self.inserted).otherwise(F.col("pid")).alias("_pid"),
         )
-        inserts = F.col("linked_product").isNull() & (F.col("_pid") == F.col("record_index") + INSERTED)
+        inserts = F.col("linked_product").isNull() & (F.col("_pid") == F.col("record_index") + self.inserted)
         return self.good.join(chosen, "first_index", "left").select(
             "*", F.coalesce("linked_product", "_pid").alias("pid"), F.coalesce(inserts, F.lit(False)).alias("inserts")
         ).drop("_pid")
@@ -182,7 +205,7 @@ class Resolver:
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The settled decisions, the records with their products, and the touched products."""
         touched, seen = self.spark.createDataFrame([], TOUCHED), None
-        for _ in range(self.most_rounds):
+        while True:  # every round settles one record more at least
             decided = self.decide(touched)
             decided = materialize(self.guess(decided) if seen is None else decided, "decided")
             followed = materialize(self.follow(decided), "followed")
@@ -191,7 +214,6 @@ class Resolver:
             if mark == seen or (seen is None and mark[0] == 0):
                 return decided, followed, touched
             seen = mark
-        raise RuntimeError(f"the batch has not settled in {self.most_rounds} rounds; use smaller batches")
 
 
 def outcomes(records: DataFrame, resolver: Resolver, decided: DataFrame, followed: DataFrame, touched: DataFrame) -> DataFrame:

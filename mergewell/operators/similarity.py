@@ -1,24 +1,26 @@
 """Exact cosine search: nearest product, leave-one-out, threshold joins, edges within a batch.
 
-Vectors that are compared by the block go through matrix products in Arrow batches.  One side is
-broadcast in slices of at most ``SLICE_BYTES``, so neither memory nor the broadcast grows with the
-catalog; each slice is another pass over the other side, and only one best match per vector and slice
-is shuffled.  Scores are accumulated in double precision, cast to float32 and clamped; ties go to the
-smallest order.
+Both sides are dealt into blocks of at most about ``BLOCK_BYTES``, and a shuffle brings each pair of
+blocks together in one task, which multiplies them: nothing is broadcast or passes through the driver,
+whatever the sizes, and only one best match per vector and block is shuffled on.  Scores are accumulated
+in double precision, cast to float32 and clamped; ties go to the smallest order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.functions import vectors
+from mergewell.workspace import materialize
 
-SLICE_BYTES = 128 << 20
+BLOCK_BYTES = 32 << 20
+#: Rows of a product that are scored at once.
+STEP = 256
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -33,22 +35,28 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((a @ b.T).astype(np.float32), -1, 1)
 
 
-def slices(side: DataFrame, columns: list[str], vector: str) -> Iterator[dict]:
-    """``side`` in parts of at most about SLICE_BYTES, ordered by the first column, as arrays."""
-    first = side.select(F.size(vector).alias("d")).first()
-    if first is None:
-        return
-    rows = side.count()
-    parts = max(1, -(-rows * (first["d"] * 8 + 64) // SLICE_BYTES))
-    for k in range(parts):
-        own = side if parts == 1 else side.filter(F.pmod(F.xxhash64(columns[0]), F.lit(parts)) == k)
-        part = own.select(*columns, vector).toArrow()  # bounded by the slice
-        part = part.sort_by(columns[0]).combine_chunks()
-        out = {c: part.column(c).to_numpy() for c in columns}
-        v = part.column(vector)
-        out["matrix"] = unit_rows(v.chunk(0) if v.num_chunks else pa.array([], v.type))
-        if len(out["matrix"]):
-            yield out
+def block_counts(left: DataFrame, right: DataFrame, vector: str = "vector") -> tuple[int, int]:
+    """Into how many blocks each side is dealt: as few as memory allows, and enough pairs for all cores."""
+    sizes = [side.agg(F.count("*"), F.max(F.size(vector))).first() for side in (left, right)]
+    blocks = [max(1, -(-n * 8 * (d or 1) // BLOCK_BYTES)) for n, d in sizes]
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    spare = max(1, min(-(-cores // blocks[1]), -(-sizes[0][0] // STEP)))
+    return max(blocks[0], spare), blocks[1]
+
+
+def paired(left: DataFrame, right: DataFrame, by: tuple[str, str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on every pair of a block of ``left`` and a block of ``right``; rows are dealt by the columns ``by``."""
+    rows, columns = block_counts(left, right)
+    dealt = lambda side, column, n: side.withColumn("_own", F.pmod(F.xxhash64(column), F.lit(n)).cast("int"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = dealt(left, by[0], rows).withColumnRenamed("_own", "_row").withColumn("_column", all_of(columns))
+    b = dealt(right, by[1], columns).withColumnRenamed("_own", "_column").withColumn("_row", all_of(rows))
+    return a.groupBy("_row", "_column").cogroup(b.groupBy("_row", "_column")).applyInArrow(run, schema)
+
+
+def matrix(table: pa.Table, column: str = "vector") -> np.ndarray:
+    v = table.column(column).combine_chunks()
+    return unit_rows(v if isinstance(v, pa.Array) else v.chunk(0) if v.num_chunks else pa.array([], v.type))
 
 
 def nearest(queries: DataFrame, catalog: DataFrame, exclude_self: bool = False) -> DataFrame:
@@ -56,33 +64,31 @@ def nearest(queries: DataFrame, catalog: DataFrame, exclude_self: bool = False)
 
     Without any other vector to match, ``match_id`` and ``score`` are NULL.
     """
-    spark = queries.sparkSession
-    found = None
-    for part in slices(catalog, ["id"], "vector"):
-        shared = spark.sparkContext.broadcast((part["id"], part["matrix"]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                own, v = batch.column("id").to_numpy(), unit_rows(batch.column("vector"))
-                for i in range(0, len(own), 256):
-                    s = scores(v[i : i + 256], matrix)
-                    if exclude_self:
-                        s[own[i : i + 256, None] == ids[None, :]] = -np.inf
-                    best = s.argmax(axis=1)  # ids are sorted: the first of equal scores is the smallest
-                    top = s[np.arange(len(best)), best]
-                    real = np.isfinite(top)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[i : i + 256][real]), pa.array(ids[best][real]), pa.array(top[real].astype(np.float32))],
-                        ["id", "match_id", "score"],
-                    )
-
-        rows = queries.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "id long, match_id long, score float")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return queries.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("float").alias("score"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            own, ids, v, other = left.column("id").to_numpy(), right.column("id").to_numpy(), matrix(left), matrix(right)
+            for i in range(0, len(own), STEP):
+                s = scores(v[i : i + STEP], other)
+                if exclude_self:
+                    s[own[i : i + STEP, None] == ids[None, :]] = -np.inf
+                best = s.argmax(axis=1)  # ids are sorted: the first of equal scores is the smallest
+                top = s[np.arange(len(best)), best]
+                real = np.isfinite(top)
+                out.append((own[i : i + STEP][real], ids[best][real], top[real].astype(np.float32)))
+        return _table(out, ("id", "match_id", "score"), (np.int64, np.int64, np.float32))
+
+    asked = queries.select(F.col("id").cast("long").alias("id"), "vector")
+    found = paired(asked, catalog.select(F.col("id").cast("long").alias("id"), "vector"), ("id", "id"), run, "id long, match_id long, score float")
     best = found.groupBy("id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
-    return queries.select(F.col("id").cast("long").alias("id")).join(best.select("id", "m.*"), "id", "left")
+    return asked.select("id").join(best.select("id", "m.*"), "id", "left")
+
+
+def _table(parts: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Table:
+    columns = zip(*parts) if parts else [[] for _ in names]
+    return pa.table({n: np.concatenate([np.zeros(0, k), *c]) for n, k, c in zip(names, kinds, columns)})
 
 
 def leave_one_out(catalog: DataFrame) -> DataFrame:
@@ -91,46 +97,97 @@ def leave_one_out(catalog: DataFrame) -> DataFrame:
 
 
 def in_batch_edges(batch: DataFrame, threshold: float) -> DataFrame:
-    """``i, j, score`` with ``j`` before ``i`` and a score of at least ``threshold``, for ``batch (id, vector)``."""
-    spark = batch.sparkSession
-    found = None
-    for part in slices(batch, ["id"], "vector"):
-        shared = spark.sparkContext.broadcast((part["id"], part["matrix"]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for rows in batches:
-                own, v = rows.column("id").to_numpy(), unit_rows(rows.column("vector"))
-                for i in range(0, len(own), 256):
-                    s = scores(v[i : i + 256], matrix)
-                    at, to = np.nonzero((s >= np.float32(threshold)) & (ids[None, :] < own[i : i + 256, None]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[i : i + 256][at]), pa.array(ids[to]), pa.array(s[at, to])], ["i", "j", "score"]
-                    )
-
-        rows = batch.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "i long, j long, score float")
-        found = rows if found is None else found.unionByName(rows)
-    return found if found is not None else spark.createDataFrame([], "i long, j long, score float")
-
-
-def threshold_join(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 2) -> DataFrame:
-    """All pairs ``id, match_id, score`` with a score of at least ``threshold``, without comparing all.
-
-    Unit vectors with cosine of at least t are no further apart than sqrt(2 - 2t), and neither are
-    their projections on any unit pivot: projections fall in bands of that width, and pairs meet in
-    equal or neighbouring bands of every pivot.  The pivots are axes of the space, so nothing needs
-    fitting, and no pair over the threshold is lost.
+    """``i, j, score`` with ``j`` before ``i`` and a score of at least ``threshold``, for ``batch (id, vector)``.
+
+    Each unordered pair of blocks meets once.
+    """
+    rows = batch.select(F.col("id").cast("long").alias("id"), "vector")
+    n = max(block_counts(rows, rows))
+    own = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    a = own.withColumnRenamed("_own", "_row").withColumn("_column", F.explode(F.sequence(F.lit(0), "_row")))
+    b = own.withColumnRenamed("_own", "_column").withColumn("_row", F.explode(F.sequence(F.col("_column"), F.lit(n - 1))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            x, y, v, other = left.column("id").to_numpy(), right.column("id").to_numpy(), matrix(left), matrix(right)
+            same = left.column("_row")[0].as_py() == left.column("_column")[0].as_py()
+            for i in range(0, len(x), STEP):
+                s = scores(v[i : i + STEP], other)
+                good = s >= np.float32(threshold)
+                at, to = np.nonzero(good & (y[None, :] < x[i : i + STEP, None]) if same else good)
+                p, q = x[i : i + STEP][at], y[to]
+                out.append((np.maximum(p, q), np.minimum(p, q), s[at, to]))
+        return _table(out, ("i", "j", "score"), (np.int64, np.int64, np.float32))
+
+    return a.groupBy("_row", "_column").cogroup(b.groupBy("_row", "_column")).applyInArrow(run, "i long, j long, score float")
+
+
+def cells(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides, dealt to the cells ``_cell, _row, _column`` in which pairs can reach the threshold.
+
+    Every right vector belongs to the nearest of at most ``pivots`` pivots, right vectors themselves (a
+    bounded sample, those with the smallest hash).  By the triangle inequality of angles, a left vector
+    can only reach a pivot's vectors if it is no further from the pivot than their largest angle plus that
+    of the threshold.  No pair over the threshold is lost, whatever the pivots.
     """
-    width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    band = lambda k: F.floor(F.element_at("u", k + 1).cast("double") / width).cast("int")
-    names = [f"_b{k}" for k in range(pivots)]
-    a = left.select("id", vectors.unit(F.col("vector")).alias("u")).select("id", F.col("u").alias("ua"), *[band(k).alias(n) for k, n in enumerate(names)])
-    b = right.select(F.col("id").alias("match_id"), vectors.unit(F.col("vector")).alias("u"))
-    b = b.select("match_id", F.col("u").alias("ub"), *[band(k).alias(n) for k, n in enumerate(names)])
-    for n in names:
-        b = b.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vectors.dot(F.col("ua"), F.col("ub")))).cast("float")
-    return a.join(b, names).select("id", "match_id", score.alias("score")).filter(F.col("score") >= F.lit(threshold).cast("float"))
+    usable = lambda side, name: side.filter(vectors.problem(F.col("vector")).isNull()).select(F.col("id").cast("long").alias(name), "vector")
+    a, b = usable(left, "id"), usable(right, "match_id")
+    sample = b.orderBy(F.xxhash64("match_id"), "match_id").limit(pivots).select("vector").toArrow()
+    centres = matrix(sample) if sample.num_rows else np.zeros((0, 0))
+    limit = float(np.arccos(np.clip(threshold - 1e-6, -1, 1))) + 1e-3
+
+    def angles(batch: pa.RecordBatch) -> np.ndarray:
+        return np.arccos(np.clip(unit_rows(batch.column("vector")) @ centres.T, -1, 1))
+
+    def assigned(batches):
+        for batch in batches:
+            found = angles(batch)
+            cell = found.argmin(axis=1) if len(centres) else np.zeros(0, np.int64)
+            far = found[np.arange(len(cell)), cell] if len(centres) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["match_id", "vector", "_cell", "_angle"])
+
+    b = materialize(b.mapInArrow(assigned, "match_id long, vector array<float>, _cell int, _angle double"), "cells")
+    known = {r["_cell"]: r for r in b.groupBy("_cell").agg(F.max("_angle").alias("far"), F.count("*").alias("n")).collect()}  # one row a pivot
+    far = np.array([known[k]["far"] if k in known else -10.0 for k in range(len(centres))])
+
+    def reached(batches):
+        for batch in batches:
+            near = angles(batch) <= far + limit if len(centres) else np.zeros((batch.num_rows, 0), bool)
+            at = np.concatenate([[0], np.cumsum(near.sum(axis=1))])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.nonzero(near)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "vector", "_cells"])
+
+    a = a.mapInArrow(reached, "id long, vector array<float>, _cells array<int>")
+    rows, _ = block_counts(left, right)
+    most = max(1, BLOCK_BYTES // (8 * max(1, centres.shape[1])))
+    parts = F.create_map(*[F.lit(x) for k, r in known.items() for x in (k, -(-r["n"] // most))]) if known else F.create_map()
+    part = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    a = a.select("id", "vector", part("id", F.lit(rows)).alias("_row"), F.explode("_cells").alias("_cell"))
+    if not known:
+        return a.withColumn("_column", F.lit(0)), b.withColumn("_column", F.lit(0)).withColumn("_row", F.lit(0))
+    a = a.withColumn("_column", all_of(F.element_at(parts, F.col("_cell"))))
+    b = b.withColumn("_column", part("match_id", F.element_at(parts, F.col("_cell")))).withColumn("_row", all_of(F.lit(rows)))
+    return a, b
+
+
+def threshold_join(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 64) -> DataFrame:
+    """All pairs ``id, match_id, score`` with a score of at least ``threshold``; only pairs of one of the ``cells`` are compared."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            x, y, v, other = left.column("id").to_numpy(), right.column("match_id").to_numpy(), matrix(left), matrix(right)
+            for i in range(0, len(x), STEP):
+                s = scores(v[i : i + STEP], other)
+                at, to = np.nonzero(s >= np.float32(threshold))
+                out.append((x[i : i + STEP][at], y[to], s[at, to]))
+        return _table(out, ("id", "match_id", "score"), (np.int64, np.int64, np.float32))
+
+    a, b = cells(left, right, threshold, pivots)
+    key = ("_cell", "_row", "_column")
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(run, "id long, match_id long, score float")
 
 
 def quarantine(rows: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
@@ -138,5 +195,3 @@ def quarantine(rows: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
     repeated = rows.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select("id", F.lit("duplicate id").alias("_repeat"))
     marked = rows.join(repeated, "id", "left").withColumn("problem", F.coalesce(vectors.problem(F.col("vector"), dimension), "_repeat")).drop("_repeat")
     return marked.filter("problem is null").drop("problem"), marked.filter("problem is not null").select("id", "problem")
-
-

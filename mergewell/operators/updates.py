@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mergewell.functions.text import same_folded
 from mergewell.schemas import CHANGES
+from mergewell.workspace import materialize
 
 MODES = ("fill", "none", "overwrite")
 
@@ -26,6 +27,7 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
+#: The wording of the notes below is fixed.
 def field_rule(mode: str, field: str, current: Column, value: Column, flagged: Column, updated_by: Column, known: Column) -> tuple[Column, Column]:
     """The note and whether the change is applied, for one field; ``known``: the value is in the vocabulary."""
     empty = _blank(current)
@@ -91,6 +93,7 @@ def changes_of(matched: DataFrame, mode: str) -> DataFrame:
             .agg(*[x for f in offers for x in (F.min(open_[f]).alias(f"{f}_at"), F.min_by(f, open_[f]).alias(f"{f}_new"))])
             .filter("brand_at is not null or category_at is not null")
         )
+    matched = materialize(matched, "matched")  # read twice below
     differs = {f: offers[f] & ~same_folded(F.col(f"base_{f}"), F.col(f)) for f in offers}
     differs["category"] = differs["category"] & (F.col("base_category").isNull() | F.col("in_vocabulary"))
     first = F.when(differs["brand"] | differs["category"], index)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mergewell.operators import links as link_ops
 from mergewell.operators import updates
 from mergewell.operators.embed import Embedder, preflight
-from mergewell.operators.resolve import INSERTED, Resolver, outcomes
+from mergewell.operators.resolve import Resolver, outcomes
 from mergewell.workspace import materialize
 
 
@@ -44,15 +44,15 @@ def ingest(
     ids = materialize(link_ops.new_product_ids(inserted.select("record_index", "pid"), high_water[0], dry_run).drop("record_index"), "ids")
     named = lambda frame, pid, column: (
         frame.join(ids.select(F.col("pid").alias(pid), F.col("product_id").alias("_new")), pid, "left")
-        .withColumn(column, F.when(F.col(pid) >= INSERTED, F.col("_new")).otherwise(F.col(pid)))
+        .withColumn(column, F.when(F.col(pid) >= resolver.inserted, F.col("_new")).otherwise(F.col(pid)))
         .drop("_new")
     )
     results = named(named(found, "pid", "product_id"), "match_pid", "match_id").withColumn("err_kind", F.lit(None).cast("string"))
 
     final = {f: F.coalesce(f"{f}_new", f"base_{f}") for f in ("brand", "category")}
-    changed = touched.filter((F.col("pid") < INSERTED) & (F.col("brand_at").isNotNull() | F.col("category_at").isNotNull()))
+    changed = touched.filter((F.col("pid") < resolver.inserted) & (F.col("brand_at").isNotNull() | F.col("category_at").isNotNull()))
     changed = changed.select(F.col("pid").alias("id"), F.col("brand_new").alias("brand"), F.col("category_new").alias("category"))
-    new_products = touched.filter(F.col("pid") >= INSERTED).join(ids, "pid")
+    new_products = touched.filter(F.col("pid") >= resolver.inserted).join(ids, "pid")
     new_products = new_products.select(F.col("product_id").alias("id"), "name", final["brand"].alias("brand"), final["category"].alias("category"))
     linking = results.filter("outcome in ('inserted', 'linked')").select("record_index", "seller_name", "product_id", "seller_product_id")
     new_links = link_ops.numbered(linking, "record_index", "id", high_water[1]).select("id", "seller_name", "product_id", "seller_product_id")

@@ -142,13 +142,13 @@ def test_nearest(spark):
     assert {(r["id"], r["match_id"]) for r in similarity.leave_one_out(catalog).collect()} == {(1, 3), (3, 1), (2, 1)}
 
 
-def test_slices_change_nothing(spark, monkeypatch):
+def test_blocks_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(k, [float(x) for x in np.round(rng.normal(size=4), 1)]) for k in range(60)]
     df = spark.createDataFrame(rows, "id long, vector array<float>")
     whole = {tuple(r) for r in similarity.leave_one_out(df).collect()}
     edges = {tuple(r) for r in similarity.in_batch_edges(df, 0.8).collect()}
-    monkeypatch.setattr(similarity, "SLICE_BYTES", 1500)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 500)
     assert {tuple(r) for r in similarity.leave_one_out(df).collect()} == whole
     assert {tuple(r) for r in similarity.in_batch_edges(df, 0.8).collect()} == edges
     joined = {(max(r["id"], r["match_id"]), min(r["id"], r["match_id"])) for r in similarity.threshold_join(df, df, 0.8).collect() if r["id"] != r["match_id"]}
