@@ -58,7 +58,7 @@ def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
         if left.num_rows and right.num_rows:
             left, right = left.sort_by("uid"), right.sort_by([("pid", "ascending"), ("after", "ascending")])
             pids, after, until = (right.column(c).to_numpy() for c in ("pid", "after", "until"))
-            index, uid, other = left.column("record_index").to_numpy(), left.column("uid").to_numpy(), similarity.matrix(right)
+            index, uid, other = left.column("record_index").to_numpy(), left.column("uid").to_numpy(), similarity.matrix(right, "other")
             for i in range(0, len(index), similarity.STEP):
                 own = index[i : i + similarity.STEP, None]
                 _, firsts, which = np.unique(uid[i : i + similarity.STEP], return_index=True, return_inverse=True)
@@ -71,7 +71,7 @@ def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
         return similarity._table(out, ("record_index", "pid", "after", "score"), (np.int64, np.int64, np.int64, np.float32))
 
     asked = queries.select("record_index", "uid", "vector")
-    return similarity.paired(asked, versions, ("uid", "pid"), run, "record_index long, pid long, after long, score float")
+    return similarity.paired(asked, versions.withColumnRenamed("vector", "other"), ("uid", "pid"), run, "record_index long, pid long, after long, score float")
 
 
 class Resolver:

@@ -35,9 +35,9 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((a @ b.T).astype(np.float32), -1, 1)
 
 
-def block_counts(left: DataFrame, right: DataFrame, vector: str = "vector") -> tuple[int, int]:
+def block_counts(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("vector", "vector")) -> tuple[int, int]:
     """Into how many blocks each side is dealt: as few as memory allows, and enough pairs for all cores."""
-    sizes = [side.agg(F.count("*"), F.max(F.size(vector))).first() for side in (left, right)]
+    sizes = [side.agg(F.count("*"), F.max(F.size(vector))).first() for side, vector in zip((left, right), names)]
     blocks = [max(1, -(-n * 8 * (d or 1) // BLOCK_BYTES)) for n, d in sizes]
     cores = left.sparkSession.sparkContext.defaultParallelism
     spare = max(1, min(-(-cores // blocks[1]), -(-sizes[0][0] // STEP)))
@@ -45,8 +45,8 @@ def block_counts(left: DataFrame, right: DataFrame, vector: str = "vector") -> t
 
 
 def paired(left: DataFrame, right: DataFrame, by: tuple[str, str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``run`` on every pair of a block of ``left`` and a block of ``right``; rows are dealt by the columns ``by``."""
-    rows, columns = block_counts(left, right)
+    """``run`` on every pair of a block of ``left (vector, ...)`` and one of ``right (other, ...)``; rows are dealt by the columns ``by``."""
+    rows, columns = block_counts(left, right, ("vector", "other"))
     dealt = lambda side, column, n: side.withColumn("_own", F.pmod(F.xxhash64(column), F.lit(n)).cast("int"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = dealt(left, by[0], rows).withColumnRenamed("_own", "_row").withColumn("_column", all_of(columns))
@@ -68,8 +68,8 @@ def nearest(queries: DataFrame, catalog: DataFrame, exclude_self: bool = False)
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            right = right.sort_by("id")
-            own, ids, v, other = left.column("id").to_numpy(), right.column("id").to_numpy(), matrix(left), matrix(right)
+            right = right.sort_by("other_id")
+            own, ids, v, other = left.column("id").to_numpy(), right.column("other_id").to_numpy(), matrix(left), matrix(right, "other")
             for i in range(0, len(own), STEP):
                 s = scores(v[i : i + STEP], other)
                 if exclude_self:
@@ -81,7 +81,8 @@ def nearest(queries: DataFrame, catalog: DataFrame, exclude_self: bool = False)
         return _table(out, ("id", "match_id", "score"), (np.int64, np.int64, np.float32))
 
     asked = queries.select(F.col("id").cast("long").alias("id"), "vector")
-    found = paired(asked, catalog.select(F.col("id").cast("long").alias("id"), "vector"), ("id", "id"), run, "id long, match_id long, score float")
+    others = catalog.select(F.col("id").cast("long").alias("other_id"), F.col("vector").alias("other"))
+    found = paired(asked, others, ("id", "other_id"), run, "id long, match_id long, score float")
     best = found.groupBy("id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
     return asked.select("id").join(best.select("id", "m.*"), "id", "left")
 
@@ -105,12 +106,13 @@ def in_batch_edges(batch: DataFrame, threshold: float) -> DataFrame:
     n = max(block_counts(rows, rows))
     own = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     a = own.withColumnRenamed("_own", "_row").withColumn("_column", F.explode(F.sequence(F.lit(0), "_row")))
-    b = own.withColumnRenamed("_own", "_column").withColumn("_row", F.explode(F.sequence(F.col("_column"), F.lit(n - 1))))
+    b = own.select(F.col("id").alias("other_id"), F.col("vector").alias("other"), F.col("_own").alias("_column"))
+    b = b.withColumn("_row", F.explode(F.sequence(F.col("_column"), F.lit(n - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            x, y, v, other = left.column("id").to_numpy(), right.column("id").to_numpy(), matrix(left), matrix(right)
+            x, y, v, other = left.column("id").to_numpy(), right.column("other_id").to_numpy(), matrix(left), matrix(right, "other")
             same = left.column("_row")[0].as_py() == left.column("_column")[0].as_py()
             for i in range(0, len(x), STEP):
                 s = scores(v[i : i + STEP], other)
@@ -131,7 +133,7 @@ def cells(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 64)
     can only reach a pivot's vectors if it is no further from the pivot than their largest angle plus that
     of the threshold.  No pair over the threshold is lost, whatever the pivots.
     """
-    usable = lambda side, name: side.filter(vectors.problem(F.col("vector")).isNull()).select(F.col("id").cast("long").alias(name), "vector")
+    usable = lambda side, name: side.filter(vectors.problem(F.col("vector")).isNull()).select(F.col("id").cast("long").alias(name), F.col("vector").alias("vector"))
     a, b = usable(left, "id"), usable(right, "match_id")
     sample = b.orderBy(F.xxhash64("match_id"), "match_id").limit(pivots).select("vector").toArrow()
     centres = matrix(sample) if sample.num_rows else np.zeros((0, 0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mergewell.plans.ingest import summary
 
+#: The sections and the wording of their lines.
 SECTIONS = ("rejected", "failed", "suspicious", "inserted", "changes", "notes")
 
 
@@ -55,13 +56,21 @@ def decision_lines(results: DataFrame) -> DataFrame:
     return results.select("record_index", line.alias("line"))
 
 
-def text_report(results: DataFrame, threshold: float, mode: str, catalog_size: int, dry_run: bool = False, verbose: bool = False, most_lines: int = 1000) -> str:
-    """The report as text.  The driver gets at most ``most_lines`` lines of each section."""
+def text_report(
+    results: DataFrame, threshold: float, mode: str, catalog_size: int, dry_run: bool = False, verbose: bool = False, most_lines: int = 1000,
+    stopped: tuple[str, int, str] | None = None,
+) -> str:
+    """The report as text.  The driver gets at most ``most_lines`` lines of each section.
+
+    ``stopped``: the stage, the record and the reason where a run ended early; ``results`` has what it did before.
+    """
     counts = summary(results).first().asDict()
     out = ["Ingest report" + (" (DRY RUN: nothing written)" if dry_run else "")]
     out.append(f"threshold {threshold:.3f}, update {mode}, catalog {catalog_size} products")
     shown = ("inserted", "linked", "existing", "rejected", "failed", "suspicious")
     out.append(f"records {counts['records']}: " + ", ".join(f"{k} {counts[k]}" for k in shown) + f", products updated {counts['updated']}")
+    if stopped:
+        out.append("stopped: {} at record {}: {}; {} records processed".format(*stopped, counts["records"]))
     lines = report_lines(results)
     sizes = {r["section"]: r["count"] for r in lines.groupBy("section").count().collect()}
     for section in SECTIONS:

@@ -9,28 +9,48 @@ from mergewell.operators import validate
 from mergewell.plans import report
 from mergewell.sources import payloads
 
-ID = "123e4567-e89b-42d3-a456-426614174000"
+ID = "0f8fad5b-d9cb-469f-a165-70867728950e"
+DEFAULT = {"Id": ID, "SellerName": "Northwind", "Name": "Desk lamp", "Brand": "Lumo", "Category": "Office"}
+#: The states that a field can be in; what isn't a string can be anything else.
+STATES = {"missing": ..., "null": None, "number": 3.5, "list": ["q"], "object": {"q": 1}, "true": True, "blank": " \t", "unseen": "\u200b\x00", "text": "own"}
 
 
 def element(**changes):
-    row = {"Id": ID, "SellerName": "Mega", "Name": "Phone", "Brand": "Sam", "Category": "Electro"}
-    row.update(changes)
+    row = DEFAULT | changes
     return json.dumps({k: v for k, v in row.items() if v is not ...})
 
 
-WHOLE = "Phone | brand: Sam | category: Electro"
-CASES = [
-    (element(), None, WHOLE), (element(Id=...), "Id: missing", None), (element(Id=None), "Id: null", None), (element(Id=42), "Id: not a string", None),
-    (element(Id=" "), "Id: blank", None), (element(Id=ID[1:]), "Id: not a UUID", None), (element(Id=f"  {ID.upper()}\n"), None, WHOLE),
-    (element(SellerName=...), "SellerName: missing", None), (element(SellerName={"a": 1}), "SellerName: not a string", None),
-    (element(Name="  \t "), "Name: blank", None), (element(Name="\u0000​"), "Name: blank", None), (element(Name=1), "Name: not a string", None),
-    (element(Brand=7), "Brand: not a string", None), (element(Category=["x"]), "Category: not a string", None),
-    (element(Brand=...), None, "Phone | category: Electro"), (element(Brand=""), None, "Phone | category: Electro"),
-    (element(Category=None, Brand=" "), None, "Phone"), (element(Price=9.5), None, WHOLE), (element(Id=..., id=ID), "Id: missing", None),
-    (element()[:-1] + ', "Name": "Spoof"}', 'duplicate key "Name"', None), (element()[:-1] + ', "x": {"a": 1, "a": 2}}', None, WHOLE),
-    ("42", "not an object", None), ('"x"', "not an object", None), ("null", "not an object", None), ("[{}]", "not an object", None),
-    (element(Id=None, Name=5), "Id: null", None),
-]
+def judged(**changes):
+    """The reason to reject and the identity, field by field as the rules say."""
+    row = DEFAULT | changes
+    for field, value in row.items():
+        needed = field in ("Id", "SellerName", "Name")
+        text_value = isinstance(value, str)
+        if value is ... or value is None:
+            if needed:
+                return f"{field}: {'missing' if value is ... else 'null'}", None
+        elif not text_value:
+            return f"{field}: not a string", None
+        elif needed and not value.strip(" \t\u200b\x00"):
+            return f"{field}: blank", None
+        elif field == "Id" and value != ID:
+            return "Id: not a UUID", None
+    parts = [row["Name"]] + [f"{f.lower()}: {row[f]}" for f in ("Brand", "Category") if isinstance(row[f], str) and row[f].strip(" \t\u200b\x00")]
+    return None, " | ".join(parts)
+
+
+def changed():
+    fields = list(DEFAULT)
+    one = [{f: v} for f in fields for v in STATES.values()]
+    two = [{f: v, g: w} for k, f in enumerate(fields) for g in fields[k + 1 :] for v, w in ((None, 3.5), (..., None), (" \t", ...), (["q"], {"q": 1}))]
+    return one + two
+
+
+CASES = [(element(**c), *judged(**c)) for c in changed()]
+CASES += [(element(Id=f"\n{ID.upper()} "), None, judged()[1]), (element(Weight=2), None, judged()[1]), (element(Id=..., ID=ID), "Id: missing", None)]
+CASES += [(element()[:-1] + f', {json.dumps(f)}: "twice"}}', f'duplicate key "{f}"', None) for f in DEFAULT]
+CASES += [(element()[:-1] + ', "inner": {"k": 0, "k": 1}}', None, judged()[1])]
+CASES += [(value, "not an object", None) for value in ("0", "false", "null", '"lamp"', "[]", "[[{}]]")]
 
 
 def write(folder, *contents):
@@ -47,8 +67,9 @@ def test_elements(spark, folder):
     assert len(rows) == len(CASES)
     for k, (_, reason, identity) in enumerate(CASES):
         assert (rows[k]["reason"], rows[k]["identity"]) == (reason, identity), CASES[k]
-    assert rows[6]["seller_product_id"] == ID
-    assert [f["reason"] for f in rows[10]["flags"]] == [text.CONTROLS]
+    assert rows[len(changed())]["seller_product_id"] == ID
+    unseen = rows[[c for c, _, _ in CASES].index(element(Name=STATES["unseen"]))]
+    assert [(f["field"], f["reason"]) for f in unseen["flags"]] == [("Name", text.CONTROLS)]
 
 
 def test_lines_agree_with_arrays(spark, folder):
@@ -58,13 +79,13 @@ def test_lines_agree_with_arrays(spark, folder):
 
 
 def test_flags_of_rejected_entries(spark, folder):
-    path = write(folder, "[" + element(Id="bad", Brand="x'; SELECT 1; --") + "]")
+    path = write(folder, "[" + element(Id="17", Brand="Lumo /* new") + "]")
     row = validate.records(payloads.read_payloads(spark, path)).first()
-    assert (row["reason"], row["flags"][0]["field"], row["brand"]) == ("Id: not a UUID", "Brand", "x'; SELECT 1; --")
+    assert (row["reason"], row["flags"][0]["field"], row["brand"]) == ("Id: not a UUID", "Brand", "Lumo /* new")
 
 
 @pytest.mark.parametrize("content, kept", [
-    ("", 0), ('{"Id":"x"}', 0), ('"x"', 0), ('[{"Id":}]', 0), ("[{0},", 1), ("[{0}", 1), ("[{0}] junk", 1), ("[{0}][]", 1), ("[NaN]", 0), ("[{0} {0}]", 1), ("[{0},]", 1),
+    (" \n", 0), ("{0}", 0), ("17", 0), ("[{0}, {0}, }", 2), ("[{0},{0}", 2), ("[{0}]]", 1), ("[{0}] {0}", 1), ("[{0}, Infinity]", 1), ("[{0}; {0}]", 1), ("[,{0}]", 0), ("[{0},,{0}]", 1),
 ])
 def test_payload_errors(content, kept):
     rows = list(payloads.split_array(content.replace("{0}", element()).encode()))
@@ -91,7 +112,7 @@ def test_many_payloads_keep_their_valid_prefix(spark, folder):
 def test_json_records_leave_out_empty_fields(spark, folder):
     path = write(folder, f"[{element(Brand=None)}, {element(Id=1)}]")
     lines = [json.loads(r["line"]) for r in report.json_records(validate.records(payloads.elements(payloads.read_payloads(spark, path)))).orderBy("record_index").collect()]
-    assert lines[0] == {"index": 0, "id": ID, "sellerName": "Mega", "name": "Phone", "category": "Electro", "identity": "Phone | category: Electro"}
+    assert lines[0] == {"index": 0, "id": ID, "sellerName": "Northwind", "name": "Desk lamp", "category": "Office", "identity": "Desk lamp | category: Office"}
     assert lines[1]["reason"] == "Id: not a string" and "identity" not in lines[1]
 
 
