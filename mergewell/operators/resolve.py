@@ -47,7 +47,7 @@ def _versions(touched: DataFrame) -> DataFrame:
     return each.select("pid", "after", "until", text.identity(F.col("name"), then("brand"), then("category")).alias("identity"))
 
 
-def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
+def _best_version(queries: DataFrame, versions: DataFrame, extents: tuple[tuple[int, int], tuple[int, int]]) -> DataFrame:
     """The best valid version for every ``record_index, uid, vector``: ``record_index, pid, after, score``.
 
     Records of one identity are in one block and share their scores.
@@ -71,7 +71,7 @@ def _best_version(queries: DataFrame, versions: DataFrame) -> DataFrame:
         return similarity._table(out, ("record_index", "pid", "after", "score"), (np.int64, np.int64, np.int64, np.float32))
 
     asked = queries.select("record_index", "uid", "vector")
-    return similarity.paired(asked, versions.withColumnRenamed("vector", "other"), ("uid", "pid"), run, "record_index long, pid long, after long, score float")
+    return similarity.paired(asked, versions.withColumnRenamed("vector", "other"), ("uid", "pid"), run, "record_index long, pid long, after long, score float", extents)
 
 
 class Resolver:
@@ -103,6 +103,7 @@ class Resolver:
         self.identities = self.queries.groupBy("uid").agg(F.first("vector").alias("vector"))
         static = similarity.nearest(self.identities.select(F.col("uid").alias("id"), "vector"), self.catalog)
         self.rest_mark = self.rest = self.seen = None
+        self.extent = self.queries.count(), embedder.dimension
         self.static = materialize(static.select(F.col("id").alias("uid"), F.col("match_id").alias("pid"), "score"), "static")
 
     def _embedded(self, identities: DataFrame) -> DataFrame:
@@ -130,24 +131,25 @@ class Resolver:
     def moving(self, touched: DataFrame) -> DataFrame:
         """The best version of a touched product for every record, from what the last round found."""
         key = ["pid", "after", "until", "identity"]
-        versions = materialize(_versions(touched), "versions")
+        versions = _versions(touched)
         new = versions.join(self.vectors, "identity", "left_anti").select("identity")
         known = self.vectors.unionByName(self._embedded(new))
         placed = materialize(versions.join(known, "identity").select(*key, "vector"), "moving")
+        extents = self.extent, (3 * touched.count(), self.embedder.dimension)  # at most three versions each
         if self.seen is None:
-            best = _best_version(self.queries, placed)
+            best = _best_version(self.queries, placed, extents)
         else:
             before, found = self.seen
-            gone = before.join(versions, key, "left_anti").select("pid", "after")
+            gone = before.join(placed, key, "left_anti").select("pid", "after")
             lost = materialize(found.join(gone, ["pid", "after"], "left_semi").select("record_index"), "lost")
             best = found.join(gone, ["pid", "after"], "left_anti")
             added = materialize(placed.join(before, key, "left_anti"), "added")
             if not added.isEmpty():
-                best = best.unionByName(_best_version(self.queries.join(lost, "record_index", "left_anti"), added))
+                best = best.unionByName(_best_version(self.queries.join(lost, "record_index", "left_anti"), added, extents))
             if not lost.isEmpty():
-                best = best.unionByName(_best_version(self.queries.join(lost, "record_index", "left_semi"), placed))
+                best = best.unionByName(_best_version(self.queries.join(lost, "record_index", "left_semi"), placed, extents))
         best = best.groupBy("record_index").agg(F.max_by(F.struct("pid", "after", "score"), F.struct("score", -F.col("pid"))).alias("m"))
-        self.seen = versions.select(*key), materialize(best.select("record_index", "m.*"), "best-versions")
+        self.seen = placed.select(*key), materialize(best.select("record_index", "m.*"), "best-versions")
         return self.seen[1].select("record_index", "pid", "score")
 
     def decide(self, touched: DataFrame) -> DataFrame:

@@ -35,18 +35,28 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((a @ b.T).astype(np.float32), -1, 1)
 
 
-def block_counts(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("vector", "vector")) -> tuple[int, int]:
-    """Into how many blocks each side is dealt: as few as memory allows, and enough pairs for all cores."""
-    sizes = [side.agg(F.count("*"), F.max(F.size(vector))).first() for side, vector in zip((left, right), names)]
-    blocks = [max(1, -(-n * 8 * (d or 1) // BLOCK_BYTES)) for n, d in sizes]
-    cores = left.sparkSession.sparkContext.defaultParallelism
-    spare = max(1, min(-(-cores // blocks[1]), -(-sizes[0][0] // STEP)))
-    return max(blocks[0], spare), blocks[1]
-
-
-def paired(left: DataFrame, right: DataFrame, by: tuple[str, str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``run`` on every pair of a block of ``left (vector, ...)`` and one of ``right (other, ...)``; rows are dealt by the columns ``by``."""
-    rows, columns = block_counts(left, right, ("vector", "other"))
+def extent(side: DataFrame, vector: str = "vector") -> tuple[int, int]:
+    """How many rows a side has, and their dimension."""
+    n, d = side.agg(F.count("*"), F.max(F.size(vector))).first()
+    return n, d or 1
+
+
+def block_counts(left: tuple[int, int], right: tuple[int, int], cores: int) -> tuple[int, int]:
+    """Into how many blocks sides of these extents are dealt: as few as memory allows, and enough pairs for all cores."""
+    rows, columns = (max(1, -(-n * 8 * d // BLOCK_BYTES)) for n, d in (left, right))
+    return max(rows, min(-(-cores // columns), -(-left[0] // STEP))), columns
+
+
+def paired(
+    left: DataFrame, right: DataFrame, by: tuple[str, str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
+    extents: tuple[tuple[int, int], tuple[int, int]] | None = None,
+) -> DataFrame:
+    """``run`` on every pair of a block of ``left (vector, ...)`` and one of ``right (other, ...)``; rows are dealt by the columns ``by``.
+
+    ``extents`` of both sides are counted where they aren't given; upper bounds do.
+    """
+    extents = extents or (extent(left), extent(right, "other"))
+    rows, columns = block_counts(*extents, left.sparkSession.sparkContext.defaultParallelism)
     dealt = lambda side, column, n: side.withColumn("_own", F.pmod(F.xxhash64(column), F.lit(n)).cast("int"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = dealt(left, by[0], rows).withColumnRenamed("_own", "_row").withColumn("_column", all_of(columns))
@@ -103,7 +113,8 @@ def in_batch_edges(batch: DataFrame, threshold: float) -> DataFrame:
     Each unordered pair of blocks meets once.
     """
     rows = batch.select(F.col("id").cast("long").alias("id"), "vector")
-    n = max(block_counts(rows, rows))
+    size = extent(rows)
+    n = max(block_counts(size, size, rows.sparkSession.sparkContext.defaultParallelism))
     own = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     a = own.withColumnRenamed("_own", "_row").withColumn("_column", F.explode(F.sequence(F.lit(0), "_row")))
     b = own.select(F.col("id").alias("other_id"), F.col("vector").alias("other"), F.col("_own").alias("_column"))
@@ -161,7 +172,7 @@ def cells(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 64)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "vector", "_cells"])
 
     a = a.mapInArrow(reached, "id long, vector array<float>, _cells array<int>")
-    rows, _ = block_counts(left, right)
+    rows, _ = block_counts(extent(left), (1, 1), left.sparkSession.sparkContext.defaultParallelism)
     most = max(1, BLOCK_BYTES // (8 * max(1, centres.shape[1])))
     parts = F.create_map(*[F.lit(x) for k, r in known.items() for x in (k, -(-r["n"] // most))]) if known else F.create_map()
     part = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
