@@ -40,14 +40,16 @@ def brute(files, templates, threshold, least_share=0.5):
         own.append((best[1], best[0], bool(total) and share / total >= least_share))
     givers = {}
     for (_, path, _), (name, _, big) in sorted(zip(files, own), key=lambda x: x[0][1] or ""):
-        if path and "/" in path and name and (big or re.match(licenses.LICENCE_NAME, path.rsplit("/", 1)[1])):
-            givers.setdefault(path.rsplit("/", 1)[0], name)
+        if path and name and (big or re.match(licenses.LICENCE_NAME, path.rsplit("/", 1)[-1])):
+            givers.setdefault(path.rsplit("/", 1)[0] if "/" in path else "", name)
     out = []
     for (i, path, _), (name, score, _) in zip(files, own):
         above, up = None, path or ""
         while "/" in up and above is None:
             up = up.rsplit("/", 1)[0]
             above = givers.get(up)
+        if path is not None and above is None:
+            above = givers.get("")
         out.append((str(i), name, round(score, 4), above, name or above))
     return sorted(map(str, out))
 
