@@ -9,7 +9,7 @@ with the smallest hash of their id) on the driver; scoring covers every passage
 Defined results: null and empty text are one passage of zeros and get a score like any other; labels
 that are null are ignored and several labels of one document are averaged; with no label at all the
 score is 0.5; with labels of one kind it is their mean; repeated rows are scored row by row and teach
-once; ids that tie on their hash are taken in their order; very long texts are cut into passages block by
+once; ids that tie on their hash are taken in their order, texts of one id in that of their hash; very long texts are cut into passages block by
 block and scored whole; an empty table gives an empty result; extra columns are ignored by
 ``score_quality`` and kept by ``keep_good``.
 """
@@ -152,10 +152,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_bytes: int = 128 << 20) -> AttentionModel:
-    """Fit on every passage of at most ``most_labelled`` rows of ``labels (doc_id, label)``.
+    """Fit on every passage of at most ``most_labelled`` documents with a row in ``labels (doc_id, label)``.
 
-    The rows end, in the order of the hash of their id, before their passages (1,040 bytes each) take
-    more than ``most_bytes``; the first is always taken.  Rows that repeat id and text count once.
+    The documents end, in the order of the hashes of their id and text, before their passages (1,040 bytes
+    each) take more than ``most_bytes``; the first is always taken.  Rows that repeat id and text count
+    once, and different texts of one id count each, so no id brings more than that to the driver.
     """
     chosen = (
         labels.filter("doc_id is not null and label is not null")
@@ -172,19 +173,20 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_by
     sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, label double")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # repeats of a row are combined before anything is brought together
-    taught = materialize(rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]), "taught")
-    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
-    sizes = {r["doc_id"]: r["n"] for r in taught.groupBy("doc_id").agg(F.sum(n).alias("n")).collect()}
+    taught = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("text_hash", F.xxhash64("text"))
+    taught = materialize(taught, "taught")
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)).alias("n")
+    listed = taught.select("doc_id", "text_hash", n).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(most_labelled).collect()
     taken, room = [], most_bytes // (4 * WIDTH)
-    for r in chosen:
-        room -= sizes.get(r["doc_id"], 0)
+    for r in listed:
+        room -= r["n"]
         if room < 0 and taken:
             break
-        taken.append(r)
-    sample = docs.sparkSession.createDataFrame(taken, "doc_id long, label double")
-    found = taught.join(F.broadcast(sample.select("doc_id")), "doc_id").select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label double, bag binary").collect()
+        taken.append((r["doc_id"], r["text_hash"]))
+    sample = docs.sparkSession.createDataFrame(taken, "doc_id long, text_hash long")
+    found = taught.join(F.broadcast(sample), ["doc_id", "text_hash"]).select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label double, bag binary").collect()
     discard(taught)
-    found = sorted(((r["doc_id"], bytes(r["bag"]), r["label"]) for r in found))[:most_labelled]
+    found = sorted(((r["doc_id"], bytes(r["bag"]), r["label"]) for r in found))
     bags = [np.frombuffer(bag, np.float32).reshape(-1, WIDTH) for _, bag, _ in found]
     model.fit(bags, np.array([y for *_, y in found]))
     return model

@@ -11,3 +11,13 @@ def test_every_passage_of_the_chosen_rows_teaches(spark, monkeypatch):
     quality.train(docs, labels)
     quality.train(docs, labels, most_bytes=1)
     assert seen[0] == [1, 33, 100] and len(seen[1]) == 1
+
+
+def test_texts_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, bags, y: seen.append((len(bags), sorted(set(y)))))
+    docs = spark.createDataFrame([(1, f"text {k // 2}") for k in range(100)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, label int")
+    for most in (4000, 20):
+        quality.train(docs, labels, most_labelled=most)
+    assert seen[0] == (51, [0.5, 1.0]) and seen[1][0] == 20
