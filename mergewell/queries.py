@@ -15,6 +15,7 @@ from mergewell.plans import calibrate as cal
 from mergewell.plans import profile as prof
 from mergewell.plans import report
 from mergewell.plans.ingest import Ingested, ingest, summary
+from mergewell.plans.settle import settle
 from mergewell.schemas import FIELDS, LINK, RAW
 from mergewell.sources import driver_tables as tables
 from mergewell.sources import payloads
@@ -728,6 +729,24 @@ def ingest_links(spark, sf_dir):
     return _ingested(spark, sf_dir, "none").links
 
 
+@query(RESULTS_SQL + """, adding AS (SELECT * FROM results WHERE outcome IN ('inserted', 'linked')),
+    taken AS (SELECT seller_name, seller_product_id, true AS is_taken FROM adding WHERE record_index % 10 = 1),
+    alive AS (SELECT id AS product_id, true AS is_there FROM product WHERE id % 7 <> 0
+        UNION ALL SELECT product_id, true FROM adding LEFT JOIN taken USING (seller_name, seller_product_id) WHERE outcome = 'inserted' AND is_taken IS NULL),
+    judged AS (SELECT r.*, CASE WHEN outcome = 'rejected' THEN NULL WHEN is_taken THEN 'conflict' WHEN is_there IS NULL THEN 'not found' END AS err_kind
+        FROM results r LEFT JOIN taken USING (seller_name, seller_product_id) LEFT JOIN alive USING (product_id))
+    SELECT record_index, CASE WHEN err_kind IS NOT NULL THEN 'failed' ELSE outcome END AS outcome, err_kind,
+        CASE WHEN err_kind IS NULL THEN product_id + CASE WHEN product_id > (SELECT max(id) FROM product) THEN 5 ELSE 0 END END AS product_id FROM judged""")
+def settled_results(spark, sf_dir):
+    """Another writer has linked every tenth key and deleted every seventh product since the batch was decided."""
+    done, products = _ingested(spark, sf_dir, "none"), tables.products(spark, sf_dir)
+    taken = done.results.filter("outcome in ('inserted', 'linked') and record_index % 10 = 1")
+    links = taken.select(F.col("record_index").alias("id"), "seller_name", F.lit(1).cast("long").alias("product_id"), "seller_product_id")
+    top, last = products.agg(F.max("id")).first()[0], links.agg(F.max("id")).first()[0] or 0
+    got = settle(done, (top, 0), products.filter("id % 7 <> 0"), links, (top + 5, last))
+    return got.results.select("record_index", "outcome", "err_kind", "product_id")
+
+
 @query(RESULTS_SQL + """, lines AS (SELECT 'rejected' AS section, record_index, '#' || record_index || ' ' || seller_name || ' ' || seller_product_id || ': ' || reason AS line FROM results WHERE outcome = 'rejected'
     UNION ALL SELECT 'suspicious', record_index, '#' || record_index || ' ' || seller_name || ' ' || seller_product_id || ': ' || array_to_string(flags, '; ') FROM results WHERE len(flags) > 0) SELECT * FROM lines""")
 def report_lines(spark, sf_dir):
