@@ -733,10 +733,10 @@ def ingest_links(spark, sf_dir):
     taken AS (SELECT seller_name, seller_product_id, true AS is_taken FROM adding WHERE record_index % 10 = 1),
     alive AS (SELECT id AS product_id, true AS is_there FROM product WHERE id % 7 <> 0
         UNION ALL SELECT product_id, true FROM adding LEFT JOIN taken USING (seller_name, seller_product_id) WHERE outcome = 'inserted' AND is_taken IS NULL),
-    judged AS (SELECT r.*, CASE WHEN outcome = 'rejected' THEN NULL WHEN is_taken THEN 'conflict' WHEN is_there IS NULL THEN 'not found' END AS err_kind
+    fates AS (SELECT r.*, CASE WHEN outcome = 'rejected' THEN NULL WHEN is_taken THEN 'conflict' WHEN is_there IS NULL THEN 'not found' END AS err_kind
         FROM results r LEFT JOIN taken USING (seller_name, seller_product_id) LEFT JOIN alive USING (product_id))
     SELECT record_index, CASE WHEN err_kind IS NOT NULL THEN 'failed' ELSE outcome END AS outcome, err_kind,
-        CASE WHEN err_kind IS NULL THEN product_id + CASE WHEN product_id > (SELECT max(id) FROM product) THEN 5 ELSE 0 END END AS product_id FROM judged""")
+        CASE WHEN err_kind IS NULL THEN product_id + CASE WHEN product_id > (SELECT max(id) FROM product) THEN 5 ELSE 0 END END AS product_id FROM fates""")
 def settled_results(spark, sf_dir):
     """Another writer has linked every tenth key and deleted every seventh product since the batch was decided."""
     done, products = _ingested(spark, sf_dir, "none"), tables.products(spark, sf_dir)
