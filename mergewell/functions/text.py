@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,18 +26,20 @@ SQL_PATTERN = (
     ";|--|/\\*|\\*/|['\"`]\\s*\\)?\\s*(?i:\\b(?:select|insert|update|delete|drop|union|exec|alter|create|truncate)\\b|or\\s+['\"\\d])"
 )
 MARKUP_PATTERN = "(?i)<\\s*/?\\s*script|javascript:"
+#: Texts without any of these can't be changed or matched by the patterns above, which cost several times as much.
+BEYOND_PLAIN = "[^ -~]"
+SQL_CHARACTERS = "[-;/*'\"`]"
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
 def _normalizer(form: str):
-    @F.pandas_udf(T.StringType())
-    def normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            given = texts.notna()
-            if given.any():
-                texts = texts.copy()
-                texts[given] = [unicodedata.normalize(form, s) for s in texts[given]]
-            yield texts
+    @F.pandas_udf(T.StringType())  # not over an iterator: those of several columns would each be a pass of its own
+    def normalize(texts: pd.Series) -> pd.Series:
+        given = texts.notna()
+        if given.any():
+            texts = texts.copy()
+            texts[given] = [unicodedata.normalize(form, s) for s in texts[given]]
+        return texts
 
     def apply(text: Column) -> Column:
         """Only texts that hold more than ASCII go to Python; in the others nothing can change."""
@@ -80,7 +81,7 @@ def uncontrolled(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, " +", " "))
+    return F.trim(F.when(text.contains("  "), F.regexp_replace(text, " +", " ")).otherwise(text))
 
 
 def capped(text: Column, most: int = MAX_POINTS) -> Column:
@@ -89,7 +90,7 @@ def capped(text: Column, most: int = MAX_POINTS) -> Column:
 
 def uncapped(text: Column, normalize=nfc) -> Column:
     """Everything that sanitizing does before the cap on the length."""
-    return collapsed(normalize(uncontrolled(spaced(text))))
+    return collapsed(normalize(F.when(text.rlike(BEYOND_PLAIN), uncontrolled(spaced(text))).otherwise(text)))
 
 
 def sanitize(text: Column) -> Column:
@@ -97,15 +98,15 @@ def sanitize(text: Column) -> Column:
 
 
 def had_controls(text: Column) -> Column:
-    return spaced(text).rlike(REMOVED)
+    return text.rlike(BEYOND_PLAIN) & spaced(text).rlike(REMOVED)
 
 
 def sql_like(text: Column) -> Column:
-    return text.rlike(SQL_PATTERN)
+    return text.rlike(SQL_CHARACTERS) & text.rlike(SQL_PATTERN)
 
 
 def markup_like(text: Column) -> Column:
-    return text.rlike(MARKUP_PATTERN)
+    return (text.contains("<") | text.contains(":")) & text.rlike(MARKUP_PATTERN)
 
 
 def flags(field: str, raw: Column, full: Column, clean: Column, repaired: Column | None = None) -> Column:
