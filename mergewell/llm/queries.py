@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.language_id import identify_documents
-from mergewell.llm import decontaminate, fingerprints, licenses, mixing, near_dup, secret_scan, warc
+from mergewell.llm import centroids, decontaminate, fingerprints, licenses, mixing, near_dup, secret_scan, warc
 from mergewell.llm.quality import score_quality
 from mergewell.llm.token_counts import count_tokens
 
@@ -56,6 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op11_centroids": op11_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +80,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_secret_scan": secret_scan.oracle(),
+    "op11_centroids": centroids.ORACLE,
 }

@@ -1,0 +1,98 @@
+"""Centroid clustering: the progressive search and the rounds against plain arithmetic on Python's integers."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+
+from mergewell.llm import centroids
+
+SCHEMA = "vec_id long, embedding array<float>, cluster string, id string"
+
+
+def plain(rows, k=16, rounds=3, dimension=64):
+    """vec_id, cluster, distance, inertia of the cluster, inertia, digest of the centroid."""
+    kept = []
+    for vec_id, v in rows:
+        if v is not None and len(v) == dimension and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((vec_id, v, [math.floor(64 * float(np.float32(x))) for x in v]))
+    spot = lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), [np.float32(x) for x in r[1]])
+    centres = [v for _, _, v in sorted(kept, key=spot)[:k]]
+    square = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+
+    def assigned():
+        return [min((square(v, c), i) for i, c in enumerate(centres)) for _, _, v in kept]
+
+    for _ in range(rounds):
+        own = [i for _, i in assigned()]
+        for i in range(len(centres)):
+            mine = [v for (_, _, v), o in zip(kept, own) if o == i]
+            if mine:
+                centres[i] = [sum(x) // len(mine) for x in zip(*mine)]
+    last = assigned()
+    fits = lambda n: n if n < 1 << 63 else None
+    total = lambda ds: None if any(fits(d) is None for d in ds) else fits(sum(ds))
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
+    return [
+        (vec_id, i, fits(d), total([e for e, j in last if j == i]), total([e for e, _ in last]), digest[i])
+        for (vec_id, _, _), (d, i) in zip(kept, last)
+    ]
+
+
+def run(spark, rows, parts=3, **settings):
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA).repartition(parts)
+    return sorted(map(repr, map(tuple, centroids.cluster_vectors(df, **settings).collect())))
+
+
+def expected(rows, **settings):
+    return sorted(map(repr, plain(rows, **settings)))
+
+
+def test_against_plain_arithmetic_with_odd_rows(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(k % 7, 0.4) for _ in range(64)]) for k in range(300)]
+    rows += [(900 + k, [0.25] * 64) for k in range(40)]  # ties: equal vectors
+    rows += [(7, rows[7][1]), (7, [1.0] * 64), (None, [2.0] * 64), (500, None), (501, []), (502, [1.0] * 63), (503, [1.0] * 65)]
+    rows += [(504, [float("nan")] + [0.0] * 63), (505, [float("inf")] * 64), (506, [None] + [0.0] * 63), (507, [-0.0] * 64)]
+    assert run(spark, rows) == expected(rows)
+
+
+def test_few_and_no_vectors(spark):
+    rows = [(k, [float(k)] * 64) for k in range(3)]
+    assert run(spark, rows) == expected(rows)
+    assert run(spark, [(1, None)]) == [] == run(spark, [])
+
+
+def test_numbers_beyond_64_bits_stay_exact(spark):
+    rng = random.Random(6)
+    rows = [(k, [rng.choice([1, -1]) * 10.0 ** rng.randint(0, 30) for _ in range(64)]) for k in range(40)] + [(k, [k / 8] * 64) for k in range(50, 80)]
+    assert run(spark, rows) == expected(rows)
+    rows = [(k, [rng.uniform(-1e6, 1e6) for _ in range(64)]) for k in range(60)]
+    assert run(spark, rows) == expected(rows)
+
+
+def test_other_settings(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.random() for _ in range(4)]) for k in range(50)]
+    settings = {"k": 5, "rounds": 6, "dimension": 4}
+    assert run(spark, rows, **settings) == expected(rows, **settings)
+
+
+def test_transform_and_elimination():
+    rng = np.random.default_rng(3)
+    m = rng.integers(-90, 90, (200, 64))
+    h = centroids.hadamard(m)
+    assert ((h.astype(object) ** 2).sum(axis=1) == 64 * (m.astype(object) ** 2).sum(axis=1)).all()
+    basis = np.sign(centroids.hadamard(np.eye(64, dtype=np.int64))).T
+    assert [(np.diff(b) != 0).sum() for b in basis] == list(range(64))  # coarse to fine
+    c = rng.integers(-90, 90, (16, 64))
+    c[9] = c[4]  # a tie that the smaller number wins
+    number, sums = centroids.search(h, centroids.hadamard(c))
+    full = ((m[:, None] - c[None]) ** 2).sum(axis=2)
+    assert (number == full.argmin(axis=1)).all() and (sums == 64 * full.min(axis=1)).all() and not (number == 9).any()
+
+
+def test_digits():
+    for v in (0, 5, -5, (1 << 40) - 1, 1 << 40, -(1 << 40), 3**90, -(3**90)):
+        assert sum(d << (centroids.DIGIT * k) for k, d in enumerate(centroids.digits(v))) == v
