@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.language_id import identify_documents
-from mergewell.llm import centroids, decontaminate, fingerprints, licenses, mixing, near_dup, secret_scan, warc
+from mergewell.llm import centroids, decontaminate, divergence, fingerprints, licenses, mixing, near_dup, secret_scan, warc
 from mergewell.llm.quality import score_quality
 from mergewell.llm.token_counts import count_tokens
 
@@ -60,6 +60,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
     "op11_centroids": op11_centroids,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_secret_scan": secret_scan.oracle(),
     "op11_centroids": centroids.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
