@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mergewell.llm.language_id import identify_documents
-from mergewell.llm import centroids, decontaminate, divergence, fingerprints, licenses, mixing, near_dup, secret_scan, warc
+from mergewell.llm import bpe, centroids, decontaminate, divergence, fingerprints, licenses, mixing, near_dup, secret_scan, warc
 from mergewell.llm.quality import score_quality
 from mergewell.llm.token_counts import count_tokens
 
@@ -64,6 +64,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -77,6 +83,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_centroids": op11_centroids,
     "op12_divergence": op12_divergence,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES: dict[str, str] = {
