@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from mergewell.functions import text, vectors
 from mergewell.operators import links as link_ops
-from mergewell.operators import similarity, updates
+from mergewell.operators import search, similarity, updates
 from mergewell.operators.embed import Embedder, embed_distinct
 from mergewell.schemas import CHANGES
+from mergewell.sources.vector_store import VectorStore
 from mergewell.workspace import materialize
 
 NEVER = (1 << 62) - 1
@@ -77,8 +78,11 @@ def _best_version(queries: DataFrame, versions: DataFrame, extents: tuple[tuple[
 class Resolver:
     """Decides ``records`` against ``products`` and ``links``."""
 
-    def __init__(self, records: DataFrame, products: DataFrame, links: DataFrame, embedder: Embedder, threshold: float, mode: str, cache: DataFrame | None = None):
-        self.threshold, self.mode, self.embedder, self.cache = threshold, updates.check_mode(mode), embedder, cache
+    def __init__(
+        self, records: DataFrame, products: DataFrame, links: DataFrame, embedder: Embedder, threshold: float, mode: str,
+        cache: DataFrame | None = None, store: VectorStore | None = None,
+    ):
+        self.threshold, self.mode, self.embedder, self.cache, self.store = threshold, updates.check_mode(mode), embedder, cache, store
         self.spark, self.products = records.sparkSession, products
         # inserted products are numbered from here while the run is being decided: after every id in use, in record order
         ids = products.select("id").unionByName(links.select(F.col("product_id").alias("id")))
@@ -97,17 +101,22 @@ class Resolver:
         )
         firsts = self.good.filter("linked_product is null and record_index = first_index")
         asked = firsts.select("identity").unionByName(self.base.select("identity"))
-        self.vectors = materialize(self._embedded(asked), "vectors")
+        self.vectors = self._embedded(asked)
+        if store is None:  # a store's vectors are read where they lie
+            self.vectors = materialize(self.vectors, "vectors")
         self.catalog = materialize(self.base.join(self.vectors, "identity").select(F.col("pid").alias("id"), "vector"), "catalog-vectors")
         self.queries = materialize(firsts.join(self.vectors, "identity").select("record_index", F.xxhash64("identity").alias("uid"), "vector"), "queries")
         self.identities = self.queries.groupBy("uid").agg(F.first("vector").alias("vector"))
-        static = similarity.nearest(self.identities.select(F.col("uid").alias("id"), "vector"), self.catalog)
+        static = search.nearest(self.identities.select(F.col("uid").alias("id"), "vector"), self.catalog)
         self.rest_mark = self.rest = self.seen = None
         self.extent = self.queries.count(), embedder.dimension
         self.static = materialize(static.select(F.col("id").alias("uid"), F.col("match_id").alias("pid"), "score"), "static")
 
     def _embedded(self, identities: DataFrame) -> DataFrame:
         """``identity, vector``: every embedded text carries the task prefix."""
+        if self.store is not None:
+            self.store.ensure(identities)
+            return self.store.vectors(identities)
         texts = identities.select(text.prefixed(F.col("identity")).alias("text"))
         found = embed_distinct(texts, self.embedder, self.cache)
         return found.select(F.substring("text", len(text.TASK_PREFIX) + 1, 1 << 30).alias("identity"), "vector")
@@ -120,7 +129,7 @@ class Resolver:
             stale = self.static.join(own, "pid", "left_semi").select("uid")
             fresh = self.static.join(own, "pid", "left_anti")
             if mark[0]:
-                again = similarity.nearest(
+                again = search.nearest(
                     self.identities.join(stale, "uid").select(F.col("uid").alias("id"), "vector"),
                     self.catalog.join(own.withColumnRenamed("pid", "id"), "id", "left_anti"),
                 )
@@ -132,8 +141,11 @@ class Resolver:
         """The best version of a touched product for every record, from what the last round found."""
         key = ["pid", "after", "until", "identity"]
         versions = _versions(touched)
-        new = versions.join(self.vectors, "identity", "left_anti").select("identity")
-        known = self.vectors.unionByName(self._embedded(new))
+        if self.store is not None:
+            known = self._embedded(versions.select("identity"))
+        else:
+            new = versions.join(self.vectors, "identity", "left_anti").select("identity")
+            known = self.vectors.unionByName(self._embedded(new))
         placed = materialize(versions.join(known, "identity").select(*key, "vector"), "moving")
         extents = self.extent, (3 * touched.count(), self.embedder.dimension)  # at most three versions each
         if self.seen is None:

@@ -1,4 +1,4 @@
-"""Exact cosine search: nearest product, leave-one-out, threshold joins, edges within a batch.
+"""Exact cosine comparison of blocks of vectors: threshold joins, edges within a batch.
 
 Both sides are dealt into blocks of at most about ``BLOCK_BYTES``, and a shuffle brings each pair of
 blocks together in one task, which multiplies them: nothing is broadcast or passes through the driver,
@@ -69,44 +69,11 @@ def matrix(table: pa.Table, column: str = "vector") -> np.ndarray:
     return unit_rows(v if isinstance(v, pa.Array) else v.chunk(0) if v.num_chunks else pa.array([], v.type))
 
 
-def nearest(queries: DataFrame, catalog: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """``id, match_id, score`` for every row of ``queries (id, vector)``; ``catalog`` is ``(id, vector)``.
-
-    Without any other vector to match, ``match_id`` and ``score`` are NULL.
-    """
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("other_id")
-            own, ids, v, other = left.column("id").to_numpy(), right.column("other_id").to_numpy(), matrix(left), matrix(right, "other")
-            for i in range(0, len(own), STEP):
-                s = scores(v[i : i + STEP], other)
-                if exclude_self:
-                    s[own[i : i + STEP, None] == ids[None, :]] = -np.inf
-                best = s.argmax(axis=1)  # ids are sorted: the first of equal scores is the smallest
-                top = s[np.arange(len(best)), best]
-                real = np.isfinite(top)
-                out.append((own[i : i + STEP][real], ids[best][real], top[real].astype(np.float32)))
-        return _table(out, ("id", "match_id", "score"), (np.int64, np.int64, np.float32))
-
-    asked = queries.select(F.col("id").cast("long").alias("id"), "vector")
-    others = catalog.select(F.col("id").cast("long").alias("other_id"), F.col("vector").alias("other"))
-    found = paired(asked, others, ("id", "other_id"), run, "id long, match_id long, score float")
-    best = found.groupBy("id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("m"))
-    return asked.select("id").join(best.select("id", "m.*"), "id", "left")
-
-
 def _table(parts: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Table:
     columns = zip(*parts) if parts else [[] for _ in names]
     return pa.table({n: np.concatenate([np.zeros(0, k), *c]) for n, k, c in zip(names, kinds, columns)})
 
 
-def leave_one_out(catalog: DataFrame) -> DataFrame:
-    """The nearest other product of every product."""
-    return nearest(catalog, catalog, exclude_self=True)
-
-
 def in_batch_edges(batch: DataFrame, threshold: float) -> DataFrame:
     """``i, j, score`` with ``j`` before ``i`` and a score of at least ``threshold``, for ``batch (id, vector)``.
 

@@ -11,6 +11,7 @@ from mergewell.operators import links as link_ops
 from mergewell.operators import updates
 from mergewell.operators.embed import Embedder, preflight
 from mergewell.operators.resolve import Resolver, outcomes
+from mergewell.sources.vector_store import VectorStore
 from mergewell.workspace import materialize
 
 
@@ -28,13 +29,16 @@ class Ingested:
 
 def ingest(
     records: DataFrame, products: DataFrame, links: DataFrame, embedder: Embedder, threshold: float, mode: str = "fill",
-    dry_run: bool = False, high_water: tuple[int, int] | None = None, cache: DataFrame | None = None,
+    dry_run: bool = False, high_water: tuple[int, int] | None = None, cache: DataFrame | None = None, store: VectorStore | None = None,
 ) -> Ingested:
-    """Decide ``records`` in their order; ``high_water``: the largest product and link id ever used."""
+    """Decide ``records`` in their order; ``high_water``: the largest product and link id ever used.
+
+    Texts are embedded once a run, or with a ``store`` of vectors once and for all.
+    """
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold {threshold}: want a value in (0, 1]")
     preflight(embedder)
-    resolver = Resolver(records, products, links, embedder, threshold, mode, cache=cache)
+    resolver = Resolver(records, products, links, embedder, threshold, mode, cache=cache, store=store)
     decided, followed, touched = resolver.run()
     found = materialize(outcomes(records, resolver, decided, followed, touched), "outcomes")
     if high_water is None:

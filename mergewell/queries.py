@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergewell.functions import text, vectors
-from mergewell.operators import constraints, similarity, updates, validate
+from mergewell.operators import constraints, search, similarity, updates, validate
 from mergewell.operators import links as link_ops
 from mergewell.operators.embed import HashEmbedder, LetterEmbedder, NgramEmbedder, cache_rows, embed_distinct
 from mergewell.plans import calibrate as cal
@@ -301,16 +301,24 @@ OTHERS_SQL = SIDES_SQL + ", s AS (SELECT a.id, b.id AS match_id, list_cosine_sim
 
 @query(NEAREST_SQL + f"SELECT id, match_id, round(score, 4) AS score, CASE WHEN score >= {THRESHOLD} THEN 'duplicate' ELSE 'novel' END AS kind FROM n")
 def nearest_product(spark, sf_dir):
-    found = similarity.nearest(*_sides(spark, sf_dir))
+    found = search.nearest(*_sides(spark, sf_dir))
     return found.select("id", "match_id", F.round(F.col("score").cast("double"), 4).alias("score"), vectors.kind(F.col("score"), THRESHOLD).alias("kind"))
 
 
 @query(OTHERS_SQL + "SELECT id, match_id, round(score, 4) AS score FROM n")
 def nearest_other(spark, sf_dir):
-    found = similarity.leave_one_out(_vectors(spark, sf_dir))
+    found = search.leave_one_out(_vectors(spark, sf_dir))
     return found.select("id", "match_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
+@query(OTHERS_SQL + "SELECT id, match_id, round(score, 4) AS score, true AS within FROM n")
+def nearest_pruned(spark, sf_dir):
+    """The nearest other vector by cells and bounds, and that no query met more than the whole table."""
+    v = _vectors(spark, sf_dir)
+    found = search.search(v, v, exclude_self=True, pivots=48, same=True).join(v.agg(F.count("*").alias("n")), F.lit(True))  # one row
+    return found.select("id", "match_id", F.round(F.col("score").cast("double"), 4).alias("score"), (F.col("compared") <= F.col("n")).alias("within"))
+
+
 @query(SIDES_SQL + f"SELECT q.id, c.id AS match_id, round(list_cosine_similarity(q.vector, c.vector), 4) AS score FROM q, c WHERE list_cosine_similarity(q.vector, c.vector) >= {THRESHOLD}")
 def similar_pairs(spark, sf_dir):
     found = similarity.threshold_join(*_sides(spark, sf_dir), THRESHOLD)
@@ -480,7 +488,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = _vectors(spark, sf_dir)
     other = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"))
     pos = v.join(other, "id").select(F.col("id").alias("record_index"), vectors.cosine(F.col("vector"), F.col("other")).cast("float").alias("score"))
-    return materialize(pos, "positives"), materialize(similarity.leave_one_out(v), "negatives")
+    return materialize(pos, "positives"), materialize(search.leave_one_out(v), "negatives")
 
 
 def _quantile_sql(side: str, rows: str, spots: dict[str, float]) -> str:

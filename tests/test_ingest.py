@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mergewell.operators import constraints, links, similarity
+from mergewell.operators import constraints, links, search, similarity
 from mergewell.operators.embed import HashEmbedder, cache_rows, checked, embed_distinct, preflight
 from mergewell.plans import report
 from mergewell.plans.ingest import ingest, summary
@@ -141,20 +141,20 @@ def test_nearest(spark):
     schema = "id long, vector array<float>"
     catalog = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], schema)
     queries = spark.createDataFrame([(10, [5.0, 0.0]), (11, [0.1, 1.0]), (12, [-1.0, 0.0])], schema)
-    got = {r["id"]: (r["match_id"], round(r["score"], 4)) for r in similarity.nearest(queries, catalog).collect()}
+    got = {r["id"]: (r["match_id"], round(r["score"], 4)) for r in search.nearest(queries, catalog).collect()}
     assert got == {10: (1, 1.0), 11: (2, 0.995), 12: (2, 0.0)}
-    assert {tuple(r) for r in similarity.nearest(queries, catalog.limit(0)).collect()} == {(10, None, None), (11, None, None), (12, None, None)}
-    assert {(r["id"], r["match_id"]) for r in similarity.leave_one_out(catalog).collect()} == {(1, 3), (3, 1), (2, 1)}
+    assert {tuple(r) for r in search.nearest(queries, catalog.limit(0)).collect()} == {(10, None, None), (11, None, None), (12, None, None)}
+    assert {(r["id"], r["match_id"]) for r in search.leave_one_out(catalog).collect()} == {(1, 3), (3, 1), (2, 1)}
 
 
 def test_blocks_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(k, [float(x) for x in np.round(rng.normal(size=4), 1)]) for k in range(60)]
     df = spark.createDataFrame(rows, "id long, vector array<float>")
-    whole = {tuple(r) for r in similarity.leave_one_out(df).collect()}
+    whole = {tuple(r) for r in search.leave_one_out(df).collect()}
     edges = {tuple(r) for r in similarity.in_batch_edges(df, 0.8).collect()}
     monkeypatch.setattr(similarity, "BLOCK_BYTES", 500)
-    assert {tuple(r) for r in similarity.leave_one_out(df).collect()} == whole
+    assert {tuple(r) for r in search.leave_one_out(df).collect()} == whole
     assert {tuple(r) for r in similarity.in_batch_edges(df, 0.8).collect()} == edges
     joined = {(max(r["id"], r["match_id"]), min(r["id"], r["match_id"])) for r in similarity.threshold_join(df, df, 0.8).collect() if r["id"] != r["match_id"]}
     assert joined == {(i, j) for i, j, _ in edges}
@@ -247,20 +247,6 @@ def test_large_ids_and_search_that_prunes(spark):
     assert len(want) <= compared < 600 * 600 / 4, "most pairs are never compared"
 
 
-def test_a_reader_never_sees_half_a_pointer(spark, folder):
-    store = CatalogStore(spark, f"{folder}/catalog")
-    products, none = spark.createDataFrame([(1, "a", None, None)], PRODUCT), spark.createDataFrame([], LINK)
-    store.commit(products, none)
-    store.fs.mkdirs(store.path(f"{store.root}/_drafts/half"))  # what a writer that died leaves
-    assert store.products().count() == 1
-    store.fs.mkdirs(store.path(f"{store.root}/_published"))
-    numbers = store._numbers()
-    store._numbers = lambda: numbers[:-1]  # a second writer that saw the catalog before
-    store.manifest = lambda: {"high_water": [0, 0], "batches": -1}
-    with pytest.raises(FileExistsError):
-        store.commit(products, none)
-
-
 def test_a_model_server(spark):
     import http.server
     import json
