@@ -27,9 +27,9 @@ from mergewell.llm.lexicon import Lexicon, compile_lexicon
 from mergewell.llm.pretokens import Splitter, chunks, frequent, pieces, splitter
 from mergewell.workspace import shared_dir
 
-#: Entries of each half of a worker's cache, and the longest chunk that it keeps.
-CACHE = 1 << 18
-CHUNK = 64
+#: Entries of each half of a worker's caches of chunks and of words, and the longest text that they keep.
+CHUNKS, WORDS = 1 << 18, 1 << 18
+LONGEST = 64
 #: Ids, or rows' characters, of one batch that goes back to Spark, about.
 BATCH = 1 << 22
 
@@ -43,50 +43,87 @@ def model(own: Splitter):
     return own.tokenizer.model
 
 
-def merged(own: Splitter, word: bytes) -> tuple[int, ...]:
-    """The ids of one pre-token by the model's own ranks, nothing around it."""
-    return tuple(t.id for t in own.tokenizer.model.tokenize(word.decode("latin-1").translate(own.letters))) if word else ()
+def merged(own: Splitter, word: str) -> bytes:
+    """The ids of one pre-token by the model's own ranks, nothing around it, as 32-bit integers in a row."""
+    ids = [t.id for t in own.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(own.letters))] if word else []
+    return np.array(ids, np.int32).tobytes()
+
+
+def merged_together(own: Splitter, words: list[str]) -> list[bytes]:
+    """The same for plain pre-tokens, in one call: between blanks each stays what it is."""
+    found = own.tokenizer.encode(" ".join(words), add_special_tokens=False)
+    counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+    if len(counts) != len(words):
+        return [merged(own, w) for w in words]
+    ids, at = np.array(found.ids, np.int32).tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+    return [ids[i:j] for i, j in zip(at, at[1:])]
+
+
+class Cache:
+    """A bounded table in two halves: what is met lately, and what goes when that is full, but for what is met again."""
+
+    def __init__(self, most: int):
+        self.most, self.late, self.old = most, {}, {}
+
+    def known(self, keys: list[str]) -> dict[str, bytes]:
+        """What it holds of ``keys``."""
+        found = {}
+        for key in keys:
+            value = self.late.get(key)
+            if value is None:
+                value = self.old.get(key)
+            if value is not None:
+                found[key] = value
+        return found
+
+    def keep(self, values: dict[str, bytes]) -> None:
+        if len(self.late) > self.most:
+            self.old, self.late = self.late, {}
+        self.late.update((k, v) for k, v in values.items() if len(k) <= LONGEST)
 
 
 class Encoder:
-    """A worker's way from chunks to ids: cache, lexicon, merges."""
+    """A worker's way from chunks to ids: caches, lexicon, merges."""
 
     def __init__(self, path: str, lexicon: Lexicon):
         self.own, self.lexicon = splitter(path), lexicon
         model(self.own)
-        self.cache: dict[str, tuple[int, ...]] = {}  # chunks met lately
-        self.older: dict[str, tuple[int, ...]] = {}  # goes when the cache is full, but for what is met again
-
-    def word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        known = self.lexicon.get(raw)
-        return merged(self.own, raw) if known is None else known
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        words = self.own.split(chunk)
-        if words is None:  # holds a special token's string
-            return tuple(self.own.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        return tuple(chain.from_iterable(map(self.word, words)))
+        self.chunks, self.words = Cache(CHUNKS), Cache(WORDS)
+
+    def _new(self, chunks: list[str], plain: bool) -> dict[str, bytes]:
+        """The ids of chunks that are not met lately."""
+        known, split = self.chunks.known(chunks), {}
+        for chunk in chunks:
+            if chunk not in known:
+                words = self.own.split(chunk, plain)
+                if words is None:  # holds a special token's string
+                    known[chunk] = np.array(self.own.tokenizer.encode(chunk, add_special_tokens=False).ids, np.int32).tobytes()
+                else:
+                    split[chunk] = words
+        names = list(dict.fromkeys(chain.from_iterable(split.values())))
+        found = self.words.known(names)
+        new = [n for n in names if n not in found]
+        if new:
+            ids = dict(zip(new, self.lexicon.get([n.encode() for n in new])))
+            unseen = [n for n, known_ids in ids.items() if known_ids is None]
+            if unseen:
+                ids.update(zip(unseen, merged_together(self.own, unseen) if plain else [merged(self.own, n) for n in unseen]))
+            self.words.keep(ids)
+            found |= ids
+        known.update((chunk, b"".join([found[w] for w in words])) for chunk, words in split.items())
+        return known
 
     def text(self, text: str) -> np.ndarray:
-        parts = [np.zeros(0, np.int32)]
+        out = []
         for piece in pieces(text):
             found = chunks(piece)
-            ids = list(map(self.cache.get, found))
+            ids = list(map(self.chunks.late.get, found))
             if None in ids:
-                if len(self.cache) > CACHE:
-                    self.older, self.cache = self.cache, {}
-                new: dict[str, tuple[int, ...]] = {}
-                for k, known in enumerate(ids):
-                    if known is None:
-                        chunk = found[k]
-                        if chunk not in new:
-                            met = self.older.get(chunk)
-                            new[chunk] = self.chunk(chunk) if met is None else met
-                        ids[k] = new[chunk]
-                self.cache.update((c, v) for c, v in new.items() if len(c) <= CHUNK)
-            parts.append(np.fromiter(chain.from_iterable(ids), np.int32))
-        return np.concatenate(parts)
+                new = self._new(list(dict.fromkeys(c for c, known in zip(found, ids) if known is None)), self.own.plain(piece))
+                ids = [new[c] if known is None else known for c, known in zip(found, ids)]
+                self.chunks.keep(new)
+            out.append(b"".join(ids))
+        return np.frombuffer(b"".join(out), np.int32)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -118,10 +155,10 @@ def build_lexicon(texts: DataFrame, path: str, words: int, task_entries: int) ->
     found = frequent(texts, path, words, task_entries)
     own = splitter(path)
     model(own)
-    return compile_lexicon((w.encode(), merged(own, w.encode())) for w in found)
+    return compile_lexicon((w.encode(), tuple(np.frombuffer(merged(own, w), np.int32).tolist())) for w in found)
 
 
-def encode_texts(docs: DataFrame, path: str, words: int = 1 << 15, task_entries: int = 1 << 13) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, words: int = 1 << 16, task_entries: int = 1 << 14) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs (doc_id, text)``, as the tokenizer of the file ``path`` gives them.
 
     ``words`` bounds the lexicon, ``task_entries`` the summary that a task sends for it.
@@ -152,13 +189,19 @@ def decode_ids(encoded: DataFrame, path: str, skip_special_tokens: bool = False)
         own = splitter(path)
         model(own)
         specials = {t["content"] for t in own.rules["added_tokens"] if t["special"]} if skip_special_tokens else set()
-        tokens = {i: t for t, i in own.tokenizer.get_vocab().items() if t not in specials}
+        names = {i: t for t, i in own.tokenizer.get_vocab().items() if t not in specials}
+        tokens = np.array([names.get(i) for i in range(max(names) + 1)], object)
         for batch in batches:
             ids, start, size, found = batch.column("ids"), 0, 0, []
             for k in range(batch.num_rows):
                 row = ids[k].values
-                found.append(None if row is None else " ".join(filter(None, map(tokens.get, row.to_pylist()))))
-                size += len(found[-1] or "")
+                if row is None:
+                    found.append(None)
+                else:
+                    row = row.to_numpy()
+                    own_tokens = tokens[row[(row >= 0) & (row < len(tokens))]].tolist()
+                    found.append(" ".join(own_tokens if None not in own_tokens else filter(None, own_tokens)))
+                    size += len(found[-1])
                 if size > BATCH or k + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([*(c.slice(start, len(found)) for c in batch.columns), pa.array(found, pa.string())], ["doc_id", "ids", "text"])
                     start, size, found = k + 1, 0, []

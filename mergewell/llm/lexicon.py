@@ -3,8 +3,8 @@
 Words are added in order (the incremental construction of Mihov and Maurel): as soon as a suffix can't change
 any more, its states are replaced by equal ones that are there already, so words share their ends as well as
 their beginnings.  Ids are moved towards the root, so that they stand in the way of sharing as little as
-possible.  The block holds the arcs sorted by byte, their targets, and the ids that each arc or last state
-adds; a look-up walks it where it lies, without building any object for a state.
+possible.  The block holds the arcs sorted by state and byte, their targets, and the ids that each arc or last
+state adds; look-ups walk it where it lies, many words at a time, without building any object for a state.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import mmap
 import struct
 from collections.abc import Iterable
 
-MAGIC = b"mwlex001"
+import numpy as np
+
+MAGIC = b"mwlex002"
 
 
 class _State:
@@ -35,6 +37,7 @@ def _common(a: tuple, b: tuple) -> int:
 
 def compile_lexicon(words: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
     """The block for ``words``, which may come in any order; of a word that repeats the last ids count."""
+    words = dict(words)
     register: dict[tuple, int] = {}
     frozen: list[tuple] = []
 
@@ -46,7 +49,7 @@ def compile_lexicon(words: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
         return register[key]
 
     path, last = [_State()], b""
-    for word, ids in sorted(dict(words).items()):
+    for word, ids in sorted(words.items()):
         shared = _common(word, last)
         for k in range(len(last), shared, -1):
             path[k - 1].arcs[last[k - 1]][1] = freeze(path.pop())
@@ -71,57 +74,64 @@ def compile_lexicon(words: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
     root = freeze(path[0])
 
     pool: dict[tuple, int] = {(): 0}
-    labels, first, targets, adds, ends = bytearray(), [], [], [], []
-    for final, arcs in frozen:
-        first.append(len(labels))
+    keys, targets, adds, ends = [], [], [], []
+    for state, (final, arcs) in enumerate(frozen):
         ends.append(0 if final is None else 1 + pool.setdefault(final, len(pool)))
         for byte, ids, target in arcs:
-            labels.append(byte)
+            keys.append(state << 8 | byte)
             targets.append(target)
             adds.append(pool.setdefault(ids, len(pool)))
-    first.append(len(labels))
     at, flat = [0], []
     for ids in pool:
         flat += ids
         at.append(len(flat))
-    numbers = [*first, *ends, *targets, *adds, *at, *flat]
-    head = struct.pack("<8s5I", MAGIC, root, len(frozen), len(labels), len(pool), len(flat))
-    return head + struct.pack(f"<{len(numbers)}I", *numbers) + bytes(labels)
+    head = struct.pack("<8s6I", MAGIC, root, len(frozen), len(keys), len(pool), len(flat), max(map(len, words), default=0))
+    return head + np.array([*ends, *keys, *targets, *adds, *at, *flat], "<u4").tobytes()
 
 
 class Lexicon:
     """Looks words up in a block: bytes, or a memory-mapped file."""
 
     def __init__(self, block: bytes | mmap.mmap):
-        magic, self.root, states, arcs, pool, flat = struct.unpack_from("<8s5I", block)
+        magic, self.root, self.states, arcs, pool, flat, self.longest = struct.unpack_from("<8s6I", block)
         if magic != MAGIC:
             raise ValueError("not a compiled lexicon")
-        self.block, self.states = block, states
-        at, view = struct.calcsize("<8s5I"), memoryview(block)
-        parts = []
-        for n in (states + 1, states, arcs, arcs, pool + 1, flat):
-            parts.append(view[at : at + 4 * n].cast("I"))
-            at += 4 * n
-        self.first, self.ends, self.targets, self.adds, self.at, self.flat = parts
-        self.labels = at
+        numbers = np.frombuffer(block, "<u4", offset=struct.calcsize("<8s6I"))
+        cuts = np.cumsum([self.states, arcs, arcs, arcs, pool + 1])
+        self.ends, self.keys, self.targets, self.adds, at, flat = np.split(numbers, cuts)
+        flat, at = flat.tobytes(), (4 * at).tolist()
+        self.pool = [flat[i:j] for i, j in zip(at, at[1:])]  # what an arc or an end can add
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
         with open(path, "rb") as file:
             return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> tuple[int, ...] | None:
-        state, out, find, labels, first = self.root, (), self.block.find, self.labels, self.first
-        for k in range(len(word)):
-            arc = find(word[k : k + 1], labels + first[state], labels + first[state + 1])
-            if arc < 0:
-                return None
-            arc -= labels
-            add = self.adds[arc]
-            if add:
-                out += tuple(self.flat[self.at[add] : self.at[add + 1]])
+    def get(self, words: list[bytes]) -> list[bytes | None]:
+        """Each word's ids as 32-bit integers in a row, or None: all words go from state to state together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        row = np.flatnonzero(sizes <= self.longest)
+        state = np.full(len(row), self.root, np.uint32)
+        found, steps, k = np.zeros(len(words), bool), [], 0
+        while len(row):
+            over = sizes[row] == k
+            if over.any():
+                end = self.ends[state[over]]
+                ended, end = row[over][end > 0], end[end > 0] - 1
+                found[ended] = True
+                steps.append((ended, end))
+                row, state = row[~over], state[~over]
+            key = state << np.uint32(8) | data[starts[row] + k]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(0, np.int64)
+            on = self.keys[arc] == key if len(arc) else np.zeros(len(row), bool)
+            row, arc = row[on], arc[on] if len(arc) else arc
+            steps.append((row, self.adds[arc]))
             state = self.targets[arc]
-        end = self.ends[state]
-        if end > 1:
-            out += tuple(self.flat[self.at[end - 1] : self.at[end]])
-        return out if end else None
+            k += 1
+        out: list[bytes | None] = [b"" if hit else None for hit in found.tolist()]
+        for rows, pool in steps:
+            some = (pool > 0) & found[rows]
+            for r, p in zip(rows[some].tolist(), pool[some].tolist()):
+                out[r] += self.pool[p]
+        return out

@@ -73,7 +73,9 @@ class Splitter:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.rules = check(path)
+        rules = check(path)
+        #: what the file says, without its long lists
+        self.rules = rules | {"model": {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -87,8 +89,14 @@ class Splitter:
     def special(self, chunk: str) -> bool:
         return any(s in chunk for s in self.specials)
 
-    def split(self, chunk: str) -> list[str] | None:
-        """The chunk's pre-tokens in order; None if it holds a special string."""
+    def plain(self, text: str) -> bool:
+        """Whether all chunks of the text can be split here."""
+        return PLAIN.fullmatch(text) is not None and not self.special(text)
+
+    def split(self, chunk: str, plain: bool = False) -> list[str] | None:
+        """The chunk's pre-tokens in order; None if it holds a special string.  ``plain``: it is known to be."""
+        if plain:
+            return SPLIT.findall(chunk.lower())
         if self.special(chunk):
             return None
         if PLAIN.fullmatch(chunk) is not None:
@@ -109,36 +117,42 @@ def splitter(path: str) -> Splitter:
 
 
 def summaries(path: str, entries: int):
-    """For ``mapInArrow`` over a text column: a task's most frequent pre-tokens, at most ``entries`` of them."""
+    """For ``mapInArrow`` over a text column: a task's most frequent pre-tokens, at most ``entries`` of them.
+
+    Counting is lossy, as bounded tables must be: a full table of chunks goes to that of pre-tokens without
+    what it met once, and a full table of pre-tokens drops what is surely rare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = splitter(path)
         counts: Counter[str] = Counter()
+        met: Counter[str] = Counter()
         floor = 0  # what an entry may have lost to earlier pruning
+
+        def add(least: int) -> None:
+            nonlocal counts, floor
+            for chunk, n in met.items():
+                if n >= least:
+                    for p in own.split(chunk) or ():
+                        counts[p] += n
+            met.clear()
+            while len(counts) > 16 * entries:
+                floor += 1
+                counts = Counter({k: n for k, n in counts.items() if n > floor})
+
         for batch in batches:
-            met: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 for piece in pieces(text or ""):
                     met.update(chunks(piece))
-                    if len(met) > 16 * entries:
-                        _add(counts, met, own)
-            _add(counts, met, own)
-            while len(counts) > 16 * entries:  # lossy counting: drop what is surely rare
-                floor += 1
-                counts = Counter({k: n for k, n in counts.items() if n > floor})
+                if len(met) > 16 * entries:
+                    add(2)
+        add(1)
         top = counts.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
     return run
 
 
-def _add(counts: Counter, met: Counter, own: Splitter) -> None:
-    for chunk, n in met.items():
-        for p in own.split(chunk) or ():
-            counts[p] += n
-    met.clear()
-
-
 def frequent(texts: DataFrame, path: str, most: int, task_entries: int) -> list[str]:
     """At most ``most`` frequent pre-tokens of ``texts (text)``, of all scripts, by the tasks' summaries."""
     found = texts.mapInArrow(summaries(path, task_entries), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
