@@ -154,6 +154,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_bytes: int = 128 << 20) -> AttentionModel:
     """Fit on every passage of at most ``most_labelled`` documents with a row in ``labels (doc_id, label)``.
 
+    Labels of documents that aren't in ``docs`` are left aside before they are counted.
+
     The documents end, in the order of the hashes of their id and text, before their passages (1,040 bytes
     each) take more than ``most_bytes``; the first is always taken.  Rows that repeat id and text count
     once, and different texts of one id count each, so no id brings more than that to the driver.
@@ -162,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_by
         labels.filter("doc_id is not null and label is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.avg(F.col("label").cast("double")).alias("label"))
+        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_labelled)
         .collect()

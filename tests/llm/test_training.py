@@ -21,3 +21,12 @@ def test_texts_of_one_labelled_id_are_bounded(spark, monkeypatch):
     for most in (4000, 20):
         quality.train(docs, labels, most_labelled=most)
     assert seen[0] == (51, [0.5, 1.0]) and seen[1][0] == 20
+
+
+def test_labels_of_other_documents_take_no_place(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, bags, y: seen.append(len(bags)))
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(30)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 2 as int) as label")
+    quality.train(docs, labels, most_labelled=50)
+    assert seen == [30]
