@@ -30,6 +30,18 @@ def with_first(records: DataFrame) -> DataFrame:
     return records.filter(F.col("reason").isNull()).join(first_per_key(records), KEY)
 
 
+def with_decider(records: DataFrame) -> DataFrame:
+    """Accepted records with ``first_index``, the record that decides for them; ``fails`` marks those that can't be written.
+
+    A key is decided by its first record that can be written.  One that can't and comes before that decides
+    for itself, and nothing follows from it.
+    """
+    index = F.col("record_index")
+    first = records.groupBy(*KEY).agg(F.min(F.when(~F.col("fails"), index)).alias("_first"))
+    alone = F.col("fails") & (F.col("_first").isNull() | (index < F.col("_first")))
+    return records.join(first, KEY).withColumn("first_index", F.when(alone, index).otherwise(F.col("_first"))).drop("_first")
+
+
 def union_catalog(products: DataFrame, inserted: DataFrame) -> DataFrame:
     return products.unionByName(inserted.select(*products.columns))
 

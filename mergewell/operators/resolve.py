@@ -5,6 +5,7 @@ earlier records changed them.  The state of a run is which records insert and wh
 Starting from no state, all records are decided in parallel under the state so far, and the decisions
 imply the next state, until it stays the same.  Dependencies only point to earlier records, so a state
 that implies itself is the one of the sequential run, and each round settles at least one record more.
+Records that are known to fail when they are written are decided too, but change nothing for the others.
 
 The catalog is searched once for every distinct identity, and the rest of the catalog again for identities
 whose best match was touched.  Of the products that the run has touched, a round looks at the versions
@@ -80,17 +81,24 @@ class Resolver:
 
     def __init__(
         self, records: DataFrame, products: DataFrame, links: DataFrame, embedder: Embedder, threshold: float, mode: str,
-        cache: DataFrame | None = None, store: VectorStore | None = None,
+        cache: DataFrame | None = None, store: VectorStore | None = None, failing: DataFrame | None = None,
     ):
         self.threshold, self.mode, self.embedder, self.cache, self.store = threshold, updates.check_mode(mode), embedder, cache, store
         self.spark, self.products = records.sparkSession, products
         # inserted products are numbered from here while the run is being decided: after every id in use, in record order
         ids = products.select("id").unionByName(links.select(F.col("product_id").alias("id")))
         self.inserted = max(0, ids.agg(F.max("id")).first()[0] or 0) + 1
-        good = link_ops.with_first(link_ops.existing(records, links))
+        self.failing = failing
+        accepted = link_ops.existing(records.filter("reason is null"), links)
+        if failing is None:
+            accepted = accepted.withColumn("fails", F.lit(False))
+        else:
+            marked = failing.select("record_index", F.lit(True).alias("fails"))
+            accepted = accepted.join(marked, "record_index", "left").na.fill(False, ["fails"])
+        good = link_ops.with_decider(accepted)
         self.good = materialize(
             updates.mark_vocabulary(good, updates.vocabulary(products)).select(
-                "record_index", "name", "brand", "category", "identity", "flags", "linked_product", "first_index", "in_vocabulary"
+                "record_index", "name", "brand", "category", "identity", "flags", "linked_product", "first_index", "in_vocabulary", "fails"
             ),
             "accepted",
         )
@@ -105,7 +113,7 @@ class Resolver:
         if store is None:  # a store's vectors are read where they lie
             self.vectors = materialize(self.vectors, "vectors")
         self.catalog = materialize(self.base.join(self.vectors, "identity").select(F.col("pid").alias("id"), "vector"), "catalog-vectors")
-        self.queries = materialize(firsts.join(self.vectors, "identity").select("record_index", F.xxhash64("identity").alias("uid"), "vector"), "queries")
+        self.queries = materialize(firsts.join(self.vectors, "identity").select("record_index", F.xxhash64("identity").alias("uid"), "vector", "fails"), "queries")
         self.identities = self.queries.groupBy("uid").agg(F.first("vector").alias("vector"))
         static = search.nearest(self.identities.select(F.col("uid").alias("id"), "vector"), self.catalog)
         self.rest_mark = self.rest = self.seen = None
@@ -182,8 +190,8 @@ class Resolver:
         A run may start from any state; this one is close to the last and small, however often a new
         product is offered.
         """
-        known = decided.join(self.queries.select("record_index", "uid"), "record_index")
-        first = known.filter("kind = 'novel'").groupBy("uid").agg(F.min("record_index").alias("_first"))
+        known = decided.join(self.queries.select("record_index", "uid", "fails"), "record_index")
+        first = known.filter("kind = 'novel' and not fails").groupBy("uid").agg(F.min("record_index").alias("_first"))
         joined = known.join(first, "uid", "left")
         later = (F.col("kind") == "novel") & (F.col("record_index") > F.col("_first"))
         return joined.select(
@@ -197,10 +205,9 @@ class Resolver:
             F.col("record_index").alias("first_index"),
             F.when(F.col("kind") == "novel", F.col("record_index") + self.inserted).otherwise(F.col("pid")).alias("_pid"),
         )
-        inserts = F.col("linked_product").isNull() & (F.col("_pid") == F.col("record_index") + self.inserted)
-        return self.good.join(chosen, "first_index", "left").select(
-            "*", F.coalesce("linked_product", "_pid").alias("pid"), F.coalesce(inserts, F.lit(False)).alias("inserts")
-        ).drop("_pid")
+        new = F.coalesce(F.col("linked_product").isNull() & (F.col("_pid") == F.col("record_index") + self.inserted), F.lit(False))
+        pid = F.when(~(new & F.col("fails")), F.coalesce("linked_product", "_pid"))
+        return self.good.join(chosen, "first_index", "left").select("*", pid.alias("pid"), (new & ~F.col("fails")).alias("inserts")).drop("_pid")
 
     def implied(self, followed: DataFrame) -> DataFrame:
         """The touched products that the records' products imply."""
@@ -212,7 +219,7 @@ class Resolver:
             none = {"brand_at": "long", "brand_new": "string", "category_at": "long", "category_new": "string"}
             return born.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
         bases = self.base.select("pid", "name", "base_brand", "base_category", F.lit(-1).cast("long").alias("born")).unionByName(born)
-        matched = followed.filter("not inserts").select("pid", "record_index", "brand", "category", "flags", "in_vocabulary")
+        matched = followed.filter("not inserts and not fails").select("pid", "record_index", "brand", "category", "flags", "in_vocabulary")
         changed = updates.changes_of(matched.join(bases.select("pid", "base_brand", "base_category"), "pid"), self.mode)
         return bases.join(changed, "pid", "left").filter("born >= 0 or brand_at is not null or category_at is not null")
 
@@ -258,21 +265,31 @@ def outcomes(records: DataFrame, resolver: Resolver, decided: DataFrame, followe
         .alias("match_identity"),
     )
     decision = decided.select("record_index", "score", "kind", F.col("pid").alias("match_pid"))
+    decides = F.col("linked_product").isNull() & (F.col("first_index") == index)
     out = (
-        records.join(followed.select("record_index", "pid", "inserts"), "record_index", "left")
+        records.join(followed.select("record_index", "pid", "inserts", "fails", decides.alias("decides")), "record_index", "left")
         .join(decision, "record_index", "left")
         .join(described, "record_index", "left")
         .join(ruled, "record_index", "left")
     )
+    none = F.lit(None).cast("string")
+    if resolver.failing is None:
+        out = out.withColumns({"_kind": none, "_why": none})
+    else:
+        out = out.join(resolver.failing.select("record_index", F.col("err_kind").alias("_kind"), F.col("reason").alias("_why")), "record_index", "left")
+    # only a record that would write something can fail
+    failed = F.coalesce(F.col("fails") & (F.col("decides") | (F.coalesce(F.size("changes"), F.lit(0)) > 0)), F.lit(False))
     outcome = (
         F.when(F.col("reason").isNotNull(), "rejected")
+        .when(failed, "failed")
         .when(F.col("inserts"), "inserted")
         .when(F.col("kind") == "duplicate", "linked")
         .otherwise("existing")
     )
     return out.select(
-        "record_index", "seller_name", "seller_product_id", "name", "brand", "category", "identity", "reason", "flags",
-        outcome.alias("outcome"), "kind", "score", "match_pid", "match_identity", "pid",
-        F.coalesce("changes", F.array().cast(CHANGES)).alias("changes"),
-        F.coalesce("notes", F.array().cast("array<string>")).alias("notes"),
+        "record_index", "seller_name", "seller_product_id", "name", "brand", "category", "identity",
+        F.when(failed, F.col("_why")).otherwise(F.col("reason")).alias("reason"), "flags",
+        outcome.alias("outcome"), "kind", "score", "match_pid", "match_identity", F.when(~failed, F.col("pid")).alias("pid"),
+        F.when(failed, F.array().cast(CHANGES)).otherwise(F.coalesce("changes", F.array().cast(CHANGES))).alias("changes"),
+        F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), F.when(failed, F.col("_kind")).alias("err_kind"),
     )

@@ -30,15 +30,18 @@ class Ingested:
 def ingest(
     records: DataFrame, products: DataFrame, links: DataFrame, embedder: Embedder, threshold: float, mode: str = "fill",
     dry_run: bool = False, high_water: tuple[int, int] | None = None, cache: DataFrame | None = None, store: VectorStore | None = None,
+    failing: DataFrame | None = None,
 ) -> Ingested:
     """Decide ``records`` in their order; ``high_water``: the largest product and link id ever used.
 
-    Texts are embedded once a run, or with a ``store`` of vectors once and for all.
+    Texts are embedded once a run, or with a ``store`` of vectors once and for all.  What a record in
+    ``failing (record_index, err_kind, reason)`` would write is not written: it fails, and later records are
+    decided without it.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold {threshold}: want a value in (0, 1]")
     preflight(embedder)
-    resolver = Resolver(records, products, links, embedder, threshold, mode, cache=cache, store=store)
+    resolver = Resolver(records, products, links, embedder, threshold, mode, cache=cache, store=store, failing=failing)
     decided, followed, touched = resolver.run()
     found = materialize(outcomes(records, resolver, decided, followed, touched), "outcomes")
     if high_water is None:
@@ -51,7 +54,7 @@ def ingest(
         .withColumn(column, F.when(F.col(pid) >= resolver.inserted, F.col("_new")).otherwise(F.col(pid)))
         .drop("_new")
     )
-    results = named(named(found, "pid", "product_id"), "match_pid", "match_id").withColumn("err_kind", F.lit(None).cast("string"))
+    results = named(named(found, "pid", "product_id"), "match_pid", "match_id")
 
     final = {f: F.coalesce(f"{f}_new", f"base_{f}") for f in ("brand", "category")}
     changed = touched.filter((F.col("pid") < resolver.inserted) & (F.col("brand_at").isNotNull() | F.col("category_at").isNotNull()))

@@ -35,8 +35,8 @@ def rule(mode, product, record, words, updated_by):
     return changes, notes
 
 
-def sequential(records, products, links, embed, threshold, mode):
-    """``embed(identity)`` gives a vector.  Results by record index; products afterwards by id."""
+def sequential(records, products, links, embed, threshold, mode, failing=()):
+    """``embed(identity)`` gives a vector; the store refuses what records in ``failing`` write.  Results by record index; products afterwards by id."""
     catalog = {p["id"]: dict(p) for p in products}
     order = [p["id"] for p in sorted(products, key=lambda p: p["id"])]
     vec = {i: unit(embed(identity(p["name"], p["brand"], p["category"]))) for i, p in catalog.items()}
@@ -62,7 +62,11 @@ def sequential(records, products, links, embed, threshold, mode):
             row["match_id"] = best
             if best is not None and score >= np.float32(threshold):
                 row["outcome"], row["product_id"] = "linked", best
-                linked[key] = best
+                if r["record_index"] not in failing:
+                    linked[key] = best
+            elif r["record_index"] in failing:
+                row["outcome"] = "failed"
+                continue
             else:
                 top += 1
                 catalog[top] = {"id": top, "name": r["name"], "brand": r["brand"] or None, "category": r["category"] or None}
@@ -74,6 +78,9 @@ def sequential(records, products, links, embed, threshold, mode):
         pid = row["product_id"]
         if pid in catalog:
             row["changes"], row["notes"] = rule(mode, catalog[pid], r, words, updated.get(pid))
+            if r["record_index"] in failing and (row["outcome"] == "linked" or row["changes"]):
+                row |= {"outcome": "failed", "product_id": None, "changes": []}
+                continue
             for field, _, new in row["changes"]:
                 catalog[pid][field] = new
             if row["changes"]:
