@@ -28,10 +28,10 @@ from mergewell.llm.pretokens import Splitter, chunks, frequent, pieces, splitter
 from mergewell.workspace import shared_dir
 
 #: Entries of each half of a worker's caches of chunks and of words, and the longest text that they keep.
-CHUNKS, WORDS = 1 << 18, 1 << 18
+CHUNKS, WORDS = 1 << 17, 1 << 18
 LONGEST = 64
-#: Ids, or rows' characters, of one batch that goes back to Spark, about.
-BATCH = 1 << 22
+#: Characters of texts that are encoded together, and ids, or rows' characters, of one batch that goes back to Spark, about.
+TOGETHER, BATCH = 1 << 20, 1 << 22
 
 
 def model(own: Splitter):
@@ -65,21 +65,11 @@ class Cache:
     def __init__(self, most: int):
         self.most, self.late, self.old = most, {}, {}
 
-    def known(self, keys: list[str]) -> dict[str, bytes]:
-        """What it holds of ``keys``."""
-        found = {}
-        for key in keys:
-            value = self.late.get(key)
-            if value is None:
-                value = self.old.get(key)
-            if value is not None:
-                found[key] = value
-        return found
-
     def keep(self, values: dict[str, bytes]) -> None:
         if len(self.late) > self.most:
             self.old, self.late = self.late, {}
-        self.late.update((k, v) for k, v in values.items() if len(k) <= LONGEST)
+        long = [k for k in values if len(k) > LONGEST]
+        self.late.update({k: v for k, v in values.items() if len(k) <= LONGEST} if long else values)
 
 
 class Encoder:
@@ -90,9 +80,25 @@ class Encoder:
         model(self.own)
         self.chunks, self.words = Cache(CHUNKS), Cache(WORDS)
 
+    def _words(self, names: list[str], plain: bool) -> dict[str, bytes]:
+        """The ids of pre-tokens: met before, from the lexicon, or merged."""
+        late, old = self.words.late, self.words.old
+        found = {n: ids for n in names if (ids := late.get(n)) is not None}
+        again = {n: ids for n in names if n not in found and (ids := old.get(n)) is not None}
+        new = [n for n in names if n not in found and n not in again]
+        if new:
+            ids = dict(zip(new, self.lexicon.get([n.encode() for n in new])))
+            unseen = [n for n, known in ids.items() if known is None]
+            if unseen:
+                ids.update(zip(unseen, merged_together(self.own, unseen) if plain else [merged(self.own, n) for n in unseen]))
+            again |= ids
+        self.words.keep(again)
+        return found | again
+
     def _new(self, chunks: list[str], plain: bool) -> dict[str, bytes]:
         """The ids of chunks that are not met lately."""
-        known, split = self.chunks.known(chunks), {}
+        old, split = self.chunks.old, {}
+        known = {c: ids for c in chunks if (ids := old.get(c)) is not None}
         for chunk in chunks:
             if chunk not in known:
                 words = self.own.split(chunk, plain)
@@ -100,30 +106,42 @@ class Encoder:
                     known[chunk] = np.array(self.own.tokenizer.encode(chunk, add_special_tokens=False).ids, np.int32).tobytes()
                 else:
                     split[chunk] = words
-        names = list(dict.fromkeys(chain.from_iterable(split.values())))
-        found = self.words.known(names)
-        new = [n for n in names if n not in found]
-        if new:
-            ids = dict(zip(new, self.lexicon.get([n.encode() for n in new])))
-            unseen = [n for n, known_ids in ids.items() if known_ids is None]
-            if unseen:
-                ids.update(zip(unseen, merged_together(self.own, unseen) if plain else [merged(self.own, n) for n in unseen]))
-            self.words.keep(ids)
-            found |= ids
-        known.update((chunk, b"".join([found[w] for w in words])) for chunk, words in split.items())
+        found = self._words(list(dict.fromkeys(chain.from_iterable(split.values()))), plain)
+        known.update((chunk, found[words[0]] if len(words) == 1 else b"".join([found[w] for w in words])) for chunk, words in split.items())
         return known
 
-    def text(self, text: str) -> np.ndarray:
-        out = []
-        for piece in pieces(text):
-            found = chunks(piece)
-            ids = list(map(self.chunks.late.get, found))
-            if None in ids:
-                new = self._new(list(dict.fromkeys(c for c, known in zip(found, ids) if known is None)), self.own.plain(piece))
-                ids = [new[c] if known is None else known for c, known in zip(found, ids)]
-                self.chunks.keep(new)
-            out.append(b"".join(ids))
-        return np.frombuffer(b"".join(out), np.int32)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers in a row; what is new in any of them is looked up at once."""
+        parts, missing = [], ({}, {})
+        for k, text in enumerate(texts):
+            for piece in pieces(text):
+                found = chunks(piece)
+                ids = list(map(self.chunks.late.get, found))
+                parts.append((k, found, ids))
+                if None in ids:
+                    missing[self.own.plain(piece)].update((c, None) for c, known in zip(found, ids) if known is None)
+        new = self._new(list(missing[False]), False) if missing[False] else {}
+        if missing[True]:
+            new |= self._new([c for c in missing[True] if c not in new], True)
+        out = [[] for _ in texts]
+        for k, found, ids in parts:
+            out[k].append(b"".join([new[c] if known is None else known for c, known in zip(found, ids)] if None in ids else ids))
+        self.chunks.keep(new)
+        return [b"".join(o) for o in out]
+
+
+def groups_of(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts that are encoded together: about a million characters, or one text."""
+    group, size = [], 0
+    for k in range(len(texts)):
+        text = texts[k].as_py() or ""
+        if group and size + len(text) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -169,15 +187,16 @@ def encode_texts(docs: DataFrame, path: str, words: int = 1 << 16, task_entries:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, file)
         for batch in batches:
-            texts, start, size, found = batch.column("text"), 0, 0, []
-            for k in range(batch.num_rows):
-                found.append(encoder.text(texts[k].as_py() or ""))
-                size += len(found[-1])
-                if size > BATCH or k + 1 == batch.num_rows:
-                    at = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found)))
+            start, size, found = 0, 0, []
+            texts = batch.column("text")
+            for group in groups_of(texts):
+                found += encoder.encode(group)
+                size += sum(map(len, found[-len(group) :])) // 4
+                if size > BATCH or start + len(found) == batch.num_rows:
+                    at = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])])
+                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(found)), lists], ["doc_id", "ids"])
-                    start, size, found = k + 1, 0, []
+                    start, size, found = start + len(found), 0, []
 
     return texts.mapInArrow(run, "doc_id long, ids array<int>")
 

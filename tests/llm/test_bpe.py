@@ -51,6 +51,14 @@ def test_against_the_library(spark, tokenizer):
     assert bpe.digest(df.limit(0), path).count() == 0
 
 
+def test_groups(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "TOGETHER", 10)
+    texts = ["abc", None, "x" * 30, "", "abcdefgh", "abc", "abcdefg"]
+    assert list(bpe.groups_of(pa.array(texts))) == [["abc", ""], ["x" * 30], ["", "abcdefgh"], ["abc", "abcdefg"]]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_whole_table(spark, tokenizer):
     path, library = tokenizer
@@ -68,15 +76,22 @@ def test_decoding(spark, tokenizer):
         assert got == {i: None if ids is None else library.decode(ids, skip_special_tokens=skip) for i, ids in rows}
 
 
+def encoded(encoder, texts):
+    return [np.frombuffer(ids, np.int32).tolist() for ids in encoder.encode(texts)]
+
+
 def test_batches_are_split_by_size(tokenizer, monkeypatch):
     path, library = tokenizer
     block = lexicon.compile_lexicon([])
     encoder = bpe.Encoder(path, lexicon.Lexicon(block))
     monkeypatch.setattr(pretokens, "PIECE", 40)
     encoder.chunks.most = encoder.words.most = 5
-    for text in odd_texts():
-        assert encoder.text(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
-    assert all(len(half) < 200 for cache in (encoder.chunks, encoder.words) for half in (cache.late, cache.old))
+    texts = [text or "" for text in odd_texts()]
+    for group in (texts[:5], texts[5:30], texts[30:31], texts[31:], texts):
+        assert encoded(encoder, group) == [library.encode(text, add_special_tokens=False).ids for text in group]
+    for k in range(9):  # full halves go one after the other
+        encoder.encode([f"word{'abcdefghi'[k]} other{'abcdefghi'[k]}"])
+    assert all(len(half) < 20 for cache in (encoder.chunks, encoder.words) for half in (cache.late, cache.old))
 
 
 def test_long_chunks_are_cut_where_nothing_changes(tokenizer, monkeypatch):
@@ -84,7 +99,7 @@ def test_long_chunks_are_cut_where_nothing_changes(tokenizer, monkeypatch):
     monkeypatch.setattr(pretokens, "LONG", 3)
     encoder = bpe.Encoder(path, lexicon.Lexicon(lexicon.compile_lexicon([])))
     for text in [*odd_texts(), "a.b,c!d", "no,'s.Öl.ö;é:A", "一、二。三<|endoftext|>。a"]:
-        assert encoder.text(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
+        assert encoded(encoder, [text or ""]) == [library.encode(text or "", add_special_tokens=False).ids]
 
 
 def test_another_tokenizer_is_refused(tokenizer):
