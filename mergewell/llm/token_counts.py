@@ -6,12 +6,9 @@ so no pre-token occurrence is ever shuffled.  The table holds at most ``table_si
 bounds what is broadcast.  The second tier is a bounded cache in each Python worker, filled by
 encoding the misses of a batch in one call.
 
-Pre-tokens are split here as the tokenizer's file states; a file with another normaliser or split rule
-is refused, since its counts would be wrong.  Texts are cut at blanks, tabs and line breaks, which no
-pre-token crosses and across which nothing is normalised.  Chunks of plain Latin characters, for which
-the rules of Python's ``regex`` and of the tokenizer library agree, are split into pre-tokens for both
-tiers; any other chunk - other scripts, curly quotes, emoji, a special token's string - is a miss of the
-first tier that the library encodes alone, cached by the chunk.
+Pre-tokens of all scripts feed the first tier, as the tokenizer's file defines them (``pretokens``).  Plain Latin
+text is split as a whole; any other chunk between blanks keeps its count in a bounded cache of its own, and only
+a chunk that holds a special token's string goes to the library as it is.
 
 Defined results: null and empty text have 0 tokens; repeated rows are counted row by row; pre-tokens
 that tie for the last places of the table change speed, not counts; very long texts are split in pieces
@@ -20,155 +17,115 @@ of about a million characters; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
-import json
-import os
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mergewell.llm.pretokens import PLAIN, SPLIT, Splitter, chunks, frequent, pieces, splitter
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: The tokenizer's own normalisation and split rule, as its file states them (fixed values).
-NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
-BLANK = regex.compile("[ \t\n\r]+")
-PIECE = 1 << 20
 CACHE = 1 << 20
-#: Longer chunks are encoded without being kept.
+#: Longer chunks are counted without being kept.
 CHUNK = 64
 
 _worker: dict = {}
 
 
-def _check(path: str) -> None:
-    """Refuse a tokenizer whose pre-tokens are not those that are split here."""
-    with open(path, encoding="utf-8") as file:
-        rules = json.load(file)
-    steps = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
-    split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
-    added = [t for t in rules["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or BLANK.search(t["content"])]
-    if steps != NORMALIZERS or split != SPLIT.pattern or added or rules.get("post_processor"):
-        raise ValueError(f"{path}: another normaliser, split rule or kind of special token than this operator's")
-
-
 def _state(path: str) -> dict:
-    """This worker's tokenizer, special strings and caches."""
+    """This worker's splitter and caches."""
     if _worker.get("path") != path:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        _check(path)
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        own = splitter(path)
         _worker.clear()
-        _worker.update(path=path, tokenizer=tokenizer, specials=specials, cache={}, chunks={})
+        _worker.update(path=path, own=own, cache={}, chunks={})
     return _worker
 
 
-def _parted(text: str, specials: list[str]) -> tuple[str, list[str]]:
-    """The plain part of a text, and the chunks that aren't plain."""
-    if PLAIN.fullmatch(text) is not None and not any(s in text for s in specials):
-        return text, []
+def _parted(piece: str, own: Splitter) -> tuple[str, list[str]]:
+    """The plain part of a piece of text, and the chunks that aren't plain."""
+    if own.plain(piece):
+        return piece, []
     plain, odd = [], []
-    for chunk in BLANK.split(text):
-        fits = PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in specials)
-        (plain if fits else odd).append(chunk)
+    for chunk in chunks(piece):
+        (plain if own.plain(chunk) else odd).append(chunk)
     return " ".join(plain), odd
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """The text in pieces of about a million characters, cut at white space only."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = regex.compile(r"[ \t\n\r]").search(text, at + PIECE)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.end()
-    yield text[at:]
+def frequent_lengths(texts: DataFrame, tokenizer_path: str, table_size: int, task_entries: int) -> dict[str, int]:
+    """Token counts of the ``table_size`` most frequent pre-tokens found by the tasks' summaries."""
+    found = frequent(texts, tokenizer_path, table_size, task_entries)
+    own = splitter(tokenizer_path)
+    plain = [p for p in found if PLAIN.fullmatch(p)]
+    return dict(zip(plain, _lengths(plain, own))) | {p: _length(p, own) for p in found if not PLAIN.fullmatch(p)}
 
 
-def _summaries(path: str, entries: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials = _state(path)["specials"]
-        counts: Counter[str] = Counter()
-        floor = 0  # what an entry may have lost to earlier pruning
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    for piece in _pieces(_parted(text, specials)[0].lower()):
-                        counts.update(SPLIT.findall(piece))
-            while len(counts) > 16 * entries:  # lossy counting: drop what is surely rare
-                floor += 1
-                counts = Counter({k: n for k, n in counts.items() if n > floor})
-        top = counts.most_common(entries)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"]
-        )
-
-    return run
+def _length(piece: str, own: Splitter) -> int:
+    """Tokens of one pre-token, by the model alone."""
+    return len(own.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(own.letters)))
 
 
-def frequent_lengths(texts: DataFrame, tokenizer_path: str, table_size: int, task_entries: int) -> dict[str, int]:
-    """Token counts of the ``table_size`` most frequent pre-tokens found by the tasks' summaries."""
-    rows = (
-        texts.mapInArrow(_summaries(tokenizer_path, task_entries), "piece string, n long")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(table_size)
-        .collect()
-    )
-    pieces = [r["piece"] for r in rows]
-    return dict(zip(pieces, _lengths(pieces, tokenizer_path)))
-
-
-def _lengths(pieces: list[str], path: str) -> list[int]:
-    """Tokens of each pre-token.  Joined by spaces they are encoded in one call and split apart again."""
-    tokenizer = _state(path)["tokenizer"]
+def _lengths(pieces: list[str], own: Splitter) -> list[int]:
+    """Tokens of each plain pre-token.  Joined by spaces they are encoded in one call and split apart again."""
     out: list[int] = []
     for i in range(0, len(pieces), 4096):
         part = pieces[i : i + 4096]
-        counts = Counter(tokenizer.encode(" ".join(part), add_special_tokens=False).word_ids)
+        counts = Counter(own.tokenizer.encode(" ".join(part), add_special_tokens=False).word_ids)
         if len(counts) != len(part):  # a pre-token that doesn't split alone as it does in its text
-            out += [len(e.ids) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+            out += [_length(p, own) for p in part]
         else:
             out += [counts[k] for k in range(len(part))]
     return out
 
 
 def _count(path: str, shared, limit: int):
-    def tokens(text: str, table: dict[str, int], cache: dict[str, int]) -> int:
+    def tokens(plain: str, table: dict[str, int], cache: dict[str, int], own: Splitter) -> int:
+        found = SPLIT.findall(plain.lower())
+        sizes = list(map(table.get, found))
+        if None not in sizes:
+            return sum(sizes)
+        missed = [p for p, n in zip(found, sizes) if n is None]
+        new = [p for p in dict.fromkeys(missed) if p not in cache]
+        if new:
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+                new = list(dict.fromkeys(missed))
+            cache.update(zip(new, _lengths(new, own)))
+        return sum(cache[p] for p in missed) + sum(n for n in sizes if n is not None)
+
+    def odd_tokens(chunk: str, table: dict[str, int], cache: dict[str, int], own: Splitter) -> int:
+        words = own.split(chunk)
+        if words is None:  # holds a special token's string
+            return len(own.tokenizer.encode(chunk, add_special_tokens=False).ids)
         total = 0
-        for piece in _pieces(text.lower()):
-            found = SPLIT.findall(piece)
-            sizes = list(map(table.get, found))
-            if None in sizes:
-                missed = [p for p, n in zip(found, sizes) if n is None]
-                new = [p for p in dict.fromkeys(missed) if p not in cache]
-                if new:
-                    if len(cache) + len(new) > CACHE:
-                        cache.clear()
-                        new = list(dict.fromkeys(missed))
-                    cache.update(zip(new, _lengths(new, path)))
-                total += sum(cache[p] for p in missed) + sum(n for n in sizes if n is not None)
-            else:
-                total += sum(sizes)
+        for word in words:
+            n = table.get(word)
+            if n is None:
+                n = cache.get(word)
+            if n is None:
+                n = _length(word, own)
+                if len(cache) >= CACHE:
+                    cache.clear()
+                if len(word) <= CHUNK:
+                    cache[word] = n
+            total += n
         return total
 
-    def odd_tokens(odd: list[str], tokenizer, cache: dict[str, int]) -> int:
-        new = [c for c in dict.fromkeys(odd) if c not in cache]
-        sizes = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        total = sum(cache[c] if c in cache else sizes[c] for c in odd)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-        cache.update((c, n) for c, n in sizes.items() if len(c) <= CHUNK)
+    def count(text: str, table: dict[str, int], state: dict) -> int:
+        total, own, known = 0, state["own"], state["chunks"]
+        for piece in pieces(text):
+            plain, odd = _parted(piece, own)
+            total += tokens(plain, table, state["cache"], own)
+            for chunk in odd:
+                n = known.get(chunk)
+                if n is None:
+                    n = odd_tokens(chunk, table, state["cache"], own)
+                    if len(known) >= CACHE:
+                        known.clear()
+                    if len(chunk) <= CHUNK:
+                        known[chunk] = n
+                total += n
         return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +135,7 @@ def _count(path: str, shared, limit: int):
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
-                plain, odd = _parted(text, state["specials"])
-                counts.append(tokens(plain, table, state["cache"]) + (odd_tokens(odd, state["tokenizer"], state["chunks"]) if odd else 0))
+                counts.append(count(text, table, state))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mergewell.llm import decontaminate, language_id, quality, secret_scan, token_counts
+from mergewell.llm import decontaminate, language_id, pretokens, quality, secret_scan, token_counts
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.01"
@@ -43,19 +43,37 @@ def test_token_counts(spark, tokenizer):
 
 def test_very_long_text_is_counted_in_pieces(spark, tokenizer, monkeypatch):
     path, library = tokenizer
-    monkeypatch.setattr(token_counts, "PIECE", 50)
+    monkeypatch.setattr(pretokens, "PIECE", 50)
     text = "some words, and more-words " * 40 + "x" * 300 + " end"
-    assert " ".join(token_counts._pieces(text)) == text
+    assert " ".join(pretokens.pieces(text)) == text
     assert spark.createDataFrame([(1, text)], DOC).transform(lambda d: token_counts.count_tokens(d, path)).first()["n_tokens"] == len(library.encode(text).ids)
 
 
-def test_summaries_stay_bounded(tokenizer):
+def summary(path, texts, entries):
     import pyarrow as pa
 
+    batches = iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])
+    found = list(pretokens.summaries(path, entries)(batches))[0]
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+
+
+def test_summaries_stay_bounded(tokenizer):
     path, _ = tokenizer
     text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}" for k in range(5000)) + " often" * 500
-    out = list(token_counts._summaries(path, 20)(iter([pa.RecordBatch.from_arrays([pa.array([text] * 3)], ["text"])])))[0]
-    assert out.num_rows <= 20 and out.column(0)[0].as_py() == "often"
+    found = summary(path, [text] * 3, 20)
+    assert len(found) <= 20 and max(found, key=found.get) == "often" and found["often"] == 1500
+
+
+def test_every_script_reaches_the_first_tier(spark, tokenizer):
+    path, library = tokenizer
+    texts = ["Это простой русский текст, и ещё один текст.", "“Curly quotes”, he said — it’s fine", "这是一个句子。这是另一个句子，没有空格。", "日本語の文です。"]
+    found = summary(path, texts * 3, 1000)
+    assert {"текст", "русский", "curly", "said", "“", "这是一个句子", "日本語の文です"} <= set(found)
+    df = spark.createDataFrame(list(enumerate(texts * 3)), DOC)
+    table = token_counts.frequent_lengths(df.select("text"), path, 1000, 1000)
+    assert table["русский"] == len(library.encode("русский").ids) and table["这是一个句子"] == len(library.encode("这是一个句子").ids)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, path).collect()}
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts * 3)}
 
 
 def test_gradient_of_the_attention_model():
