@@ -9,8 +9,9 @@ with the smallest hash of their id) on the driver; scoring covers every passage
 Defined results: null and empty text are one passage of zeros and get a score like any other; labels
 that are null are ignored and several labels of one document are averaged; with no label at all the
 score is 0.5; with labels of one kind it is their mean; repeated rows are scored row by row and teach
-once; ids that tie on their hash are taken in their order, texts of one id in that of their hash; very long texts are cut into passages block by
-block and scored whole; an empty table gives an empty result; extra columns are ignored by
+once; ids that tie on their hash are taken in their order, texts of one id in that of their hash; texts beyond a
+megabyte are read in sections of a megabyte, each with passages of its own, and attention is carried from
+section to section, so memory is that of a section and the score that of all; an empty table gives an empty result; extra columns are ignored by
 ``score_quality`` and kept by ``keep_good``.
 """
 
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.llm.language_id import held_out
-from mergewell.llm.textkernel import blocks, word_bounds, word_hashes
+from mergewell.llm.textkernel import BLOCK, blocks, word_bounds, word_hashes
 from mergewell.workspace import discard, materialize
 
 PASSAGE = 512
+SECTION = BLOCK  # bytes of a text that are in work at once, a multiple of the passage
 CLASSES = 16
 WIDTH = CLASSES * CLASSES + 4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -78,6 +80,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.hstack([pairs, rest]), at
 
 
+def sections(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Features of the passages of one text, section by section."""
+    for i in range(0, max(1, len(data)), SECTION):
+        part = data[i : i + SECTION]
+        yield passages(part, np.array([0, len(part)]))[0]
+
+
 class AttentionModel:
     """Gated attention over encoded passages (Ilse, Tomczak and Welling, 2018), fitted by Adam."""
 
@@ -103,6 +112,19 @@ class AttentionModel:
             return np.full(len(at) - 1, self.constant)
         return self._forward((x - self.mean) / self.scale, at)[5]
 
+    def score_sections(self, parts: Iterator[np.ndarray]) -> float:
+        """The score of one text from its sections: sums weighted by attention are carried, scaled to the largest so far."""
+        if self.constant is not None:
+            return self.constant
+        p, top, total, z = self.p, -np.inf, 0.0, 0.0
+        for x in parts:
+            h = np.tanh((x - self.mean) / self.scale @ p["W"] + p["b"])
+            e = (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]
+            most = max(top, e.max())
+            weight, old = np.exp(e - most), np.exp(top - most)
+            total, z, top = total * old + weight.sum(), z * old + weight @ h, most
+        return float(1 / (1 + np.exp(-(z / total @ p["c"] + p["d"][0]))))
+
     def _gradient(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         h, a, g, weight, z, score, rows = self._forward(x, at)
@@ -144,6 +166,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = []
         for _, _, data, offsets in blocks(batch.column("text")):
+            if len(data) > SECTION and len(offsets) == 2:
+                bags.append(b"".join(x.astype(np.float32).tobytes() for x in sections(data)))
+                continue
             x, at = passages(data, offsets)
             bags += [x[i:j].astype(np.float32).tobytes() for i, j in zip(at, at[1:])]
         yield pa.RecordBatch.from_arrays(
@@ -195,15 +220,20 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_by
     return model
 
 
+def text_scores(model: AttentionModel, column: pa.Array) -> np.ndarray:
+    """The score of each text of a column."""
+    scores = [np.zeros(0)]
+    for _, _, data, offsets in blocks(column):
+        long = len(data) > SECTION and len(offsets) == 2
+        scores.append(np.array([model.score_sections(sections(data))]) if long else model.score(*passages(data, offsets)))
+    return np.concatenate(scores)
+
+
 def _score(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            scores = [np.zeros(0)]
-            for _, _, data, offsets in blocks(batch.column("text")):
-                x, at = passages(data, offsets)
-                scores.append(model.score(x, at))
-            scores = np.concatenate(scores)
+            scores = text_scores(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -231,10 +261,7 @@ def _passing(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            scores = [np.zeros(0)]
-            for _, _, data, offsets in blocks(batch.column("text")):
-                scores.append(model.score(*passages(data, offsets)))
-            yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+            yield batch.filter(pa.array(text_scores(model, batch.column("text")) >= threshold))
 
     return run
 
