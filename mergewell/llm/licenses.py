@@ -9,7 +9,9 @@ Titles of licence texts count as a text's first lines only. A file takes the lic
 Document frequencies come from all texts: tasks count the templates' vocabulary only, so what is
 shuffled and collected is at most one row a vocabulary word and task. A word that a template lacks
 weighs at most as the template's mean word, so that a notice's score doesn't fall as the corpus grows.
-Words that a template shares with its identifier (``apache``, ``2``, ``0``) must all be there. Sentences
+Words that a template shares with its identifier (``apache``, ``2``, ``0``) must all be there, and words that
+tell licences apart (``TELLING``) must not be there unless the template has them. A notice that says it does
+not apply ("not licensed under ...") is none. Sentences
 that lack all of a template's rarest words can't reach the threshold, whatever else they hold, and are
 passed over.
 
@@ -40,22 +42,23 @@ from pyspark.sql import functions as F
 from mergewell.workspace import materialize
 
 #: Notices as they are commonly written, by SPDX identifier.
-TEMPLATES = (
+SENTENCES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT license"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("GPL-2.0", "Licensed under the GNU GPL v2"),
+    ("GPL-3.0", "Licensed under the GNU GPL v3"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -65,13 +68,19 @@ TEMPLATES = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: Every licence by its identifier as well.
+TEMPLATES = (*SENTENCES, *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in SENTENCES)))
+#: Words that tell licences apart which are worded alike: a notice that holds one matches no template that lacks it.
+TELLING = frozenset({"lesser", "affero", "library", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives", "noderivs"})
+#: What a notice says no to: "not" right before one of these.
+DENIED = frozenset({"licensed", "licenced", "released", "distributed", "governed", "dedicated", "available", "subject"})
 #: Headers of source files and whole licence texts.
 _PERMITTED = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 _DISCLAIMED = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 HEADERS = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     *((name, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
-      for name, what, kind, version in (("GPL-3.0", "program", "General Public License", 3), ("GPL-2.0", "program", "General Public License", 2), ("LGPL-3.0", "library", "Lesser General Public License", 3), ("AGPL-3.0", "program", "Affero General Public License", 3))),
+      for name, what, kind, version in (("GPL-3.0", "program", "General Public License", 3), ("GPL-2.0", "program", "General Public License", 2), ("LGPL-2.1", "library", "Lesser General Public License", 2.1), ("LGPL-3.0", "library", "Lesser General Public License", 3), ("AGPL-3.0", "program", "Affero General Public License", 3))),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("BSD-3-Clause", _PERMITTED + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _DISCLAIMED),
@@ -87,6 +96,7 @@ TITLES = (
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
@@ -121,6 +131,7 @@ class Templates:
         self.weights = {t: self.idf(documents, n) for t, n in frequencies.items()}
         unseen = self.idf(documents, 1)
         self.vectors, self.others, self.needed, self.anchors = [], [], [], set()
+        self.strange = [TELLING.difference(terms(text)) for _, text in templates]
         self.spots: dict[str, list[int]] = defaultdict(list)
         for k, (name, text) in enumerate(templates):
             words = terms(text)
@@ -157,7 +168,7 @@ class Templates:
 
     def cosine(self, counts: Counter[str], k: int) -> float:
         """The cosine to template ``k``, 0 where a word is missing that it needs."""
-        if not self.needed[k] <= counts.keys():
+        if not self.needed[k] <= counts.keys() or any(counts.get(t) for t in self.strange[k]):
             return 0.0
         v, other = self.vectors[k], self.others[k]
         dot = squares = 0.0
@@ -236,12 +247,15 @@ class Templates:
         """(start, end, words, template, cosine) of the notices, none of which overlap."""
         found = list(WORD.finditer(text))  # lower-cased one by one: the length of a text may change
         words, starts = [w[0].lower() for w in found], [w.start() for w in found]
+        denied = [i for i, w in enumerate(words[:-1]) if w == "not" and words[i + 1] in DENIED]
+        free = lambda a, b: not denied or bisect_left(denied, a - 3) == bisect_left(denied, b)
         whole = list(self.sentences(text, words, starts))
         within = {i: s for s, (a, b, _, _) in enumerate(whole) for i in range(a, b)}
         parts = (
             (a, b, k, score) for a, b, k, score in self.windows(words) if a not in within or within[a] != within.get(b - 1)
         )
-        every = sorted([*whole, *parts, *self.title(text, words, starts)], key=lambda x: x[0] - x[1])
+        every = [n for n in [*whole, *parts, *self.title(text, words, starts)] if free(n[0], n[1])]
+        every.sort(key=lambda x: x[0] - x[1])
         until, longer, left = [0] * len(words), 0, []  # until: where the last ends of those of twice the length around a word
         for a, b, k, score in every:
             while every[longer][1] - every[longer][0] >= 2 * (b - a):

@@ -133,3 +133,26 @@ def test_wrapped_headers_titles_and_notices_in_prose(spark):
     for k, (name, text) in enumerate(texts):
         assert (got[k]["own_license"], got[1000 + k]["license"]) == (name, name), text
     assert all(got[k]["n_notices"] == 1 for k, (name, _) in enumerate(texts) if name)
+
+
+def test_licences_that_are_worded_alike():
+    every = (*licenses.TEMPLATES, *licenses.HEADERS)
+    words = {t for _, x in (*every, *licenses.TITLES) for t in licenses.terms(x)}
+    model = licenses.Templates(every, dict.fromkeys(words, 3), 10_000, licenses.THRESHOLD, licenses.TITLES)
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    for text, name in (
+        (lesser, "LGPL-2.1"),
+        (lesser.replace("2.1", "3"), "LGPL-3.0"),
+        (lesser.replace("Lesser ", "").replace("library", "program").replace("2.1", "2"), "GPL-2.0"),
+        ("Released under the BSD 2-Clause license", "BSD-2-Clause"),
+        ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("Licensed under the GNU GPL v3", "GPL-3.0"),
+        ("Licensed under the GNU GPL v2.", "GPL-2.0"),
+        ("This is not licensed under the MIT license", None),
+        ("This code is not released under the MIT License.", None),
+        ("This code is released under the MIT License, not for sale.", "MIT"),
+        *((f"// SPDX-License-Identifier: {name}", name) for name, _ in licenses.SENTENCES),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ):
+        assert model.judge(f"Some code.\n{text}\nx = 1\n")[0] == name, text
+        assert model.judge(f"{'word ' * 60}\n# {text}")[0] == name, text
