@@ -15,7 +15,7 @@ from mergewell.plans import calibrate as cal
 from mergewell.plans import profile as prof
 from mergewell.plans import report
 from mergewell.plans.ingest import Ingested, ingest, summary
-from mergewell.plans.settle import settle
+from mergewell.plans.settle import ingest_refused, settle, writing
 from mergewell.schemas import FIELDS, LINK, RAW
 from mergewell.sources import driver_tables as tables
 from mergewell.sources import payloads
@@ -860,19 +860,57 @@ def migrated_store(spark, sf_dir):
     return store.links()
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> IncrementalIngest:
+    """All entries as files that arrive in three lots, ingested as a stream that is started anew for each."""
+    entries = materialize(tables.entries(spark, sf_dir), "entries")
+    path, progress, root = (fresh_path(spark, name) for name in ("arriving", "progress", "catalog"))
+    third = (entries.agg(F.max("record_index")).first()[0] // 3000 + 1) * 1000
+    CatalogStore(spark, root).commit(tables.products(spark, sf_dir), spark.createDataFrame([], LINK))
+    for lot in range(3):
+        _payload_files(entries.filter(F.floor(F.col("record_index") / third) == lot), path, False)
+        job = IncrementalIngest(CatalogStore(spark, root), HashEmbedder(), MATCH, "none")
+        job.start(path, progress, third // 1000).awaitTermination()
+    return job
+
+
 @query(ORACLES["ingest_links"])
 def streamed_links(spark, sf_dir):
-    """All entries as files that arrive in two lots, ingested as a stream into a stored catalog."""
-    entries = materialize(tables.entries(spark, sf_dir), "entries")
-    path = fresh_path(spark, "arriving")
-    last = entries.agg(F.max("record_index")).first()[0]
-    half = (last // 2000 + 1) * 1000
-    _payload_files(entries.filter(F.col("record_index") < half), path, False)
-    _payload_files(entries.filter(F.col("record_index") >= half), path, False)
-    store = CatalogStore(spark, fresh_path(spark, "catalog"))
-    store.commit(tables.products(spark, sf_dir), spark.createDataFrame([], LINK))
-    IncrementalIngest(store, HashEmbedder(), MATCH, "none").start(path, fresh_path(spark, "progress"), half // 1000).awaitTermination()
-    return store.links()
+    """What the commits of three lots have added up to."""
+    return _streamed(spark, sf_dir).store.links()
+
+
+@query(ORACLES["ingest_products"])
+def streamed_products(spark, sf_dir):
+    """The catalog after three lots, folded into a new base."""
+    store = _streamed(spark, sf_dir).store
+    store.compact()
+    return store.products()
+
+
+@query(
+    BASE + f"SELECT DISTINCT sha256('{text.TASK_PREFIX}' || identity) AS text_hash, 1 AS times, 32 AS dimension FROM (SELECT {_identity('name', 'brand', 'category')} AS identity FROM product "
+    "UNION ALL SELECT r.identity FROM firsts f JOIN records r ON r.record_index = f.first_index)"
+)
+def stored_vectors(spark, sf_dir):
+    """What three lots have embedded, each text once."""
+    stored = _streamed(spark, sf_dir).vectors.table()
+    return stored.groupBy("text_hash").agg(F.count("*").cast("int").alias("times"), F.max(F.size("vector")).alias("dimension"))
+
+
+@query(
+    RESULTS_SQL.replace("records WHERE reason IS NULL GROUP", "records WHERE reason IS NULL AND record_index % 7 <> 3 GROUP")
+    + "SELECT record_index, CASE WHEN fails THEN 'failed' ELSE outcome END AS outcome, CASE WHEN NOT fails THEN product_id END AS product_id, CASE WHEN fails THEN 'other' END AS err_kind "
+    "FROM (SELECT r.*, r.reason IS NULL AND r.record_index % 7 = 3 AND (f.first_index IS NULL OR r.record_index < f.first_index) AS fails FROM results r LEFT JOIN firsts f USING (seller_name, seller_product_id))"
+)
+def refused_results(spark, sf_dir):
+    """A run against a store that refuses what every seventh record writes."""
+    records = materialize(_records(spark, sf_dir).drop("true_product"), "records")
+
+    def refuse(done: Ingested) -> DataFrame:
+        return writing(done).filter("record_index % 7 = 3").select("record_index", F.lit("other").alias("err_kind"), F.lit("refused").alias("reason"))
+
+    done = ingest_refused(records, tables.products(spark, sf_dir), spark.createDataFrame([], LINK), HashEmbedder(), MATCH, "none", refuse=refuse)
+    return done.results.select("record_index", "outcome", "product_id", "err_kind")
 
 
 # --- runs with links from before -------------------------------------------------------------------
