@@ -21,6 +21,7 @@ from mergewell.sources import driver_tables as tables
 from mergewell.sources import payloads
 from mergewell.sources.driver_tables import ENTRIES_SQL, PRODUCT_SQL
 from mergewell.sources.snapshots import CatalogStore
+from mergewell.sources.vector_store import VectorStore
 from mergewell.streaming.incremental import IncrementalIngest
 from mergewell.workspace import fresh_path, materialize
 
@@ -868,7 +869,8 @@ def _streamed(spark: SparkSession, sf_dir: str) -> IncrementalIngest:
     CatalogStore(spark, root).commit(tables.products(spark, sf_dir), spark.createDataFrame([], LINK))
     for lot in range(3):
         _payload_files(entries.filter(F.floor(F.col("record_index") / third) == lot), path, False)
-        job = IncrementalIngest(CatalogStore(spark, root), HashEmbedder(), MATCH, "none")
+        vectors = VectorStore(spark, f"{root}/vectors", HashEmbedder(), buckets=8)
+        job = IncrementalIngest(CatalogStore(spark, root), HashEmbedder(), MATCH, "none", vectors=vectors)
         job.start(path, progress, third // 1000).awaitTermination()
     return job
 

@@ -22,14 +22,13 @@ from mergewell.operators.embed import Embedder, embed_texts
 from mergewell.sources.pointer import LostRace, Pointer
 from mergewell.workspace import discard, materialize
 
-BUCKETS = 64
 COLUMNS = "text_hash string, vector array<float>"
 
 
 class VectorStore:
-    """``root`` is any path that Spark reads and writes; ``buckets`` is fixed by whoever creates the store."""
+    """``root`` is any path that Spark reads and writes; ``buckets`` is fixed by whoever creates the store, by default as many as shuffles have partitions."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder, prefix: str = text.TASK_PREFIX, buckets: int = BUCKETS, conditional_create: bool = False):
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder, prefix: str = text.TASK_PREFIX, buckets: int | None = None, conditional_create: bool = False):
         self.spark, self.embedder, self.prefix = spark, embedder, prefix
         about = {"model": embedder.name, "dimension": embedder.dimension, "prefix": prefix}
         key = hashlib.sha256(repr(sorted(about.items())).encode()).hexdigest()[:24]
@@ -37,7 +36,7 @@ class VectorStore:
         self.pointer = Pointer(spark, f"{self.root}/_published", conditional_create)
         if not self.pointer.numbers():
             try:
-                self.pointer.publish(1, about | {"folder": "vectors-1", "buckets": buckets})
+                self.pointer.publish(1, about | {"folder": "vectors-1", "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))})
             except LostRace:
                 pass  # created by another writer just now
 

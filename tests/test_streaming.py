@@ -4,7 +4,9 @@ import uuid
 
 from mergewell.operators.embed import HashEmbedder
 from mergewell.sources.snapshots import CatalogStore
+from mergewell.sources.vector_store import VectorStore
 from mergewell.streaming.incremental import IncrementalIngest, first_events
+from tests.test_store import CountingEmbedder
 
 PRODUCT = "id long, name string, brand string, category string"
 LINK = "id long, seller_name string, product_id long, seller_product_id string"
@@ -43,3 +45,45 @@ def test_first_events(spark, folder):
     q = first_events(stream, ["user", "kind"]).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("firsts").count() == 2
+
+
+def test_a_batch_embeds_new_texts_only(spark, folder):
+    """Also after a restart with a new store, and whatever the size of the catalog."""
+    inbox = f"{folder}/in"
+    os.makedirs(inbox)
+    embedder = CountingEmbedder(log=f"{folder}/log")
+    CatalogStore(spark, f"{folder}/catalog").commit(spark.createDataFrame([(k, f"product {k}", None, None) for k in range(1, 201)], PRODUCT), spark.createDataFrame([], LINK))
+    counts = []
+    for lot in range(3):
+        payload(f"{inbox}/{lot}.json", [(str(uuid.UUID(int=lot)), "s", f"new {lot // 2}")])
+        vectors = VectorStore(spark, f"{folder}/catalog/vectors", embedder, buckets=4)
+        job = IncrementalIngest(CatalogStore(spark, f"{folder}/catalog"), embedder, 0.975, vectors=vectors)
+        job.start(inbox, f"{folder}/check").awaitTermination()
+        counts.append(len(embedder.noted()))
+    assert counts == [201, 0, 1]
+    assert job.store.products().count() == 202 and job.store.links().count() == 3
+
+
+def test_a_batch_that_loses_the_race_is_decided_again(spark, folder):
+    inbox = f"{folder}/in"
+    os.makedirs(inbox)
+    ids = [str(uuid.UUID(int=k)) for k in range(3)]
+    payload(f"{inbox}/a.json", [(ids[0], "s", "Fan"), (ids[1], "s", "Lamp"), ("x" * 70, "s", "Desk"), (ids[2], "t", "Lamp")])
+    store = CatalogStore(spark, f"{folder}/catalog")
+    store.commit(spark.createDataFrame([(5, "Fan", None, None)], PRODUCT), spark.createDataFrame([], LINK))
+    job = IncrementalIngest(store, HashEmbedder(), 0.975, results=f"{folder}/results", vectors=VectorStore(spark, f"{folder}/v", HashEmbedder(), buckets=4))
+    commit, raced = store.commit_changes, []
+
+    def late(*args, **settings):
+        if not raced:  # another writer inserts the lamp and links one of the keys first
+            raced.append(1)
+            other = CatalogStore(spark, store.root)
+            lamp = spark.createDataFrame([(6, "Lamp", None, None)], PRODUCT), spark.createDataFrame([], "id long, brand string, category string")
+            other.commit_changes(*lamp, spark.createDataFrame([(1, "s", 6, ids[1])], LINK), read=other.current().number)
+        return commit(*args, **settings)
+
+    store.commit_changes = late
+    job.start(inbox, f"{folder}/check").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/results").orderBy("record_index").collect()
+    assert [(r["outcome"], r["product_id"]) for r in rows] == [("linked", 5), ("existing", 6), ("rejected", None), ("linked", 6)]
+    assert sorted(r["id"] for r in store.links().collect()) == [1, 2, 3] and store.products().count() == 2
