@@ -122,7 +122,7 @@ class Layout:
         return self.first[cells] + (spread % self.parts[cells].astype(np.uint64)).astype(np.int64)
 
 
-def direct(asked: DataFrame, others: DataFrame, exclude_self: bool, n: int, d: int) -> DataFrame:
+def direct(asked: DataFrame, others: DataFrame, exclude_self: bool, d: int) -> DataFrame:
     """The same as ``search`` for a catalog that is small enough to go to every task of the queries."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -134,7 +134,7 @@ def direct(asked: DataFrame, others: DataFrame, exclude_self: bool, n: int, d: i
         return pa.table({"id": left.column("id"), "match_id": pa.array(best.match, mask=~best.found), "score": pa.array(best.score, mask=~best.found), "compared": pa.array(best.compared)})
 
     right = others.select(F.col("id").alias("other_id"), F.col("vector").alias("other"))
-    return paired(asked, right, ("id", "other_id"), run, f"id long, {FOUND}", ((asked.count(), d), (n, d)))
+    return paired(asked, right, ("id", "other_id"), run, f"id long, {FOUND}", ((asked.count(), d), (0, d)))  # one block, as its size was checked
 
 
 def nearest(queries: DataFrame, catalog: DataFrame, exclude_self: bool = False) -> DataFrame:
@@ -163,7 +163,7 @@ def search(queries: DataFrame, catalog: DataFrame, exclude_self: bool = False, p
     if not n or not d:
         return whole.select("id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("float").alias("score"), F.lit(0).cast("long").alias("compared"))
     if not pivots and 8 * n * d <= DIRECT_BYTES:
-        return whole.join(direct(asked, others, exclude_self, n, d), "id", "left").withColumn("compared", F.coalesce("compared", F.lit(0).cast("long")))
+        return whole.join(direct(asked, others, exclude_self, d), "id", "left").withColumn("compared", F.coalesce("compared", F.lit(0).cast("long")))
     wanted = pivots or max(1, min(PIVOTS, math.isqrt(n)))
     sample = others.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toArrow()
     centres = matrix(sample.column(0), d)
