@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mergewell.llm import decontaminate, fingerprints, language_id, licenses, mixing, near_dup, quality, secret_scan, token_counts, warc
+from mergewell.llm import decontaminate, fingerprints, language_id, licenses, mixing, near_dup, pretokens, quality, secret_scan, token_counts, warc
 from mergewell.workspace import fresh_path
 from tests.llm import brute
 
@@ -126,7 +126,7 @@ def test_texts_of_other_scripts_take_the_tiers(spark, monkeypatch, tmp_path):
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(spark.createDataFrame(rows, DOC), path, table_size=30).collect()}
     assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in rows}
-    plain, odd = token_counts._parted("It’s a plain text — nearly, <|endoftext|> all", ["<|endoftext|>"])
+    plain, odd = token_counts._parted("It’s a plain text — nearly, <|endoftext|> all", pretokens.splitter(path))
     assert plain == "a plain text nearly, all" and odd == ["It’s", "—", "<|endoftext|>"]
     import json
 
@@ -134,7 +134,7 @@ def test_texts_of_other_scripts_take_the_tiers(spark, monkeypatch, tmp_path):
     rules["normalizer"]["normalizers"].pop()
     (tmp_path / "other.json").write_text(json.dumps(rules))
     with pytest.raises(ValueError):
-        token_counts._check(str(tmp_path / "other.json"))
+        pretokens.check(str(tmp_path / "other.json"))
 
 
 def test_quality_scores_against_plain_arithmetic(spark):
