@@ -97,3 +97,20 @@ def test_shares_of_large_counts():
 
     n, total = np.array([[3 * 10**14, 0]]), np.array([10**15, 10**15])
     assert divergence.shares(n, total).tolist() == [[1 + 10**9 * (3 * 10**14 + 1) // 10**15, 1]]
+
+
+def test_full_tables_are_sent_on(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "ENTRIES", 3)
+    rows = [(b"a b a", "en", "s"), (b"b c d e", "en", "s"), (b"", "en", "empty"), (b"a", "de", "s"), (b"a b", "en", "s")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k]]) for k in range(3)], ["text", "lang", "source"]) for r in rows]
+    sent = [row for batch in divergence._sums(iter(batches)) for row in batch.to_pylist()]
+    docs, counts = Counter(), Counter()
+    for row in sent:
+        if row["term"] is not None:
+            docs[row["lang"], row["source"], row["term"]] += row["docs"]
+            counts[row["lang"], row["source"], row["term"]] += row["n"]
+    assert counts == {("en", "s", "a"): 3, ("en", "s", "b"): 3, ("en", "s", "c"): 1, ("en", "s", "d"): 1, ("en", "s", "e"): 1, ("de", "s", "a"): 1}
+    assert docs["en", "s", "a"] == 2 and docs["en", "s", "b"] == 3
+    assert {(r["lang"], r["source"]) for r in sent if r["term"] is None} == {("en", "s"), ("en", "empty"), ("de", "s")}
