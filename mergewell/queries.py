@@ -845,6 +845,17 @@ def payload_files(spark, sf_dir):
     return found.select(block.alias("block"), F.col("record_index").alias("place"), *[RAW[f] for f in FIELDS], F.col("payload_error").alias("error"))
 
 
+@query(f"WITH {ENTRIES_SQL} SELECT record_index, raw_id, raw_seller, raw_name, raw_brand, raw_category FROM entries")
+def stored_lines(spark, sf_dir):
+    """Entries as files of JSON lines; their places come from the files alone."""
+    path = fresh_path(spark, "lines")
+    fields = F.to_json(F.struct(*[F.col(RAW[f]).alias(f) for f in FIELDS]), {"ignoreNullFields": "false"})
+    block = F.lpad(F.floor(F.col("record_index") / 1000).cast("string"), 9, "0")
+    each = tables.entries(spark, sf_dir).groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("record_index", fields.alias("value")))).alias("rows"))
+    each.select("block", F.array_join(F.transform("rows", lambda r: r["value"]), "\n").alias("value")).write.partitionBy("block").text(path)
+    return payloads.read_lines(spark, path).select("record_index", *[RAW[f] for f in FIELDS])
+
+
 @query(ORACLES["migrated_links"])
 def migrated_store(spark, sf_dir):
     """A stored catalog with numeric seller ids, migrated and read back."""

@@ -8,6 +8,7 @@ from mergewell.functions import text
 from mergewell.operators import validate
 from mergewell.plans import report
 from mergewell.sources import payloads
+from mergewell.streaming.incremental import FILES
 
 ID = "0f8fad5b-d9cb-469f-a165-70867728950e"
 DEFAULT = {"Id": ID, "SellerName": "Northwind", "Name": "Desk lamp", "Brand": "Lumo", "Category": "Office"}
@@ -109,6 +110,43 @@ def test_many_payloads_keep_their_valid_prefix(spark, folder):
     assert "a�" in {r["raw_name"] for r in found.collect()}
 
 
+def test_a_file_over_the_limit_harms_no_other(spark, folder):
+    """3 GiB, which no row of a table holds: its elements within the limit and one error."""
+    path = write(folder, f"[{element()}]", f"[{element()}, {element(Name='b')},")
+    with open(f"{path}/p01.json", "r+b") as out:
+        out.truncate(3 << 30)
+    os.rename(f"{path}/p01.json", f"{path}/p 1%20é.json")
+    found = payloads.read_payloads(spark, path, 10_000).collect()
+    assert sorted((r["raw_name"] or r["payload_error"], r["record_index"]) for r in found if "p00" in r["payload_id"]) == [("Desk lamp", 0)]
+    rest = sorted((r["record_index"] is None, r["record_index"], r["payload_error"]) for r in found if "p00" not in r["payload_id"])
+    assert rest == [(False, 0, None), (False, 1, None), (True, None, "exceeds 10000 bytes")]
+
+
+def test_a_stream_loads_no_file_over_the_limit(spark, folder):
+    path = write(folder, f"[{element()}]", f"[{element()},")
+    with open(f"{path}/p01.json", "r+b") as out:
+        out.truncate(3 << 30)
+    files = spark.readStream.format("binaryFile").schema(FILES).load(path)
+    seen = []
+    run = payloads.bounded(files, 1000).writeStream.foreachBatch(lambda batch, _: seen.extend(payloads.decode_files(batch, 1000).collect()))
+    run.option("checkpointLocation", f"{folder}/../{os.path.basename(folder)}-check").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["payload_error"] or "" for r in seen) == ["", "", "exceeds 1000 bytes"]
+
+
+def test_lines_keep_their_place_however_files_are_split(spark, folder):
+    path = write(folder, *["".join(f"{k}-{n}{'x' * (n % 37)}\n" * (n % 3) for n in range(200)) for k in range(5)], "", "last")
+    want = [line for name in sorted(os.listdir(path)) for line in open(f"{path}/{name}").read().splitlines()]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in (kept, "300b", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            rows = payloads.numbered_lines(spark, path).collect()
+            assert [r["value"] for r in sorted(rows)] == want
+            assert [r["record_index"] for r in sorted(rows)] == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_json_records_leave_out_empty_fields(spark, folder):
     path = write(folder, f"[{element(Brand=None)}, {element(Id=1)}]")
     lines = [json.loads(r["line"]) for r in report.json_records(validate.records(payloads.elements(payloads.read_payloads(spark, path)))).orderBy("record_index").collect()]
