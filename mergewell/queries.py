@@ -22,6 +22,7 @@ from mergewell.sources import payloads
 from mergewell.sources.driver_tables import ENTRIES_SQL, PRODUCT_SQL
 from mergewell.sources.snapshots import CatalogStore
 from mergewell.sources.vector_store import VectorStore
+from mergewell.streaming.firsts import start_firsts
 from mergewell.streaming.incremental import IncrementalIngest
 from mergewell.workspace import fresh_path, materialize
 
@@ -668,7 +669,14 @@ def migrated_links(spark, sf_dir):
 
 @query("SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY user_id, event_type")
 def first_events(spark, sf_dir):
-    return tables.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
+    """The stream is started anew for each of three lots."""
+    events = tables.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    path, firsts, progress = (fresh_path(spark, name) for name in ("arriving", "firsts", "progress"))
+    third = events.agg(F.max("event_id")).first()[0] // 3 + 1
+    for lot in range(3):
+        events.filter(F.floor(F.col("event_id") / third) == lot).write.mode("append").parquet(path)
+        start_firsts(spark.readStream.schema(events.schema).parquet(path), ["user_id", "event_type"], ["event_id"], firsts, progress).awaitTermination()
+    return spark.read.schema(events.schema).parquet(firsts).withColumnRenamed("event_id", "first_event")
 
 
 # --- embedding ------------------------------------------------------------------------------------

@@ -1,11 +1,13 @@
 import json
 import os
+import random
 import uuid
 
 from mergewell.operators.embed import HashEmbedder
 from mergewell.sources.snapshots import CatalogStore
 from mergewell.sources.vector_store import VectorStore
-from mergewell.streaming.incremental import IncrementalIngest, first_events
+from mergewell.streaming.firsts import PROVIDER, start_firsts
+from mergewell.streaming.incremental import IncrementalIngest
 from tests.test_store import CountingEmbedder
 
 PRODUCT = "id long, name string, brand string, category string"
@@ -39,12 +41,24 @@ def test_batches_see_earlier_ones(spark, folder):
     assert store.links().count() == 4
 
 
-def test_first_events(spark, folder):
-    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "user long, kind string").write.parquet(f"{folder}/e")
-    stream = spark.readStream.schema("user long, kind string").parquet(f"{folder}/e")
-    q = first_events(stream, ["user", "kind"]).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("firsts").count() == 2
+def test_each_key_keeps_its_first_row(spark, folder):
+    """Over restarts, with null keys and places, repeats, and a key that most rows have."""
+    schema = "user long, kind string, lot int, place long, note string"
+    draw = random.Random(5)
+    rows, provider = [], spark.conf.get(PROVIDER)
+    for lot in range(3):
+        new = [(draw.choice([7] * 6 + [None, *range(3 * lot + 3)]), draw.choice(["a", None]), lot, draw.choice([None, draw.randrange(1 << 60)]), f"{lot}-{k}") for k in range(400)]
+        spark.createDataFrame(new + new[:50], schema).write.mode("append").parquet(f"{folder}/in")
+        rows += new
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        for _ in range(2):  # the second start finds nothing new
+            start_firsts(stream, ["user", "kind"], ["lot", "place", "note"], f"{folder}/out", f"{folder}/check").awaitTermination()
+    assert spark.conf.get(PROVIDER) == provider
+    want = {}
+    for row in sorted(rows, key=lambda r: (r[2], r[3] is None, r[3] or 0, r[4])):
+        want.setdefault(row[:2], row)
+    got = [tuple(r) for r in spark.read.schema(schema).parquet(f"{folder}/out").collect()]
+    assert len(got) == len(want) and set(got) == set(want.values())
 
 
 def test_a_batch_embeds_new_texts_only(spark, folder):
