@@ -9,8 +9,9 @@ language with the largest proportion in the set.
 
 Defined results: null text and text without a letter get ``und`` and score 0, as does everything if
 there is nothing to learn from; ties go to the language that sorts first; a null ``doc_id`` is never
-learned from and not held out; repeated rows are scored row by row; very long texts are scored whole;
-an empty table gives an empty result; extra columns are ignored.
+learned from and not held out; repeated rows are scored row by row; texts beyond ``LONG`` bytes are gone through
+piece by piece; words of equal likelihoods are one row with a count, and what doesn't fit in ``HELD`` bytes is gone
+through again in each round of the expectation-maximisation (all words count all the same); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,13 @@ from mergewell.llm.textkernel import LOWER, blocks, mix, reduce_rows
 from mergewell.workspace import materialize
 
 BUCKETS = 1 << 15
+#: Texts of more bytes are worked on in pieces of ``PIECE`` bytes.
+LONG = 4 << 20
+PIECE = 1 << 18
+#: Bytes of their words' log likelihoods that are held.
+HELD = 32 << 20
+#: So many of them are turned into likelihoods at a time.
+ROWS = 1 << 15
 #: So many languages' log probabilities are held spread out (128 KB each).
 SLICE = 256
 LETTER = np.zeros(256, bool)
@@ -52,6 +60,26 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ids, starts, np.searchsorted(at[starts], bounds)
 
 
+def pieces(data: np.ndarray, begin: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bool, int]]:
+    """The trigrams of one text from ``begin`` by pieces: buckets, where words start, whether the first goes on
+    from the piece before and the last into the next, and the piece's end."""
+    for first in range(begin, len(data), PIECE):
+        end = min(first + PIECE, len(data))
+        part = np.full(end - first + 2, 0x20, np.uint8)
+        low, high = max(first - 1, 0), min(end + 1, len(data))
+        part[low - first + 1 : high - first + 1] = LOWER[data[low:high]]
+        letter = LETTER[part]
+        part[~letter] = 0x20
+        at = np.flatnonzero(letter[1:-1]) + 1
+        if not len(at):
+            continue
+        wide = part.astype(np.uint64)
+        ids = (mix((wide[at - 1] << np.uint64(16)) | (wide[at] << np.uint64(8)) | wide[at + 1]) >> np.uint64(49)).astype(np.int64)
+        starts = np.flatnonzero(~letter[at - 1])
+        goes_on = bool(letter[0] and letter[1])
+        yield ids, np.concatenate([[0], starts]) if goes_on else starts, goes_on, bool(letter[-1] and letter[-2]), end
+
+
 def _count(most_held: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -69,9 +97,11 @@ def _count(most_held: int = 64):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 texts = batch.column("text").filter(pa.array(langs == lang))
+                counts = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for _, _, data, offsets in blocks(texts):
-                    counts = np.bincount(trigrams(data, offsets)[0], minlength=BUCKETS).astype(np.int64)
-                    held[lang] = held[lang] + counts if lang in held else counts
+                    long = len(data) > LONG  # one text: a block has a megabyte otherwise
+                    for ids in (p[0] for p in pieces(data)) if long else [trigrams(data, offsets)[0]]:
+                        counts += np.bincount(ids, minlength=BUCKETS)
             if len(held) > most_held:
                 yield from out()
         yield from out()
@@ -131,6 +161,88 @@ def learn(texts: DataFrame) -> Model:
     return Model(langs, *[found.column(c).to_numpy() for c in ("k", "bucket", "n")])
 
 
+def _sums(model: Model, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Log likelihood of each word in each language."""
+    words = np.empty((len(starts), len(model)), np.float32)
+    for first, table in model.slices():
+        for k, row in enumerate(table):
+            words[:, first + k] = np.add.reduceat(row[ids], starts)
+    return words
+
+
+def _likely(words: np.ndarray) -> np.ndarray:
+    return np.exp((words - words.max(axis=1, keepdims=True)).astype(np.float64)) + 1e-12
+
+
+def _long_words(model: Model, data: np.ndarray, begin: int = 0, carried: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int, np.ndarray | None]]:
+    """Log likelihoods of the words that end in each piece of one long text, the piece's end, and what the next one carries on."""
+    for ids, starts, goes_on, unfinished, end in pieces(data, begin):
+        words = _sums(model, ids, starts)
+        if goes_on:
+            words[0] += carried
+        carried = words[-1].copy() if unfinished else None
+        ended = words[: len(words) - unfinished]
+        yield ended - ended.max(axis=1, keepdims=True), end, carried
+
+
+def _merged(rows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Equal rows as one, with the sum of their counts."""
+    every, n = np.ascontiguousarray(np.concatenate(rows)), np.concatenate(counts)
+    _, at, place = np.unique(every.view(np.dtype((np.void, every.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+    return [every[at]], [np.bincount(place, n, len(at))]
+
+
+def long_mixture(model: Model, data: np.ndarray, rounds: int, penalty: float) -> np.ndarray:
+    """Proportions of the kept languages of one text, as ``mixtures`` has them."""
+    known = len(model)
+    rows, counts = [np.empty((0, known), np.float32)], [np.empty(0)]
+    begin, carried = len(data), None
+    for words, end, goes_on in _long_words(model, data):
+        if len(words):
+            (own,), (times,) = _merged([words], [np.ones(len(words))])
+            rows.append(own), counts.append(times)
+        if sum(map(len, rows[1:])) > len(rows[0]):  # merging all when it may halve them keeps it linear
+            rows, counts = _merged(rows, counts)
+        if sum(r.nbytes for r in rows) > HELD:
+            rows, counts = _merged(rows, counts)
+            if rows[0].nbytes > HELD // 2:
+                begin, carried = end, goes_on
+                break
+    rows, counts = _merged(rows, counts)
+    n = counts[0].sum() + sum(len(words) for words, _, _ in _long_words(model, data, begin, carried))
+    if not n:
+        return np.zeros(known)
+
+    def weighted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(rows[0]), ROWS):
+            yield _likely(rows[0][k : k + ROWS]), counts[0][k : k + ROWS]
+        for words, _, _ in _long_words(model, data, begin, carried):
+            if len(words):
+                yield _likely(words), np.ones(len(words))
+
+    def fit(share: np.ndarray, rounds: int) -> np.ndarray:
+        for _ in range(rounds):
+            total = np.zeros(known)
+            for likely, times in weighted():
+                part = likely * share
+                total += times @ (part / part.sum(axis=1, keepdims=True))
+            share = total / n
+        return share
+
+    order = np.argsort(-fit(np.full(known, 1 / known), rounds), kind="stable")
+    best, kept = -np.inf, np.zeros(known)
+    for size in range(1, known + 1):
+        inside = np.zeros(known)
+        inside[order[:size]] = 1 / size
+        fitted = fit(inside, rounds if size > 1 else 0)
+        reached = sum(times @ np.log((likely * fitted).sum(axis=1)) for likely, times in weighted())
+        reached -= penalty * size * np.log(max(n, 2))
+        if reached <= best:
+            break
+        best, kept = reached, fitted
+    return kept
+
+
 def _fit(likely: np.ndarray, at: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """EM for the rows' proportions, and the log likelihood that they reach (without the words' scale)."""
     n = np.diff(at)
@@ -150,12 +262,7 @@ def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray, rounds: int, p
     best_share = np.zeros((len(offsets) - 1, known))
     if not len(starts):
         return best_share
-    words = np.empty((len(starts), known), np.float32)
-    for first, table in model.slices():
-        for k, row in enumerate(table):
-            words[:, first + k] = np.add.reduceat(row[ids], starts)
-    words -= words.max(axis=1, keepdims=True)
-    likely = np.exp(words.astype(np.float64)) + 1e-12
+    likely = _likely(_sums(model, ids, starts))
     left, n = np.flatnonzero(np.diff(at)), np.diff(at)[np.diff(at) > 0]
     at = np.concatenate([[0], np.cumsum(n)])
     share, _ = _fit(likely, at, np.full((len(n), known), 1 / known), rounds)
@@ -185,7 +292,12 @@ def _predict(shared, rounds: int, penalty: float):
             texts = batch.column("text")
             predicted, scores, sets = [], [], []
             for i, j, data, offsets in blocks(texts, max(least, (1 << 22) // max(1, len(langs)))):
-                share = mixtures(model, data, offsets, rounds, penalty) if langs else np.zeros((j - i, 1))
+                if not langs:
+                    share = np.zeros((j - i, 1))
+                elif len(data) > LONG:  # one text, as above
+                    share = long_mixture(model, data, rounds, penalty)[None]
+                else:
+                    share = mixtures(model, data, offsets, rounds, penalty)
                 top = share.argmax(axis=1)
                 for k in range(j - i):
                     p = share[k, top[k]]
