@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import http.client
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 64
+#: Bytes of a refused request's answer that an error quotes.
+SNIPPET = 512
 
 
 class Embedder(Protocol):
@@ -87,15 +91,32 @@ class LetterEmbedder:
         return out
 
 
+class UpstreamError(OSError, ValueError):
+    """The model server can't be reached, or its answer can't be used."""
+
+
+class StatusError(UpstreamError):
+    """The server answered with another status than 200; ``body`` is the start of what it said."""
+
+    def __init__(self, code: int, body: str):
+        super().__init__(f"the model server answered {code}: {body}")
+        self.code, self.body = code, body
+
+
 @dataclass
 class HttpEmbedder:
-    """A model server's ``/api/embed``: ``{model, input}`` in, ``{embeddings}`` out, 64 texts a call."""
+    """A model server's ``/api/embed``: ``{model, input}`` in, ``{embeddings}`` out, 64 texts a call.
+
+    A job sends at most ``at_once`` requests at a time (None: one a running task).  A blank text is the
+    caller's ``ValueError``; all that the server does wrong is an ``UpstreamError``.
+    """
 
     url: str
     model: str
     dimension: int
     timeout: float = 120.0
     most_bytes: int = 32 << 20
+    at_once: int | None = None
 
     @property
     def name(self) -> str:
@@ -108,16 +129,35 @@ class HttpEmbedder:
             if any(not t.strip() for t in part):
                 raise ValueError("a blank text can't be embedded")
             body = json.dumps({"model": self.model, "input": part}).encode()
-            request = urllib.request.Request(f"{self.url}/api/embed", body, {"Content-Type": "application/json"})
-            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                raw = answer.read(self.most_bytes + 1)
-            if len(raw) > self.most_bytes:
-                raise ValueError(f"the answer exceeds {self.most_bytes} bytes")
-            vectors = json.loads(raw)["embeddings"]
+            vectors = self._answer(body)
             if len(vectors) != len(part):
-                raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                raise UpstreamError(f"{len(vectors)} vectors for {len(part)} texts")
             out += vectors
-        return checked(np.array(out, np.float32).reshape(len(texts), -1), len(texts), self.dimension)
+        try:
+            return checked(np.array(out, np.float32).reshape(len(texts), -1), len(texts), self.dimension)
+        except (TypeError, ValueError) as e:
+            raise UpstreamError(str(e)) from e
+
+    def _answer(self, body: bytes) -> list:
+        request = urllib.request.Request(f"{self.url}/api/embed", body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                status, raw = answer.status, answer.read(self.most_bytes + 1)
+        except urllib.error.HTTPError as e:
+            status, raw = e.code, e.read(SNIPPET)
+        except (OSError, http.client.HTTPException) as e:
+            raise UpstreamError(f"asking the model server: {e}") from e
+        if status != 200:
+            raise StatusError(status, raw[:SNIPPET].decode(errors="replace").strip())
+        if len(raw) > self.most_bytes:
+            raise UpstreamError(f"the answer exceeds {self.most_bytes} bytes")
+        try:
+            vectors = json.loads(raw)["embeddings"]
+        except (KeyError, TypeError, ValueError) as e:
+            raise UpstreamError(f"the answer has no embeddings: {e!r}") from e
+        if not isinstance(vectors, list):
+            raise UpstreamError("the answer's embeddings are no list")
+        return vectors
 
 
 def checked(vectors: np.ndarray, n: int, dimension: int) -> np.ndarray:
@@ -132,8 +172,10 @@ def preflight(embedder: Embedder) -> None:
 
 
 def embed_texts(texts: DataFrame, embedder: Embedder, column: str = "text") -> DataFrame:
-    """``texts`` with ``vector``; batches of 64 within each task."""
+    """``texts`` with ``vector``; batches of 64 within each task, in no more tasks than the embedder takes ``at_once``."""
     kept = texts.select(column)
+    if at_once := getattr(embedder, "at_once", None):
+        kept = kept.repartition(at_once)  # what comes before keeps its own parallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
