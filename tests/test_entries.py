@@ -160,3 +160,14 @@ def test_counts(spark):
     assert [tuple(r) for r in validate.reason_counts(found).collect()] == [("Id: not a UUID", 2)]
     assert {tuple(r) for r in validate.flag_counts(found).collect()} == {("Brand", text.SQL_LIKE, 1), ("Name", text.MARKUP, 1)}
     assert validate.suspicious(found).count() == 2 and found.filter(F.size("flags") == 0).count() == 1
+
+
+def test_fields_are_cleaned_once_whatever_is_asked_of_them(spark):
+    rows = [(0, "shop", ID, "lamp​", "x'; DROP TABLE", "  a  b "), (1, None, "nope", "y" * 300, None, "javascript:")]
+    found = validate.records(spark.createDataFrame(rows, "record_index long, raw_seller string, raw_id string, raw_name string, raw_brand string, raw_category string"))
+    for asked in (validate.suspicious(validate.accepted(found)), validate.flag_counts(found), validate.reason_counts(found)):
+        plan = asked._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+    flagged = validate.suspicious(found).orderBy("record_index").collect()
+    assert [[tuple(f) for f in r["flags"]] for r in flagged] == [[("Name", text.CONTROLS), ("Brand", text.SQL_LIKE)], [("Name", text.TRUNCATED), ("Category", text.MARKUP)]]
+    assert (flagged[0]["category"], flagged[0]["identity"], flagged[1]["reason"]) == ("a b", "lamp | brand: x'; DROP TABLE | category: a b", "Id: not a UUID")
