@@ -1,6 +1,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,23 @@ def test_fields_are_cleaned_once_whatever_is_asked_of_them(spark):
     flagged = validate.suspicious(found).orderBy("record_index").collect()
     assert [[tuple(f) for f in r["flags"]] for r in flagged] == [[("Name", text.CONTROLS), ("Brand", text.SQL_LIKE)], [("Name", text.TRUNCATED), ("Category", text.MARKUP)]]
     assert (flagged[0]["category"], flagged[0]["identity"], flagged[1]["reason"]) == ("a b", "lamp | brand: x'; DROP TABLE | category: a b", "Id: not a UUID")
+
+
+def test_rows_of_small_payloads_share_batches(monkeypatch):
+    batches = []
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            files = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(500)], "content": [f"[{element()}]".encode()] * 499 + [b"{}"]})
+            batches.extend(run(iter([files])))
+
+    payloads.decode_files(Files())
+    assert [b.num_rows for b in batches] == [500]
+    assert batches[0].column("payload_id").to_pylist() == [str(k) for k in range(500)] and batches[0].column("payload_error")[499].as_py() == "top level is not an array"
+    batches.clear()
+    monkeypatch.setattr(payloads, "FLUSH_BYTES", 1000)
+    payloads.decode_files(Files())
+    assert sum(b.num_rows for b in batches) == 500 and max(b.num_rows for b in batches) < 20
