@@ -21,3 +21,13 @@ def test_quantiles_are_those_of_the_sorted_scores(spark, case):
     n, ordered = len(scores), sorted(scores)
     assert row["n"] == n
     assert [row[name] for name in AT] == [ordered[min(n - 1, int(p * n))] if n else None for p in AT.values()]
+
+
+def test_missed_matches_need_no_search(spark, monkeypatch):
+    from mergewell import queries
+
+    def searched(*_):
+        raise AssertionError("all pairs are searched")
+
+    monkeypatch.setattr(queries.search, "leave_one_out", searched)
+    assert queries.threshold_missed(spark, "/root/testdata/sf0.001").count() > 0
