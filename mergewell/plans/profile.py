@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.functions import text
 from mergewell.schemas import FIELDS, RAW
+from mergewell.workspace import materialize
 
 
 def column_profile(entries: DataFrame) -> DataFrame:
@@ -51,14 +52,22 @@ def reused_ids(records: DataFrame) -> DataFrame:
     return each.filter("entries > 1").withColumn("kind", F.when(F.col("sellers") > 1, "other seller").otherwise("same seller"))
 
 
+def _keys(records: DataFrame) -> DataFrame:
+    """``_name, match_key`` of the distinct names."""
+    names = records.select(F.col("name").alias("_name")).distinct()
+    return materialize(names.select("_name", text.match_key(F.col("_name")).alias("match_key")), "keys")
+
+
 def duplicate_names(records: DataFrame) -> DataFrame:
     """Names that several records share under the loosest form."""
-    return records.groupBy(text.match_key(F.col("name")).alias("match_key")).agg(F.count("*").alias("entries")).filter("entries > 1")
+    each = records.groupBy("name").agg(F.count("*").alias("_n"))  # a form is taken of distinct names only
+    return each.groupBy(text.match_key(F.col("name")).alias("match_key")).agg(F.sum("_n").alias("entries")).filter("entries > 1")
 
 
 def same_seller_product(records: DataFrame) -> DataFrame:
     """One seller's product under different ids."""
-    keyed = records.groupBy("seller_name", text.match_key(F.col("name")).alias("match_key"))
+    each = records.select("seller_name", "name", "seller_product_id").distinct()
+    keyed = each.join(_keys(records), F.col("name").eqNullSafe(F.col("_name"))).groupBy("seller_name", "match_key")
     return keyed.agg(F.count_distinct("seller_product_id").alias("ids")).filter("ids > 1")
 
 
@@ -75,19 +84,27 @@ def string_oddities(entries: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _times(found: str) -> Column:
+    """How many rows the texts with a value in ``found`` stand for."""
+    return F.coalesce(F.sum(F.when(F.col(found).isNotNull(), F.col("_n"))), F.lit(0).cast("long"))
+
+
 def match_funnel(entries: DataFrame, products: DataFrame) -> DataFrame:
     """``level, names, products``: entries whose name, and whose name, brand and category, are in the catalog.
 
-    ``entries`` has ``name, brand, category``.  The catalog is reduced to one row a key before each join.
+    ``entries`` has ``name, brand, category``.  Both sides are reduced to one row a key before each join, and the
+    entries to their distinct texts before any form of them is taken.
     """
     out = None
     empty = lambda c: F.coalesce(c, F.lit(""))
+    entries = materialize(entries.groupBy("name", "brand", "category").agg(F.count("*").alias("_n")), "texts")
+    products = materialize(products.select("name", "brand", "category").distinct(), "known")
     for level, form in text.LADDER.items():
         keys = [form(empty(F.col(c))).alias(f"_{c}") for c in ("name", "brand", "category")]
         known = products.select(*keys).groupBy("_name", "_brand", "_category").agg(F.lit(1).alias("_full"))
         names = known.groupBy("_name").agg(F.lit(1).alias("_known"))
-        joined = entries.select(*keys).join(names, "_name", "left").join(known, ["_name", "_brand", "_category"], "left")
-        row = joined.agg(F.lit(level).alias("level"), F.count("_known").alias("names"), F.count("_full").alias("products"))
+        joined = entries.select(*keys, "_n").join(names, "_name", "left").join(known, ["_name", "_brand", "_category"], "left")
+        row = joined.agg(F.lit(level).alias("level"), _times("_known").alias("names"), _times("_full").alias("products"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -98,7 +115,8 @@ def drift(records: DataFrame, products: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     known = products.select(key.alias("match_key"), empty("brand").alias("brand"), empty("category").alias("category")).distinct()
     named = known.select("match_key").distinct()
-    keyed = records.select("record_index", key.alias("match_key"), empty("brand").alias("brand"), empty("category").alias("category"))
+    rows = records.select("record_index", "name", empty("brand").alias("brand"), empty("category").alias("category"))
+    keyed = rows.join(_keys(records), F.col("name") == F.col("_name")).select("record_index", "match_key", "brand", "category")
     return keyed.join(named, "match_key", "left_semi").join(known, ["match_key", "brand", "category"], "left_anti")
 
 
