@@ -48,3 +48,12 @@ def test_records_are_not_moved_to_find_their_matches(spark):
 
 def test_entries_keep_no_columns_that_only_order_them(spark):
     assert "l_shipdate" not in _plan(tables.entries(spark, SF))
+
+
+def test_decided_records_are_not_written_again(spark, monkeypatch):
+    from mergewell.operators import resolve
+
+    labels = []
+    monkeypatch.setattr(resolve, "materialize", lambda frame, label: labels.append(label) or materialize(frame, label))
+    queries.QUERIES["ingest_results"](spark, SF)
+    assert "states" in labels and "followed" not in labels
