@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from mergewell.workspace import materialize, with_rank
 
 COORDINATES = 48
+#: Coordinates that one aggregate computes: all at once make a method that is too long to be compiled well.
+GROUP = 4
 HEX = 4  # 16 bits a coordinate: two samples look equal by chance once in 65536
 NO_ID = -(1 << 63)
 KEY = ["_id", "_hash"]
@@ -34,18 +36,18 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def _uniforms(k: int) -> list[Column]:
-    """Six uniform variates in (0, 1) from three hashes of the word's hash and the coordinate."""
+    """Six uniform variates in (0, 1) from three hashes of the word's hash and coordinate ``k`` of the row's group."""
     out = []
     for j in range(3):
-        h = F.xxhash64("term", F.lit(3 * k + j))
+        h = F.xxhash64("term", F.col("_group") * (3 * GROUP) + F.lit(3 * k + j))
         out += [h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)]
     return [(u.cast("double") + 0.5) / float(1 << 32) for u in out]
 
 
-def _least_keys(coordinates: int, weights: dict[str, str]) -> list[Column]:
-    """For each coordinate and each weight column, the least key over the rows where it is positive."""
+def _least_keys(weights: dict[str, str]) -> list[Column]:
+    """For each coordinate of a group and each weight column, the least key over the rows where it is positive."""
     out = []
-    for k in range(coordinates):
+    for k in range(GROUP):
         u = _uniforms(k)
         r = -F.ln(u[0] * u[1])
         log_c = F.ln(-F.ln(u[2] * u[3]))
@@ -55,16 +57,11 @@ def _least_keys(coordinates: int, weights: dict[str, str]) -> list[Column]:
     return out
 
 
-def _printed(name: str, coordinates: int) -> Column:
-    """Hex of a hash of each least key, one after the other."""
-    parts = [
-        F.lpad(
-            F.lower(F.hex(F.xxhash64(F.floor(F.col(f"{name}_{k}") * float(1 << 30)), F.lit(k)).bitwiseAND(F.lit((1 << (4 * HEX)) - 1)))),
-            HEX,
-            "0",
-        )
-        for k in range(coordinates)
-    ]
+def _printed(name: str) -> Column:
+    """Hex of a hash of each least key of a group, one after the other."""
+    mask = F.lit((1 << (4 * HEX)) - 1)
+    hashes = [F.xxhash64(F.floor(F.col(f"{name}_{k}") * float(1 << 30)), F.col("_group") * GROUP + F.lit(k)) for k in range(GROUP)]
+    parts = [F.lpad(F.lower(F.hex(h.bitwiseAND(mask))), HEX, "0") for h in hashes]
     return F.when(F.col(f"{name}_0").isNull(), "").otherwise(F.concat(*parts))
 
 
@@ -85,8 +82,12 @@ def sample_words(texts: DataFrame, keys: list[str], sides: dict[str, str], coord
     counts = words.groupBy(*keys, "term").agg(
         *[F.ln(F.sum(F.when(F.col("side") == k, 1.0))).alias(f"_ln_{name}") for k, name in enumerate(names)]
     )
-    least = counts.groupBy(*keys).agg(*_least_keys(coordinates, {name: f"_ln_{name}" for name in names}))
-    return least.select(*keys, *[_printed(name, coordinates).alias(name) for name in names])
+    groups = range(-(-coordinates // GROUP))
+    each_group = counts.withColumn("_group", F.explode(F.array(*[F.lit(g) for g in groups])))
+    least = each_group.groupBy(*keys, "_group").agg(*_least_keys({name: f"_ln_{name}" for name in names}))
+    printed = least.select(*keys, "_group", *[_printed(name).alias(name) for name in names])
+    whole = lambda name: F.concat(*[F.max(F.when(F.col("_group") == g, F.col(name))) for g in groups])
+    return printed.groupBy(*keys).agg(*[F.substring(whole(name), 1, HEX * coordinates).alias(name) for name in names])
 
 
 def likeness(a: Column, b: Column, coordinates: int) -> Column:
