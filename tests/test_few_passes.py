@@ -1,0 +1,68 @@
+"""A micro-batch writes its records once, decides them once for checks and links, and an untouched catalog has no versions to compare."""
+
+import json
+
+from mergewell.operators import validate
+from mergewell.operators.embed import HashEmbedder
+from mergewell.operators.resolve import Resolver
+from mergewell.plans.ingest import ingest
+from mergewell.plans.settle import refuse_bad_values
+from mergewell.schemas import LINK, PRODUCT
+from mergewell.sources import payloads
+from mergewell.streaming import incremental
+
+UUID = "00000000-0000-0000-0000-{:012d}"
+
+
+def _entry(k, name):
+    return {"Id": UUID.format(k), "SellerName": "s", "Name": name, "Brand": "b", "Category": "c"}
+
+
+def _files(spark, sizes):
+    rows, k = [], 0
+    for file, size in sizes.items():
+        rows.append((file, bytearray(json.dumps([_entry(k + i, f"{file} {i}") for i in range(size)]).encode())))
+        k += size
+    return spark.createDataFrame(rows, "path string, content binary")
+
+
+def test_records_are_numbered_through_payloads_and_written_once(spark, monkeypatch):
+    labels, write = [], incremental.materialize
+    monkeypatch.setattr(incremental, "BUCKET_BITS", 1)
+    monkeypatch.setattr(incremental, "materialize", lambda df, label: labels.append(label) or write(df, label))
+    sizes = {"a": 2, "b": 0, "c": 3, "d": 1, "e": 1, "f": 2}
+    files = _files(spark, sizes).union(spark.createDataFrame([("ca", bytearray(b'[{"Name": "x"}, 5'))], "path string, content binary"))
+    got = incremental.ordered_records(payloads.decode_files(files), first=10).orderBy("record_index").collect()
+    places = [(f, i) for f, n in sorted({**sizes, "ca": 2}.items()) for i in range(n)]
+    assert [r["record_index"] for r in got] == list(range(10, 10 + len(places)))
+    assert [r["payload_id"] for r in got] == [f for f, _ in places]
+    assert [r["name"] for r in got if r["payload_id"] != "ca"] == [f"{f} {i}" for f, i in places if f != "ca"]
+    assert labels == ["records", "offsets"]
+
+
+def test_many_payloads_are_joined_without_a_broadcast(spark, monkeypatch):
+    files = _files(spark, {"a": 2, "b": 1})
+    few = {(r["record_index"], r["name"]) for r in incremental.ordered_records(payloads.decode_files(files)).collect()}
+    monkeypatch.setattr(incremental, "BROADCAST_ROWS", 1)
+    assert {(r["record_index"], r["name"]) for r in incremental.ordered_records(payloads.decode_files(files)).collect()} == few == {(0, "a 0"), (1, "a 1"), (2, "b 0")}
+
+
+def _run(spark, monkeypatch, names):
+    calls, moving = [], Resolver.moving
+    monkeypatch.setattr(Resolver, "moving", lambda self, touched: calls.append(1) or moving(self, touched))
+    entries = spark.createDataFrame([(i, "s", UUID.format(i), n, "b", "c") for i, n in enumerate(names)], "record_index long, raw_seller string, raw_id string, raw_name string, raw_brand string, raw_category string")
+    products = spark.createDataFrame([(1, "old", "b", "c")], PRODUCT)
+    return ingest(validate.records(entries), products, spark.createDataFrame([], LINK), HashEmbedder(), 0.975, "none"), calls
+
+
+def test_an_untouched_catalog_has_no_versions(spark, monkeypatch):
+    done, calls = _run(spark, monkeypatch, ["old", "old"])
+    assert {r["outcome"] for r in done.results.collect()} == {"linked"} and not calls
+
+
+def test_checks_and_links_read_the_records_that_add_one_once(spark, monkeypatch):
+    done, calls = _run(spark, monkeypatch, ["old", "new", "new"])
+    assert len(calls) == 1
+    assert refuse_bad_values(done).isEmpty()
+    monkeypatch.setattr(type(done), "_adding", None)  # links are numbered without deciding again
+    assert [tuple(r) for r in done.new_links.orderBy("id").select("id", "product_id").collect()] == [(1, 1), (2, 2), (3, 2)]
