@@ -70,3 +70,11 @@ def test_texts_are_embedded_in_many_tasks(spark):
     texts = spark.range(100).select(F.concat(F.lit("text "), "id").alias("text"))
     found = embed_distinct(texts, NgramEmbedder(4))
     assert found.count() == 100 and found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_records_that_share_an_index_have_each_others_matches(spark):
+    rows = [(k, f"00000000-0000-0000-0000-{k:012d}", "s", n, "b", "c") for k, n in [(0, "thing 0"), (0, "thing 1"), (1, "thing 1")]]
+    entries = spark.createDataFrame(rows, "record_index long, " + ", ".join(f"{RAW[f]} string" for f in FIELDS))
+    products = spark.createDataFrame([(1, "Thing 0", "b", "c"), (2, "thing 1", None, None)], PRODUCT)
+    positives, _ = calibrate.measure(validate.records(entries), products, NgramEmbedder(16), True)
+    assert sorted((r["record_index"], r["product_id"]) for r in positives.collect()) == [(0, 1), (0, 1), (0, 2), (0, 2), (1, 2)]
